@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import table
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.line_dedup import file_batches, line_dedup
+from folioscope.llm.simhash import simhash_components
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words=3)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +63,5 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
 FROM j GROUP BY doc_id
 """
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op4_simhash": op4_simhash, "op6_exact_dedup": op6_exact_dedup, "op10_line_dedup": op10_line_dedup}
 SQL = {"op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
