@@ -33,7 +33,7 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
-LEET_COST, DROP_COST, DROP_DIGIT_COST, STAR_COST, DOUBLE_COST = 1.0, 4.0, 9.0, 3.0, 1.5
+LEET_COST, DROP_COST, DROP_DIGIT_COST, STAR_COST, DOUBLE_COST = 1.0, 4.0, 9.0, 3.0, 5.0
 # --- End of fixed values.
 
 _SIZE = 28  # 0 boundary, 1-26 a-z, 27 other letter
