@@ -1,6 +1,6 @@
 """Composed queries and their oracle SQL."""
 
-from folioscope.plans import distributions
+from folioscope.plans import distributions, flows_time, networks
 from folioscope.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "distributions"]
+__all__ = ["QUERIES", "SQL", "distributions", "flows_time", "networks"]
