@@ -8,14 +8,15 @@ encoded; ids never are.
 
 Encoding: a word's ids depend on the word alone, because this tokenizer's
 pattern never spans white space. Workers keep the ids of words they have met
-and put a document together from them; a word of a-z only goes straight to
-the tokenizer's model, any other chunk through its whole pipeline. The tests
+and put a document together from them; a word of Latin-1 letters goes straight
+to the tokenizer's model, any other chunk through its whole pipeline. The tests
 hold this against encoding whole texts.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,59 +28,73 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import text_of, work_dir
 
 #: Words whose ids a worker keeps; beyond it the memory starts anew.
-MEMORY_WORDS = 400_000
-_PLAIN = re.compile(r"[a-z]+").fullmatch
-#: Two symbols in a row, of which the second is a stop or comma: then a stop can't be cut off as a word of its own.
+MEMORY_WORDS = 500_000
+#: Letters that lower-casing and composing can only map within the set, one by one.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Two symbols in a row, of which one is a stop or comma: then a stop can't be cut off as a word of its own.
 _RUN = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Code point -> how byte-level BPE writes its UTF-8 bytes: printable Latin-1 as it is, the others from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+class _Words(dict):
+    """word -> ids as bytes, made when first asked for."""
+
+    def __init__(self, tokenizer):
+        self._encode, self._tokenize = tokenizer.encode, tokenizer.model.tokenize
+        self._letters = _byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _LATIN(chunk):
+            ids = [t.id for t in self._tokenize(chunk.lower().translate(self._letters))]
+        else:
+            ids = self._encode(chunk, add_special_tokens=False).ids
+        self[chunk] = made = struct.pack(f"<{len(ids)}I", *ids)
+        return made
+
+
 class WordEncoder:
     """text -> ids as little-endian uint32 bytes."""
 
+    _made: dict[str, WordEncoder] = {}
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._model = self._tokenizer.model
-        self._known: dict[str, bytes] = {}
+        self._words = _Words(Tokenizer.from_file(vocabulary))
 
-    def _encode(self, chunk: str) -> bytes:
-        if _PLAIN(chunk):
-            ids = [t.id for t in self._model.tokenize(chunk)]
-        else:
-            ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+    @classmethod
+    def of(cls, vocabulary: str) -> WordEncoder:
+        """One per worker process: the words it knows outlast a task."""
+        if vocabulary not in cls._made:
+            cls._made[vocabulary] = cls(vocabulary)
+        return cls._made[vocabulary]
 
     def __call__(self, text: str) -> bytes:
         # The tokenizer lower-cases, but only after it has looked for special tokens and composed marks:
         # doing it first is the same where neither can occur.
-        if "<|" not in text and text.isascii():
+        if text.isascii() and "<|" not in text:
             text = text.lower()
         text = text.replace("\n", " ")
         if not _RUN.search(text):
             text = text.replace(". ", " . ").replace(", ", " , ")
-        known = self._known
-        chunks = text.split(" ")
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > MEMORY_WORDS:
-            known.clear()
-        out = []
-        for c in chunks:
-            ids = known.get(c)
-            if ids is None:
-                ids = known[c] = self._encode(c)
-            out.append(ids)
-        return b"".join(out)
+        words = self._words
+        if len(words) > MEMORY_WORDS:
+            words.clear()
+        return b"".join(map(words.__getitem__, text.split(" ")))
 
 
 def _encoder(vocabulary: str, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(vocabulary)
+        encode = WordEncoder.of(vocabulary)
         for batch in batches:
             texts = batch.column(1)
             # Some rows at a time: ids take up to four times the room of their text.

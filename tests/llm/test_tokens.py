@@ -25,6 +25,12 @@ def test_words_encode_as_whole_texts(text):
     assert np.frombuffer(FAST(text), "<u4").tolist() == whole(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(0xC0, 0x100)] + list("abzAZ. ×÷"), max_size=40))
+def test_latin_words(text):
+    assert np.frombuffer(FAST(text), "<u4").tolist() == whole(text)
+
+
 def test_special_strings():
     for text in ("a <|endoftext|>. b", "<|ENDOFTEXT|>", "x<|startoftext|>y, z.", "J\u030c it's I'LL. ok, A.B, c_. d"):
         assert np.frombuffer(FAST(text), "<u4").tolist() == whole(text)
