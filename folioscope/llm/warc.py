@@ -1,14 +1,16 @@
 """WARC 1.1 as a Spark data source, and deduplicating WARC output.
 
 ``spark.read.format("warc")`` reads .warc and .warc.gz files through pyarrow's
-file systems. A file is cut into partitions at record starts: a writer's
-.idx file beside it lists the offset of about one record per
+file systems. A file is cut into partitions at record starts: the writer
+leaves a .cuts file beside it with the offset of about one record per
 ``split_mb``; without one a file is one partition. In a partition each
 record's WARC header is parsed first; a record that the pushed filters
-reject is skipped by its Content-Length: its payload is neither read nor
-decoded (in a plain file it is seeked over). The HTTP header is parsed only if a
-column needs it, the payload is read only if a column needs it. Select columns
-by ``.schema(...)``: Spark doesn't tell Python sources which columns it wants.
+reject is skipped, its payload neither read nor decoded: in a plain file by its
+Content-Length, in a compressed one by the next record's offset in the
+writer's .idx file (a foreign .gz has none and is inflated throughout). The HTTP
+header is parsed only if a column needs it, the payload is decoded only if a
+column needs it. Select columns by ``.schema(...)``: Spark doesn't tell Python
+sources which columns it wants.
 
 ``df.write.format("warc")`` writes one file a task under a name of its own
 attempt; the driver's commit writes ``_MANIFEST`` with the files that count.
@@ -24,9 +26,11 @@ import hashlib
 import io
 import json
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -144,8 +148,8 @@ class WarcReader(DataSourceReader):
             files = sorted(f.path for f in found if f.path.endswith((".warc", ".warc.gz")))
         slices = []
         for file in files:
-            if fs.get_file_info(f"{file}.idx").type == pafs.FileType.File:
-                cuts = json.loads(fs.open_input_stream(f"{file}.idx").read())
+            if fs.get_file_info(f"{file}.cuts").type == pafs.FileType.File:
+                cuts = json.loads(fs.open_input_stream(f"{file}.cuts").read())
             else:
                 cuts = [0]
             slices += [Slice(file, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
@@ -158,14 +162,19 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(partition.path) as raw:
             end = partition.end if partition.end is not None else raw.size()
             raw.seek(partition.start)
-            if partition.path.endswith(".gz"):
-                # Members can't be skipped without decoding them, but their payloads are dropped as they come.
-                stream = gzip.GzipFile(fileobj=_Window(raw, end))
-                yield from self._records(stream, None)
+            if not partition.path.endswith(".gz"):
+                yield from self._records(io.BufferedReader(_Window(raw, end), 1 << 16))
+            elif fs.get_file_info(f"{partition.path}.idx").type == pafs.FileType.File:
+                starts = np.frombuffer(fs.open_input_stream(f"{partition.path}.idx").read(), "<u8")
+                for at in starts[(starts >= partition.start) & (starts < end)].tolist():
+                    raw.seek(at)
+                    member = gzip.GzipFile(fileobj=_Window(raw, end))
+                    yield from self._records(member, one=True)
             else:
-                yield from self._records(io.BufferedReader(_Window(raw, end), 1 << 16), end)
+                yield from self._records(gzip.GzipFile(fileobj=_Window(raw, end)))
 
-    def _records(self, stream, end: int | None) -> Iterator[tuple]:
+    def _records(self, stream, one: bool = False) -> Iterator[tuple]:
+        """``one``: ends after a record, without a look at what it leaves."""
         need_http = "payload_bytes" in self.columns or "payload" in self.columns or self.verify
         need_body = "payload" in self.columns or self.verify
         while line := stream.readline():
@@ -176,6 +185,8 @@ class WarcReader(DataSourceReader):
             headers = _read_headers(stream)
             length = int(headers.get("content-length", 0))
             if not self._accepts(headers):
+                if one:
+                    return
                 _skip(stream, length)
                 continue
             row = dict.fromkeys(self.columns)
@@ -190,7 +201,7 @@ class WarcReader(DataSourceReader):
                     used = len(status) + http.pop("", 0)
                 rest = length - used
                 body = stream.read(rest) if need_body else None
-                if not need_body:
+                if not need_body and not one:
                     _skip(stream, rest)
                 if "payload_bytes" in row:
                     row["payload_bytes"] = int(http.get("content-length", rest))
@@ -200,9 +211,11 @@ class WarcReader(DataSourceReader):
                         raise ValueError(f"payload of {headers.get('warc-record-id')} doesn't have its digest")
                 if "payload" in row:
                     row["payload"] = body
-            else:
+            elif not one:
                 _skip(stream, length)
             yield tuple(row[c] for c in self.columns)
+            if one:
+                return
 
 
 class _Window(io.RawIOBase):
@@ -303,7 +316,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, top = _open(self.path)
         fs.create_dir(top, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
-        out, at, cuts = None, 0, [0]
+        out, at, cuts, starts = None, 0, [0], array("Q")
         for batch in iterator:
             columns = [batch.column(self.names.index(c)) for c in ("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to", "revisit")]
             for k in range(batch.num_rows):
@@ -314,13 +327,17 @@ class WarcWriter(DataSourceArrowWriter):
                 out = out or fs.open_output_stream(f"{top}/{name}", compression=None)
                 if at - cuts[-1] >= self.split:
                     cuts.append(at)
+                starts.append(at)
                 out.write(data)
                 at += len(data)
         if out is None:
             return Written(None)
         out.close()
-        with fs.open_output_stream(f"{top}/{name}.idx") as index:
-            index.write(json.dumps(cuts).encode())
+        with fs.open_output_stream(f"{top}/{name}.cuts") as side:
+            side.write(json.dumps(cuts).encode())
+        if self.gzip:
+            with fs.open_output_stream(f"{top}/{name}.idx") as side:
+                side.write(np.frombuffer(starts, np.uint64).astype("<u8").tobytes())
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -397,6 +414,6 @@ def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Archives ``pages`` in the shared folder and reads the archives back."""
     spark = pages.sparkSession
     path = work_dir(spark, "warc")
-    write_warc(pages, path, min_revisit_bytes=min_revisit_bytes)
+    write_warc(pages, path, min_revisit_bytes=min_revisit_bytes, compression="gzip")
     columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return read_warc(spark, path, columns, verify=True).where(F.col("record_type").isin("response", "revisit"))

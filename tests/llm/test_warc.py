@@ -68,6 +68,9 @@ def test_files_are_readable_by_the_book(spark):
         assert rest[n : n + 4] == b"\r\n\r\n"
         data, count = rest[n + 4 :], count + 1
     assert count == len(PAGES)
+    for n in names:
+        os.remove(f"{local}/{n}.idx")
+    assert read_warc(spark, path, "page_id long, payload_bytes long").count() == len(PAGES)
     stray = f"{local}/part-dead.warc.gz"
     open(stray, "wb").write(b"half a rec")
     assert read_warc(spark, path, "page_id long").count() == len(PAGES)
