@@ -1,6 +1,6 @@
 """Composed queries and their oracle SQL."""
 
-from folioscope.plans import distributions, flows_time, networks, places_graphs
+from folioscope.plans import distributions, flows_time, networks, places_graphs, texts_vectors
 from folioscope.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "distributions", "flows_time", "networks", "places_graphs"]
+__all__ = ["QUERIES", "SQL", "distributions", "flows_time", "networks", "places_graphs", "texts_vectors"]
