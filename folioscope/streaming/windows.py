@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def watermarked(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Only streams need it: state of windows older than ``late`` is let go."""
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    """Only streams need it: state of windows older than ``late`` is let go. Watermarks take timestamps with a zone only."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
 
 
 def daily(events: DataFrame) -> DataFrame:
@@ -33,5 +33,5 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def first_seen(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """Each key's first event; a stream forgets keys older than the watermark."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+        return watermarked(events, late).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
