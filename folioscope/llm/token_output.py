@@ -22,17 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import text_of, work_dir
 
 #: Words whose ids a worker keeps; beyond it the memory starts anew.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 800_000
 #: Letters that lower-casing and composing can only map within the set, one by one.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-#: Two symbols in a row, of which one is a stop or comma: then a stop can't be cut off as a word of its own.
-_RUN = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_")
+#: Such a word and ASCII symbols after it: the tokenizer's pattern always cuts between them. Its contractions need a letter after the apostrophe, its special tokens a letter inside.
+_SUFFIXED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,6 +51,9 @@ class _Words(dict):
         self._letters = _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
+        if parts := _SUFFIXED(chunk):
+            self[chunk] = made = self[parts[1]] + self[parts[2]]
+            return made
         if _LATIN(chunk):
             ids = [t.id for t in self._tokenize(chunk.lower().translate(self._letters))]
         else:
@@ -81,13 +84,10 @@ class WordEncoder:
         # doing it first is the same where neither can occur.
         if text.isascii() and "<|" not in text:
             text = text.lower()
-        text = text.replace("\n", " ")
-        if not _RUN.search(text):
-            text = text.replace(". ", " . ").replace(", ", " , ")
         words = self._words
         if len(words) > MEMORY_WORDS:
             words.clear()
-        return b"".join(map(words.__getitem__, text.split(" ")))
+        return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def _encoder(vocabulary: str, end_id: int):
@@ -157,6 +157,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_tokens long, ids array<int>").orc(path)
 
 
+def _file_name() -> Column:
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(2)
@@ -172,10 +176,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(tokens: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, file, at) counted and hashed from the ids that were read back."""
-    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     # Rows of a file keep their order in a task, and this id grows with it; splits of a file are in order of offset.
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = tokens.select("doc_id", "n_tokens", "ids", file.alias("file"), at.alias("at"))
+    rows = tokens.select("doc_id", "n_tokens", "ids", _file_name().alias("file"), at.alias("at"))
     return rows.mapInArrow(
         _digests, "doc_id long, n_tokens long, ids_crc32 long, file string, at struct<block: long, row: long>"
     )
@@ -193,8 +196,10 @@ def token_output(
     spark = docs.sparkSession
     path = work_dir(spark, "tokens")
     write_tokens(docs, path, vocabulary, end_id, id_col, text_col)
-    rows = digests(read_tokens(spark, path))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    tokens = read_tokens(spark, path)
+    rows = digests(tokens)
+    # The counts are a column of their own: this pass doesn't touch the ids.
+    files = tokens.groupBy(_file_name().alias("file")).agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
