@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import stored, table
-from folioscope.llm.decontaminate import decontaminate
+from folioscope.llm.decontaminate import clean
 from folioscope.llm.mixing import materialise
 from folioscope.llm.quality import quality
 from folioscope.llm.simhash import simhash_components
@@ -26,18 +26,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays; of rows with that id, one."""
-    found = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each SimHash component the document with the smallest id stays, once.
+
+    Documents without an id come last; a hash of the text, above all ids
+    that are expected, stands in for it.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    stand_in = text_hash.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumns({"_key": F.coalesce("doc_id", stand_in), "_hash": text_hash})
+    found = simhash_components(keyed, id_col="_key").where(F.col("_key") == F.col("component_id"))
+    kept = keyed.join(found.select("_key").distinct(), "_key", "left_semi")
+    return kept.dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word inside a test item's window go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    gone = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ _TABLE = bytes(
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 Item = tuple[int | None, bytes]
+#: Characters of windows that one automaton takes.
+BLOCK_CHARS = 50_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -149,7 +152,7 @@ def scan(
     window: int = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_chars: int = 50_000_000,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, spans), one row per row of ``docs``.
 
@@ -173,6 +176,30 @@ def scan(
     return out.withColumnRenamed("id", id_col)
 
 
+def _clean(blocks: list[list[Item]], window: int, position: int):
+    scanner = _scanner(blocks, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                waiting.append(batch)
+                column = batch.column(position).fill_null("")
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(column), pa.int64()), column], ["id", "text"])
+
+        for found in scanner(texts()):
+            yield waiting.pop(0).filter(pc.equal(found.column("n_hit"), 0))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit, all columns as they are. It goes by rows, so ids may be null or repeated, and moves no text."""
+    blocks = blocks_of(load_items(benchmark), window, BLOCK_CHARS)
+    return docs.mapInArrow(_clean(blocks, window, docs.columns.index(text_col)), docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """scan() with ``contaminated`` (n_hit > 0)."""
     return scan(docs, load_items(benchmark), window).withColumn("contaminated", F.col("n_hit") > 0)

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from folioscope.llm.decontaminate import decontaminate, load_items, scan
+from folioscope.llm.decontaminate import clean, decontaminate, load_items, scan
 from tests.llm.cases import TEXTS, docs, empty, rows_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,3 +52,12 @@ def test_a_table(spark, sf):
     want = brute([(r.doc_id, r.text) for r in df.collect()], [(r.item_id, r.text) for r in bench.collect()])
     assert rows_of(decontaminate(df, bench).drop("spans")) == want
     assert any(r[5] for r in want)
+
+
+def test_clean_rows_stay_as_they_are(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    df = docs(spark)
+    hit = [r[5] for r in brute(TEXTS, ITEMS)]
+    got = clean(df, items)
+    assert got.columns == df.columns and got.count() == hit.count(False)
+    assert {r.text for r in got.collect()} == {t for t in (x[1] for x in TEXTS) if not brute([(0, t)], ITEMS)[0][5]}

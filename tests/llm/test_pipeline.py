@@ -56,3 +56,16 @@ def test_each_stage_against_brute_force(spark, sf):
 
     ids = stages["token-id output"](spark, mixed, sf)
     assert rows_of(ids) == brute_tokens([(r.doc_id, r.text, None) for r in made])
+
+
+def test_rows_without_ids_are_documents_too(spark, sf):
+    long = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(None, long[0], "en", "a", 1), (None, long[1], "en", "a", 1), (None, long[1], "en", "a", 1), (5, long[2], "en", "a", 1), (None, long[2], None, None, None), (6, long[3], "en", "a", 1), (6, long[3], "en", "a", 1), (7, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["simhash near-dedup"](spark, docs, sf)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in one.collect()))) == sorted(map(str, [(None, long[0]), (None, long[1]), (5, long[2]), (6, long[3]), (7, None)]))
+    assert stages["benchmark decontamination"](spark, one, sf).count() == 5
+    mixed = stages["mixing"](spark, one, sf)
+    assert mixed.columns == docs.columns and stages["token-id output"](spark, mixed, sf).count() == mixed.count()
+    assert stages["quality classifier"](spark, docs.limit(0), sf).count() == 0
