@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- Fixed values: vocabulary terms of the data model.
+# --- Fixed values: vocabulary terms of the data model; "local" stands for the installation's own vocabulary.
 IS_PART_OF, TITLE, TYPE, SUBJECT = "dcterms:isPartOf", "dcterms:title", "dcterms:type", "dcterms:subject"
 LANGUAGE, FORMAT, SPATIAL, PROVENANCE = "dcterms:language", "dcterms:format", "dcterms:spatial", "dcterms:provenance"
 CREATOR, CONTRIBUTOR, PUBLISHER = "dcterms:creator", "dcterms:contributor", "dcterms:publisher"
 FUNDER, TEMPORAL, ABSTRACT = "frapo:isFundedBy", "dcterms:temporal", "dcterms:abstract"
 AUTHORS, EDITORS = "bibo:authorList", "bibo:editorList"
 LATITUDE, LONGITUDE = "geo:lat", "geo:long"
-DATE_RANKS = {"dcterms:issued": 1, "dcterms:created": 2, "dcterms:date": 3, "dre:hasDateCollected": 4}
+DATE_RANKS = {"dcterms:issued": 1, "dcterms:created": 2, "dcterms:date": 3, "local:hasDateCollected": 4}
 LITERAL_TERMS = (
     "bibo:authorList", "bibo:doi", "bibo:editorList", "bibo:pages", "dcterms:abstract", "dcterms:description", "dcterms:extent",
-    "dcterms:identifier", "dcterms:publisher", "dcterms:spatial", "dcterms:subject", "dre:id", "bibo:abstract",
+    "dcterms:identifier", "dcterms:publisher", "dcterms:spatial", "dcterms:subject", "local:id", "bibo:abstract",
 )
 ORGANISATION, PERSON, PROJECT, LOCATION, GROUP, JOURNAL = (
     "foaf:Organization", "foaf:Person", "foaf:Project", "dcterms:Location", "frapo:ResearchGroup", "bibo:Journal",

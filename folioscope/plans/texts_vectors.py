@@ -337,7 +337,7 @@ def issue_groups(spark, sf_dir):
     return gallery.issue_contents(o.select(key.alias("item_id"), F.concat(F.lit("Order "), key.cast("string")).alias("title"), doi.alias("doi"), pages.alias("pages"), F.when(key % 5 != 0, F.year(day)).alias("year")))
 
 
-_DATES = ("dcterms:issued", "dcterms:created", "dcterms:date", "dre:hasDateCollected")
+_DATES = ("dcterms:issued", "dcterms:created", "dcterms:date", "local:hasDateCollected")
 
 
 @table_query("preferred_dates", """

@@ -98,22 +98,22 @@ def projected(links: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def item_sets(t: dict[str, DataFrame]) -> DataFrame:
-    """(set_id, title, dre_id, part_of): public item sets."""
+    """(set_id, title, code, part_of): public item sets."""
     sets = t["resource"].where((F.col("is_public") == 1) & (F.col("resource_type") == "item_set")).select(F.col("id").alias("item_id"))
     stated = statements(t, sets)
     first = lambda term: F.min_by(F.when(F.col("term") == term, F.col("value")), F.when((F.col("term") == term) & F.col("value").isNotNull(), F.col("ord")))
     part = F.array_sort(F.collect_set(F.when(F.col("term") == C.IS_PART_OF, F.col("target"))))
-    rows = stated.groupBy("item_id").agg(first(C.TITLE).alias("title"), F.trim(first("dre:id")).alias("dre_id"), part.alias("part_of"))
+    rows = stated.groupBy("item_id").agg(first(C.TITLE).alias("title"), F.trim(first("local:id")).alias("code"), part.alias("part_of"))
     return sets.join(rows, "item_id", "left").withColumnRenamed("item_id", "set_id")
 
 
 def project_collections(sets: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project, set_id): sets (set_id, dre_id, part_of) by their isPartOf link to a project (item_id, dre_id); a project without one by equal code, among sets not linked to any."""
+    """(project, set_id): sets (set_id, code, part_of) by their isPartOf link to a project (item_id, code); a project without one by equal code, among sets not linked to any."""
     linked = sets.select("set_id", F.explode("part_of").alias("project")).join(projects.select(F.col("item_id").alias("project")), "project", "left_semi")
-    free_sets = sets.where("dre_id is not null and dre_id != ''").join(linked.select("set_id"), "set_id", "left_anti")
-    free_projects = projects.where("dre_id is not null and dre_id != ''").join(linked.select(F.col("project").alias("item_id")), "item_id", "left_anti")
-    by_code = free_projects.groupBy(F.trim("dre_id").alias("code")).agg(F.min("item_id").alias("project"))
-    coded = free_sets.select("set_id", F.trim("dre_id").alias("code")).join(by_code, "code").select("project", "set_id")
+    free_sets = sets.where("code is not null and code != ''").join(linked.select("set_id"), "set_id", "left_anti")
+    free_projects = projects.where("code is not null and code != ''").join(linked.select(F.col("project").alias("item_id")), "item_id", "left_anti")
+    by_code = free_projects.groupBy(F.trim("code").alias("trimmed")).agg(F.min("item_id").alias("project"))
+    coded = free_sets.select("set_id", F.trim("code").alias("trimmed")).join(by_code, "trimmed").select("project", "set_id")
     return linked.select("project", "set_id").unionByName(coded).distinct()
 
 
@@ -125,8 +125,13 @@ def project_members(corpus: Corpus, collections: DataFrame) -> DataFrame:
     return kids.unionByName(held).where("entity != item_id").distinct()
 
 
-def load(t: dict[str, DataFrame], site_id: int, record_template: int | None = None) -> Corpus:
-    """The public corpus of a site; a site without public items is an error."""
+def load(t: dict[str, DataFrame], site_id: int, record_template: int | None = None, local_prefix: str = "local") -> Corpus:
+    """The public corpus of a site; a site without public items is an error.
+
+    ``local_prefix`` is the prefix of the installation's own vocabulary, whose terms are called local: here.
+    """
+    own = F.when(F.col("prefix") == local_prefix, "local").otherwise(F.col("prefix"))
+    t = t | {"vocabulary": t["vocabulary"].withColumn("prefix", own)}
     scope = in_scope(t, site_id)
     if scope.isEmpty():
         raise ValueError(f"site {site_id} has no public items")

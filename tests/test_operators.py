@@ -227,7 +227,7 @@ def relational(spark):
         "item": [(1, None), (2, None), (3, None), (4, None)],
         "site": [(7, 1), (8, 0)],
         "item_site": [(1, 7), (2, 7), (3, 7), (4, 8)],
-        "vocabulary": [(1, "dcterms"), (2, "geo"), (3, "foaf"), (4, "dre")],
+        "vocabulary": [(1, "dcterms"), (2, "geo"), (3, "foaf"), (4, "own")],
         "property": [(1, 1, "title", "Title"), (2, 1, "subject", "Subject"), (3, 2, "lat", "Lat"), (4, 2, "long", "Long"), (5, 1, "date", "Date"), (6, 1, "issued", "Issued"), (7, 1, "temporal", "When"), (8, 1, "alternative", "Alt"), (9, 1, "isPartOf", "Part"), (10, 4, "id", "Code")],
         "resource_class": [(5, 3, "Project", "Project")],
         "resource_template": [(10, "T", 8)],
@@ -251,7 +251,7 @@ def relational(spark):
 
 def test_relational_load(spark):
     t = relational(spark)
-    c = eav.load(t, 7)
+    c = eav.load(t, 7, local_prefix="own")
     assert rows(c.items, "item_id", "title", "class_term", "year") == [(1, "own", "foaf:Project", 2001), (3, "Item 3", None, None)]
     assert rows(c.links, "src", "term", "dst", "ord") == [(1, "dcterms:subject", 3, 4)]
     assert rows(c.geo) == [(1, 10.5, 20.0)] and rows(c.temporal) == [(1, "2001", "2003")] and rows(c.memberships) == [(50, 1)]
@@ -261,8 +261,8 @@ def test_relational_load(spark):
 
 
 def test_project_collections(spark):
-    sets = spark.createDataFrame([(50, "X1", [7]), (51, "X2", []), (52, "X2", None), (53, "X1", [])], "set_id long, dre_id string, part_of array<long>")
-    projects = spark.createDataFrame([(7, "X1"), (8, " X2"), (9, "X2")], "item_id long, dre_id string")
+    sets = spark.createDataFrame([(50, "X1", [7]), (51, "X2", []), (52, "X2", None), (53, "X1", [])], "set_id long, code string, part_of array<long>")
+    projects = spark.createDataFrame([(7, "X1"), (8, " X2"), (9, "X2")], "item_id long, code string")
     assert rows(eav.project_collections(sets, projects)) == [(7, 50), (8, 51), (8, 52)]
 
 

@@ -20,6 +20,21 @@ def duck(sf):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def kept_corpus(spark, sf):
+    """The corpus is made once for all tests; queries make it anew."""
+    from dataclasses import fields
+
+    from folioscope.corpus import Corpus
+    from folioscope.plans import registry
+
+    made = registry.bridge.load(spark, sf)
+    made = Corpus(**{f.name: getattr(made, f.name).persist() for f in fields(made)})
+    before, registry.bridge.load = registry.bridge.load, lambda *_: made
+    yield
+    registry.bridge.load = before
+
+
 def normal(v):
     return round(v, 6) + 0.0 if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v
 
