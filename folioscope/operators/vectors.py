@@ -49,6 +49,18 @@ def _best(pdf: pd.DataFrame, other: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else empty
 
 
+def blocked(left: DataFrame, right: DataFrame, block: int = BLOCK):
+    """Rows (item_id, vector, hash) of the two sides, cogrouped so that each pair of blocks is one task."""
+    a, b = (max(1, -(-side.count() // block)) for side in (left, right))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    at = lambda n: F.pmod(F.xxhash64("item_id"), F.lit(n))
+    # Fresh columns: a cogroup of a table with itself can't tell the sides' columns apart otherwise.
+    fresh = [F.col(c).alias(c) for c in ("item_id", "vector", "hash")]
+    left = left.select("item_id", "vector", "hash", at(a).alias("mine"), every(b).alias("theirs"))
+    right = right.select(*fresh, every(a).alias("mine"), at(b).alias("theirs"))
+    return left.groupBy("mine", "theirs").cogroup(right.groupBy("mine", "theirs"))
+
+
 def similar_items(vectors: DataFrame, low_signal: DataFrame | None = None, top: int = 12, block: int = BLOCK) -> DataFrame:
     """(src, dst, score, rank): exact cosine neighbours above 0 by the rounded score, then id; no equal vectors, one per vector.
 
@@ -58,14 +70,7 @@ def similar_items(vectors: DataFrame, low_signal: DataFrame | None = None, top:
     rows = normalised(vectors)
     if low_signal is not None:
         rows = rows.join(low_signal.select("item_id"), "item_id", "left_anti")
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    placed = rows.withColumn("mine", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = placed.select("item_id", "vector", "hash", "mine", every.alias("theirs"))
-    # Fresh columns: a cogroup of a table with itself can't tell the sides' columns apart otherwise.
-    right = placed.select(*[F.col(c).alias(c) for c in ("item_id", "vector", "hash")], every.alias("mine"), F.col("mine").alias("theirs"))
-    pairs = left.groupBy("mine", "theirs").cogroup(right.groupBy("mine", "theirs"))
+    pairs = blocked(rows, rows, block)
     near = pairs.applyInPandas(lambda a, b: _best(a, b, top), "src long, dst long, score double, hash string")
     one = Window.partitionBy("src", "hash").orderBy(F.desc("score"), F.col("dst"))
     near = near.withColumn("_k", F.row_number().over(one)).where("_k = 1")

@@ -35,3 +35,14 @@ def first_seen(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     if events.isStreaming:
         return watermarked(events, late).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
+
+
+def settled(changes: DataFrame, quiet: str = "300 seconds", after_withdrawal: str = "60 seconds") -> DataFrame:
+    """(site_id, due_us, n, withdrawn): bursts of edits (site_id, ts, withdrawn) and when a refresh is due, once no edit has come for ``quiet``.
+
+    An edit that withdraws something waits for less.
+    """
+    gap = F.when(F.col("withdrawn"), F.lit(after_withdrawal)).otherwise(F.lit(quiet))
+    rows = watermarked(changes).groupBy("site_id", F.session_window("ts", gap).alias("w"))
+    burst = rows.agg(F.count(F.lit(1)).alias("n"), F.max("withdrawn").alias("withdrawn"))
+    return burst.select("site_id", F.unix_micros(F.col("w.end").cast("timestamp")).alias("due_us"), "n", "withdrawn")
