@@ -107,7 +107,7 @@ def bundled(frames: dict[str, DataFrame], largest: int = 5000) -> DataFrame:
 def write(corpus: Corpus, countries: DataFrame, path: str, families: tuple[str, ...] = tuple(FAMILIES), only: tuple[str, ...] | None = None) -> None:
     """<path>/<family>/chart=<name> as Parquet, sorted by entity so that readers skip to one.
 
-    One job a chart: a single plan of all of them takes longer to plan than to run.
+    One job a chart: a single plan of all of them is slow even on small tables.
     """
     for family in families:
         for name, df in charts(corpus, family, countries, only).items():

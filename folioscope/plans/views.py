@@ -50,11 +50,11 @@ def first_literals(c):
     return context.first_literals(rows.withColumn("term", term), {"bibo:doi": "doi", "dcterms:identifier": "identifier"})
 
 
-@corpus_query("projects_by_code", "SELECT substr(title, 9, 1) AS code, min(item_id) AS project FROM items WHERE class_term = 'foaf:Project' GROUP BY 1")
+@corpus_query("projects_by_code", "SELECT right(title, 1) AS code, min(item_id) AS project FROM items WHERE class_term = 'foaf:Project' GROUP BY 1")
 def projects_by_code(c):
-    """The code is the first letter after "Project "."""
+    """The code is the last character of the title."""
     projects = c.items.where(F.col("class_term") == C.PROJECT)
-    return context.projects_by_code(projects.select("item_id", F.substring("title", 9, 1).alias("code")))
+    return context.projects_by_code(projects.select("item_id", F.substring("title", -1, 1).alias("code")))
 
 
 @corpus_query("featured_members", """
@@ -74,12 +74,12 @@ def series_counts(c):
 
 
 @corpus_query("playlist_counts", """
-, s AS (SELECT l.dst AS item_id, i.title, count(*) AS n FROM links l JOIN items i ON i.item_id = l.dst WHERE l.term = 'dcterms:isPartOf' AND i.class_term = 'foaf:Project' AND contains(i.title, 'A')
+, s AS (SELECT l.dst AS item_id, i.title, count(*) AS n FROM links l JOIN items i ON i.item_id = l.dst WHERE l.term = 'dcterms:isPartOf' AND i.class_term = 'foaf:Project' AND contains(i.title, '1')
   AND l.src IN (SELECT item_id FROM memberships WHERE set_id = 3) GROUP BY 1, 2)
 SELECT *, row_number() OVER (ORDER BY n DESC, title, item_id) AS rank FROM s
 """)
 def playlist_counts(c):
-    lists = c.items.where((F.col("class_term") == C.PROJECT) & F.col("title").contains("A"))
+    lists = c.items.where((F.col("class_term") == C.PROJECT) & F.col("title").contains("1"))
     return context.playlists(c, lists, c.memberships.where("set_id = 3"))
 
 
