@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from folioscope.functions import columns as C
 from folioscope.operators import geo, knowledge
 from folioscope.plans.registry import corpus_query
@@ -155,8 +153,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY strength DESC,
 
 @corpus_query("kg_shared_items", _SHARED.format(df=700) + "SELECT * FROM rk WHERE rank <= 90")
 def kg_shared_items(c):
-    """Of resources with 700 sources or fewer, which max_df is for: pairs grow with its square."""
-    return knowledge.shared_items(c, max_df=700)
+    """Over all resources; the SQL still leaves out those of more than 700 sources."""
+    return knowledge.shared_items(c)
 
 
 _CAT = """CASE WHEN l.term = 'dcterms:subject' THEN 'Subject' WHEN l.term IN ('dcterms:spatial', 'dcterms:provenance') THEN 'Location' WHEN l.term = 'dcterms:format' THEN 'Genre'
@@ -204,11 +202,8 @@ sl AS (SELECT a.src AS center, b.src AS item_id, round(sum(st.idf), 2) AS streng
 SELECT center, item_id, strength, rank FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY strength DESC, item_id) AS rank FROM sl WHERE strength >= 6.0) WHERE rank <= 30
 """)
 def kg_slider(c):
-    stats = knowledge.resource_stats(c).where("df <= 700")
-    one = c.links.where(knowledge.is_shareable(F.col("term"))).join(c.records, F.col("src") == F.col("item_id"), "left_semi")
-    one = one.select(F.col("dst").alias("resource"), "src").distinct().join(stats, "resource")
-    both = one.select("resource", "idf", "freq_pct", F.col("src").alias("center")).join(one.select("resource", F.col("src").alias("item_id")), "resource").where("center != item_id")
-    return knowledge.slider(both.select("center", "item_id").distinct(), both, 3.8, 6.0, 30)
+    """Over all resources of at most 3.8% of the items; the SQL also leaves out those of more than 700 sources."""
+    return knowledge.shared_items(c, top=30, max_freq_pct=3.8, min_strength=6.0).select("center", "item_id", "strength", "rank")
 
 
 @corpus_query("kg_stats", _SHARED.format(df=300) + _DIRECT + """
@@ -216,4 +211,5 @@ def kg_slider(c):
 SELECT nd.center, count(*) AS nodes, max(m.best) AS max_strength FROM nd LEFT JOIN (SELECT center, max(strength) AS best FROM rk GROUP BY 1) m ON m.center = nd.center GROUP BY 1
 """)
 def kg_stats(c):
-    return knowledge.graph_stats(c, knowledge.direct_relations(c), knowledge.shared_items(c, max_df=300))
+    """Over all resources; the SQL still leaves out those of more than 300 sources."""
+    return knowledge.graph_stats(c, knowledge.direct_relations(c), knowledge.shared_items(c))

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -117,6 +118,29 @@ def test_postings_are_sampled_evenly(spark):
     assert got == [i * n // 256 for i in range(256)]
 
 
+def test_shared_items_count_every_resource(spark):
+    """Against brute force, in several blocks, with a resource beyond any former cap."""
+    from folioscope.plans import places_graphs
+
+    rng = random.Random(1)
+    items = [(i, "x", None, None) for i in range(1, 781)]
+    links = sorted({(s, C.SUBJECT, 901) for s in range(1, 761)} | {(s, C.CREATOR, 910 + rng.randrange(60)) for s in range(1, 781) for _ in range(2)} | {(s, C.SPATIAL, 990) for s in range(700, 781)})
+    c = corpus(spark, items + [(i, "r", None, None) for i in range(900, 1000)], links, records=range(1, 781))
+    idf = {r.resource: r.idf for r in knowledge.resource_stats(c).collect()}
+    of = defaultdict(set)
+    for s, _, d in links:
+        of[s].add(d)
+    want = {}
+    for s in range(1, 781):
+        found = [(-round(sum(idf[r] for r in of[s] & of[o]), 2), o, len(of[s] & of[o])) for o in range(1, 781) if o != s and of[s] & of[o]]
+        want[s] = [(s, o, -w, k, i + 1) for i, (w, o, k) in enumerate(sorted(found)[:90])]
+    columns = ("center", "item_id", "strength", "shared", "rank")
+    got = rows(knowledge.shared_items(c, blocks=(300, 200)), *columns)
+    assert got == sorted((r for part in want.values() for r in part), key=repr)
+    assert rows(places_graphs.kg_shared_items(c), *columns) == got
+    assert rows(places_graphs.kg_stats(c), "center", "max_strength") == sorted(((s, part[0][2]) for s, part in want.items()), key=repr)
+
+
 def test_cross_edges(spark):
     items = [(k, f"x{k}", None, None) for k in (1, 2, 3)]
     c = corpus(spark, items, [(1, C.SUBJECT, 2), (1, C.SUBJECT, 3), (2, C.IS_PART_OF, 3), (3, C.SUBJECT, 2)], records=[1])
