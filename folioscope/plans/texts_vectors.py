@@ -382,8 +382,8 @@ def pagerank(c):
 
 
 def _shown(c):
-    """Ties of persons strong enough to draw."""
-    return network.collaboration(c, min_count=20)
+    """Ties of persons with two records in common or more, as in the other networks."""
+    return network.collaboration(c)
 
 
 @corpus_query("louvain")

@@ -161,6 +161,18 @@ def test_communities(spark, method):
     assert len({found[k] for k in range(5)}) == len({found[k] for k in range(10, 15)}) == 1 and found[0] != found[10]
 
 
+def test_shown_graph_takes_ties_of_two_records(spark):
+    from folioscope.plans import texts_vectors
+
+    people = [(i, "p", C.PERSON, None) for i in range(11, 17)]
+    links = [(r + 10 * k, C.CREATOR, p) for k in range(2) for r, pair in enumerate([(11, 12), (12, 13), (14, 15)], 100) for p in pair] + [(150, C.CREATOR, 15), (150, C.CREATOR, 16)]
+    records = sorted({s for s, *_ in links})
+    c = corpus(spark, people + [(i, "r", None, None) for i in records], links, records=records)
+    for query in (texts_vectors.louvain, texts_vectors.louvain_multilevel, texts_vectors.label_propagation):
+        assert rows(query(c), "node", "community") == [(11, 0), (12, 0), (13, 0), (14, 1), (15, 1)]
+    assert rows(texts_vectors.connected_top_n(c), "node") == rows(texts_vectors.force_layout(c), "node") == [(11,), (12,), (13,), (14,), (15,)]
+
+
 def test_communities_by_key(spark):
     df = spark.createDataFrame([(k, a, b, n) for k in (1, 2) for a, b, n in two_cliques()], "center long, a long, b long, n long")
     assert graphs.communities(df, "louvain", key="center").groupBy("center").count().where("count = 10").count() == 2
