@@ -228,6 +228,25 @@ def test_word_rules(spark):
     assert rows(text.detect_language(langs)) == [(1, "en"), (2, None), (3, None)]
 
 
+def test_keywords_do_not_nest(spark):
+    """Against the greedy choice over the whole list, where nested terms fill the first places."""
+    rng = random.Random(5)
+    terms = [" ".join(rng.sample(["alpha", "beta", "gamma", "delta", "eps", "alphabet", "zeta"], rng.choice([1, 2]))) for _ in range(60)]
+    scored = sorted({(g, t, float(rng.randrange(20))) for g in ("a", "b", None) for t in set(terms)}, key=lambda r: (str(r[0]), -r[2], r[1]))
+    want = []
+    for g in ("a", "b", None):
+        chosen = []
+        for _, t, x in [r for r in scored if r[0] == g]:
+            if len(chosen) < 4 and not any(t in o or o in t for o, _ in chosen):
+                chosen.append((t, x))
+        want += [(g, t, x, i) for i, (t, x) in enumerate(chosen, 1)]
+    got = text.unnested(spark.createDataFrame(scored, "g string, term string, score double"), "g", 4)
+    assert rows(got, "g", "term", "score", "rank") == sorted(want, key=repr)
+    docs = [(i, "heavy metal heavy metal heavy metal" if i % 2 else "quiet", "x") for i in range(10)] + [(20 + i, "filler words only", "y") for i in range(10)]
+    found = [r.term for r in text.keywords(spark.createDataFrame(docs, "item_id long, text string, g string"), "g", top=3).where("g = 'x'").collect()]
+    assert found == ["heavy", "metal", "quiet"]
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(60, 8)).round(2)
