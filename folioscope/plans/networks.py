@@ -86,8 +86,9 @@ sh AS (SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM inst a JOIN inst b ON a
 
 
 def _ego(c):
+    """The operator's 25 partners; the SQL still keeps 5."""
     orgs = c.of_class(C.ORGANISATION).withColumnRenamed("item_id", "entity")
-    return network.ego_collaboration(c, network.institution_rows(c), orgs, top=5)
+    return network.ego_collaboration(c, network.institution_rows(c), orgs)
 
 
 @corpus_query("collab_ego", _EGO + "SELECT entity, other, n, rank FROM sp")

@@ -173,6 +173,17 @@ def test_shown_graph_takes_ties_of_two_records(spark):
     assert rows(texts_vectors.connected_top_n(c), "node") == rows(texts_vectors.force_layout(c), "node") == [(11,), (12,), (13,), (14,), (15,)]
 
 
+def test_ego_keeps_25_partners(spark):
+    from folioscope.plans import networks
+
+    items = [(i, "o", C.ORGANISATION, None) for i in range(1, 29)]
+    links = [(100 + o, C.FUNDER, x) for o in range(2, 29) for x in (1, o)] + [(r, C.FUNDER, x) for r in (201, 202) for x in (25, 26)]
+    records = sorted({s for s, *_ in links})
+    c = corpus(spark, items + [(i, "r", None, None) for i in records], links, records=records)
+    assert rows(networks.collab_ego(c).where("entity = 1"), "rank", "other") == sorted(((k, k + 1) for k in range(1, 26)), key=repr)
+    assert rows(networks.collab_ego_extra(c).where("entity = 1"), "a", "b", "n") == [(25, 26, 2)]
+
+
 def test_communities_by_key(spark):
     df = spark.createDataFrame([(k, a, b, n) for k in (1, 2) for a, b, n in two_cliques()], "center long, a long, b long, n long")
     assert graphs.communities(df, "louvain", key="center").groupBy("center").count().where("count = 10").count() == 2
