@@ -404,12 +404,12 @@ def label_propagation(c):
 @corpus_query("connected_top_n")
 def connected_top_n(c):
     edges = _shown(c)
-    return graphs.connected_top_n(edges, graphs.pagerank(edges, iterations=5), 40)
+    return graphs.connected_top_n(edges, graphs.pagerank(edges), 40)
 
 
 @corpus_query("force_layout")
 def force_layout(c):
-    return graphs.layout(_shown(c), iterations=60)
+    return graphs.layout(_shown(c))
 
 
 @corpus_query("unique_names", """

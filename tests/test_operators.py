@@ -173,6 +173,21 @@ def test_shown_graph_takes_ties_of_two_records(spark):
     assert rows(texts_vectors.connected_top_n(c), "node") == rows(texts_vectors.force_layout(c), "node") == [(11,), (12,), (13,), (14,), (15,)]
 
 
+def test_shown_graph_is_ranked_and_laid_out_to_the_end(spark):
+    from folioscope.plans import texts_vectors
+
+    # A long tail on a dense head: positions still move after 60 rounds.
+    pairs = [(a, b) for a in range(11, 31) for b in range(a + 1, 31) if (a * b) % 3] + [(i, i + 1) for i in range(30, 90)]
+    links = [(1000 + 2 * k + j, C.CREATOR, p) for k, pair in enumerate(pairs) for j in range(2) for p in pair]
+    records = sorted({s for s, *_ in links})
+    c = corpus(spark, [(i, "p", C.PERSON, None) for i in range(11, 91)] + [(i, "r", None, None) for i in records], links, records=records)
+    edges = network.collaboration(c)
+    want = graphs.connected_top_n(edges, graphs.pagerank(edges, iterations=20), 40)
+    assert rows(texts_vectors.connected_top_n(c), "node", "place") == rows(want, "node", "place")
+    got, short = rows(texts_vectors.force_layout(c)), rows(graphs.layout(edges, iterations=60))
+    assert got == rows(graphs.layout(edges, iterations=520)) and got != short
+
+
 def test_ego_keeps_25_partners(spark):
     from folioscope.plans import networks
 
