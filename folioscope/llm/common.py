@@ -31,6 +31,21 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """What lies at ``path`` in the shared folder goes, when nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def input_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Bytes behind ``df``: the size of its files where it reads one table, or else its texts' bytes, counted."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    known = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and known < 1 << 60:
+        return known
+    return df.agg(F.coalesce(F.sum(F.octet_length(text_of(text_col))), F.lit(0))).first()[0]
+
+
 def stored(df: DataFrame, what: str, **how: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession

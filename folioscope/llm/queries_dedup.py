@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import table
 from folioscope.llm.exact_dedup import exact_dedup
-from folioscope.llm.line_dedup import file_batches, line_dedup
+from folioscope.llm.line_dedup import line_dedup
 from folioscope.llm.simhash import simhash_components
 
 
@@ -37,8 +37,7 @@ WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = line_dedup(file_batches(docs, 4))
+    out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -8,7 +8,7 @@ import xxhash
 
 from folioscope.llm import simhash
 from folioscope.llm.exact_dedup import exact_dedup
-from folioscope.llm.line_dedup import LineRuns, file_batches, line_dedup
+from folioscope.llm.line_dedup import LineRuns, line_dedup
 from tests.llm.cases import TEXTS, docs, empty, rows_of
 
 WS = "[ \t\n\x0b\x0c\r]"
@@ -71,10 +71,47 @@ def test_line_runs_are_sorted_and_compacted(spark):
             assert [r.key for r in part] == sorted(r.key for r in part)
 
 
+def test_line_runs_settle_and_merge(spark):
+    """Four batches from one table: two levels of merges, by joins that neither move nor sort a run."""
+    store = LineRuns(spark, min_docs=3, buckets=5)
+    plans, merged = [], store.merged
+    store.merged = lambda runs: plans.append(df := merged(runs)) or df
+    batches = [["a", "b"], ["a"] * 3 + ["c"], ["a", "b", "d"], ["a", "b"]]
+    added = []
+    for batch in batches:
+        store.add(spark.createDataFrame([(k,) for k in batch], "key string"))
+        added.append([len(level) for level in store.levels])
+    assert added == [[1], [0, 1], [1, 1], [0, 0, 1]] and store.merges == 3
+    # a is settled by the second batch (1 + 3) and counted no more
+    assert rows_of(store.totals()) == [("a", 4), ("b", 3), ("c", 1), ("d", 1)]
+    assert rows_of(store.frequent(3)) == [("a",), ("b",)]
+    with store._cut_alike():
+        runs = []
+        for batch in (["a", "b"], ["b", "c"]):
+            store._write(spark.createDataFrame([(k, 1) for k in batch], "key string, n_docs long"), 0)
+            runs.append(store.levels[0][-1])
+        plan = merged(runs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+
+
+def test_line_dedup_takes_four_batches_of_one_file(spark, sf, monkeypatch):
+    made = []
+    add = LineRuns.add
+    monkeypatch.setattr(LineRuns, "add", lambda self, keys: made.append(self) or add(self, keys))
+    line_dedup(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert len(made) == 4 and made[0].merges == 3 and len(made[0].runs()) == 1
+
+
+def test_line_dedup_of_a_hot_line(spark):
+    """One line in every document; keys in no more than the floor go by the merge join."""
+    rows = [(i, f"every\nsome {i % 3}\nten {i // 10}\nown {i}\nevery", "a") for i in range(60)]
+    assert rows_of(line_dedup(docs(spark, rows))) == brute_lines(rows, 10)
+
+
 def test_line_dedup_of_a_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text, None) for r in df.collect()]
-    assert rows_of(line_dedup(file_batches(df, 4), min_docs=3)) == brute_lines(rows, 3)
+    assert rows_of(line_dedup(df, min_docs=3)) == brute_lines(rows, 3)
 
 
 def brute_fingerprint(text):
