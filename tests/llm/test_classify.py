@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +22,11 @@ def big(spark):
     return spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
 
 
+@pytest.fixture(scope="module")
+def restorer(big):
+    return toxicity.Restorer(toxicity.language_model(big[0]))
+
+
 def held(df):
     return df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
 
@@ -111,6 +120,64 @@ def test_deobfuscation(big):
         assert restore(token) == brute(token)
 
 
+def written_oddly(words, seed):
+    """(way, odd, plain): each word written in one of five ways."""
+    rng = random.Random(seed)
+    marks = {}
+    for mark, letters in toxicity.LEET.items():
+        for c in letters:
+            marks.setdefault(c, []).append(mark)
+
+    def leet(w):
+        return "".join(rng.choice(marks[c]) if c in marks and rng.random() < 0.5 else c for c in w)
+
+    def alike(w):
+        chosen = {c: rng.choice(marks[c]) if c in marks and rng.random() < 0.6 else c for c in sorted(set(w))}
+        return "".join(chosen[c] for c in w)
+
+    def inserted(w):
+        k = rng.randrange(1, len(w))
+        return w[:k] + rng.choice("_*.-") + w[k:]
+
+    def stretched(w):
+        k = rng.randrange(len(w))
+        return w[:k] + w[k] * rng.randint(3, 5) + w[k + 1 :]
+
+    def numbered(w):
+        return w + rng.choice(["12", "3", "99", "7", "2024"])
+
+    doubled = [w for w in words if re.search(r"(.)\1", w)]
+    for way, some in ((leet, words), (alike, doubled), (inserted, words), (stretched, words), (numbered, words)):
+        for w in rng.sample(some, min(500, len(some))):
+            odd = way(w)
+            if odd != w:
+                yield way.__name__, odd, w
+
+
+def test_deobfuscation_of_the_corpus_own_words(big, restorer):
+    """Not tokens chosen by hand: words of the documents, written oddly. The seed isn't the one that the costs were chosen by."""
+    df, _ = big
+    texts = [r.text or "" for r in df.select("text").collect()]
+    often = Counter(w for t in texts for w in re.findall(r"[a-z]+", t.lower()) if 3 <= len(w) <= 14)
+    words = sorted(w for w, n in often.items() if n >= 20)
+    right, of = Counter(), Counter()
+    for way, odd, plain in written_oddly(words, 99):
+        of[way] += 1
+        right[way] += restorer(odd) == plain
+    assert len(of) == 5 and all(right[way] >= 0.9 * n for way, n in of.items()), {way: right[way] / n for way, n in of.items()}
+
+
+@pytest.mark.parametrize("odd, plain", [("c@ll", "call"), ("b00k", "book"), ("w0rthl3ss", "worthless"), ("w0rthle$$", "worthless"), ("sc@m", "scam")])
+def test_short_readings_are_not_favoured(restorer, odd, plain):
+    assert restorer(odd) == plain
+
+
+@pytest.mark.xfail(reason="letters that these documents hardly ever have side by side; README says so", strict=True)
+@pytest.mark.parametrize("odd, plain", [("bu11y", "bully"), ("a$$", "ass"), ("ki11", "kill"), ("us3le55", "useless")])
+def test_known_misreadings(restorer, odd, plain):
+    assert restorer(odd) == plain
+
+
 def test_planted_obfuscated_texts_are_found(spark, big):
     df, labels = big
     clean = df.join(labels.where("toxic = 0 and quality = 1"), "doc_id", "left_semi").where("lang = 'en'").limit(30).collect()
