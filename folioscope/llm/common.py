@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +22,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is one of our own, which only a local master may use."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all nodes of {master} share")
         where = tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(where)
     return where if ":" in where else f"file://{where}"
 
 
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+#: Folders made since the innermost scratch() began; None outside of it.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def work_dir(spark: SparkSession, what: str, keep: bool = False) -> str:
+    """A fresh folder name below the shared folder; without ``keep``, it goes when a scratch() around it ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    made = _SCRATCH.get()
+    if made is not None and not keep:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written in the shared folder meanwhile is deleted in the end: results that read it must have been written by then."""
+    made: list[str] = []
+    before = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        for path in made:
+            delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -55,6 +83,16 @@ def stored(df: DataFrame, what: str, **how: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column (in any case of letters) has."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def text_of(col: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -413,7 +413,7 @@ def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA, verify: boo
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Archives ``pages`` in the shared folder and reads the archives back."""
     spark = pages.sparkSession
-    path = work_dir(spark, "warc")
+    path = work_dir(spark, "warc", keep=True)
     write_warc(pages, path, min_revisit_bytes=min_revisit_bytes, compression="gzip")
     columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return read_warc(spark, path, columns, verify=True).where(F.col("record_type").isin("response", "revisit"))
