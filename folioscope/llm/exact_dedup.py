@@ -8,9 +8,15 @@ narrow the rows that can have an equal:
 3. SHA-256 of all of it, for (length, prefix) pairs found twice.
 
 Levels 1 and 2 move (length, hash, count) only, counted map-side first.
-Which rows reach level 3 is told by a bitmap of fixed size (``bits`` bits,
-one hash) that every task gets as a scalar: the text itself is never
-shuffled, and a false positive costs one needless hash and changes nothing.
+Which rows reach level 3 is told by a bitmap that every task gets as a
+scalar: the text itself is never shuffled, and a false positive costs one
+needless hash and changes nothing. The bitmap has some 16 bits for each
+(length, prefix) pair that is found twice, up to MOST_BITS (32 MB); with
+more pairs than that can tell apart, more single texts are hashed in full.
+
+Only rows that reached level 3 meet the groups; all others pass by. Groups of
+more than 1 in HOT_SHARE of all rows, fewer than HOT_SHARE by that, are
+broadcast, so that no task gets all copies of one text.
 """
 
 from __future__ import annotations
@@ -21,6 +27,10 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import stored, text_of, without_spaces
 
 
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+HOT_SHARE = 10_000
+
+
 def _bitmap(keys: DataFrame, bits: int) -> Column:
     """Scalar array of bits / 64 longs with the bit of each row's ``slot`` set."""
     spark = keys.sparkSession
@@ -50,7 +60,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     prefix_chars: int = 128,
-    bits: int = 1 << 20,
+    bits: int | None = None,
     digest_all: bool = False,
 ) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``.
@@ -74,6 +84,8 @@ def exact_dedup(
     pairs = stored(rows.groupBy("norm_len", "prefix").agg(F.count(F.lit(1)).alias("n")), "lengths")
     lengths = pairs.groupBy("norm_len").agg(F.sum("n").alias("n_len")).where("n_len > 1")
     candidates = pairs.where("n > 1").join(lengths, "norm_len", "left_semi")
+    total, twice = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (16 * twice).bit_length()))
     bitmap = _bitmap(candidates.select(_slot(bits, "norm_len", "prefix").alias("slot")), bits)
 
     alive = _is_set(bitmap, _slot(bits, "norm_len", "prefix"))
@@ -95,13 +107,14 @@ def exact_dedup(
         )
         .where("group_size > 1")
     )
+    groups = groups.select("norm_len", "text_sha256", "keep_id", "group_size")
+    floor = max(1, total // HOT_SHARE)
+    on = ["norm_len", "text_sha256"]
+    alive, hot = hashed.where("alive"), F.broadcast(groups.where(F.col("group_size") > floor))
+    rest = alive.join(hot, on, "left_anti").join(groups.where(F.col("group_size") <= floor), on, "left")
+    alone = hashed.where(~F.col("alive")).withColumns({"keep_id": F.col("id"), "group_size": F.lit(None).cast("long")})
+    out = alive.join(hot, on).unionByName(rest).unionByName(alone)
     single = F.col("group_size").isNull()
-    key = F.when(F.col("alive"), F.col("text_sha256"))
-    out = hashed.withColumn("key", key).join(
-        groups.select(F.col("text_sha256").alias("key"), F.col("norm_len").alias("g_len"), "keep_id", "group_size"),
-        "key",
-        "left",
-    )
     return out.select(
         F.col("id").alias(id_col),
         F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -39,6 +39,31 @@ def test_exact_dedup_hashes_only_what_earlier_levels_leave(spark):
     assert got[4][4] is None and got[3][2] == 1
 
 
+def test_exact_dedup_deals_out_singles_and_copies(spark):
+    """Without adaptive execution: neither the rows that are alone nor a third of all rows that are copies meet in one task."""
+    from pyspark.sql import functions as F
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("one copy")).when(F.col("id") % 30 == 1, F.lit("x").cast("string")).otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        out = exact_dedup(rows.repartition(8), digest_all=True)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        got = out.groupBy("group_size").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes) <= 3 * sum(sizes) / len(sizes), sizes
+    assert {tuple(r) for r in got} == {(1000, 1000), (100, 100), (1, 1900)}
+
+
+def test_exact_dedup_with_a_full_bitmap(spark):
+    """More pairs than the bitmap tells apart: more rows are hashed, the answer is the same."""
+    assert rows_of(exact_dedup(docs(spark), digest_all=True, bits=64)) == brute_exact(TEXTS)
+
+
 def brute_lines(rows, min_docs):
     low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
     key = lambda line: low(line.strip(" \t\n\x0b\x0c\r"))
