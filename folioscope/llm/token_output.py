@@ -1,6 +1,7 @@
 """Token ids in ORC: integer run-length encoding, row indexes, Bloom filters on document ids.
 
-Writing: rows are dealt by ranges of the document id and sorted, so file k
+Writing: rows are dealt by ranges of the document id, one for each FILE_BYTES
+of input but a few a core at least, and sorted, so file k
 holds smaller ids than file k + 1, each stripe and row group has a narrow
 [min, max] of doc_id, and a lookup by id skips files, stripes and row groups
 by their indexes and Bloom filters. The text is shuffled once, before it is
@@ -15,6 +16,7 @@ hold this against encoding whole texts.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -25,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import text_of, work_dir
+from folioscope.llm.common import input_bytes, text_of, work_dir
 
-#: Words whose ids a worker keeps; beyond it the memory starts anew.
-MEMORY_WORDS = 800_000
+#: Words whose ids a worker keeps, and their most characters; beyond that number the memory starts anew, so it is bounded in bytes too.
+MEMORY_WORDS, MEMORY_CHARS = 800_000, 40
+#: Input behind one file.
+FILE_BYTES = 256 << 20
+#: Rows that share an id and a text go to so many ranges.
+SALTS = 64
 #: Letters that lower-casing and composing can only map within the set, one by one.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Such a word and ASCII symbols after it: the tokenizer's pattern always cuts between them. Its contractions need a letter after the apostrophe, its special tokens a letter inside.
@@ -52,13 +58,15 @@ class _Words(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if parts := _SUFFIXED(chunk):
-            self[chunk] = made = self[parts[1]] + self[parts[2]]
-            return made
-        if _LATIN(chunk):
-            ids = [t.id for t in self._tokenize(chunk.lower().translate(self._letters))]
+            made = self[parts[1]] + self[parts[2]]
         else:
-            ids = self._encode(chunk, add_special_tokens=False).ids
-        self[chunk] = made = struct.pack(f"<{len(ids)}I", *ids)
+            if _LATIN(chunk):
+                ids = [t.id for t in self._tokenize(chunk.lower().translate(self._letters))]
+            else:
+                ids = self._encode(chunk, add_special_tokens=False).ids
+            made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= MEMORY_CHARS:
+            self[chunk] = made
         return made
 
 
@@ -133,13 +141,17 @@ def write_tokens(
     """Writes (doc_id, n_tokens, ids) as ORC below ``path``, in ascending doc_id over files in name order.
 
     Defined cases: a null text is empty, and an empty text has the end id
-    only; equal ids are ordered by text and all written; null ids come
-    first; an empty table writes no rows; other columns are not written;
+    only; equal ids are ordered by a hash of the text, then the text, and all
+    written, and as such rows may be many (null ids are all equal), they
+    are dealt by that hash too; null ids come first; an empty table writes no rows; other columns are not written;
     texts of any length are encoded whole, one row each.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(4 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(input_bytes(docs, text_col) / FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Which of several equal rows goes where makes no difference to what is written.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "salt": salt})
+    ordered = rows.repartitionByRange(n, "doc_id", "hash", "salt").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(_encoder(vocabulary, end_id), "doc_id long, n_tokens long, ids array<int>").write.options(
         **{
             "compression": "zstd",
@@ -194,7 +206,7 @@ def token_output(
     over the whole output. See write_tokens() for nulls, ties and empty texts.
     """
     spark = docs.sparkSession
-    path = work_dir(spark, "tokens")
+    path = work_dir(spark, "tokens", keep=True)
     write_tokens(docs, path, vocabulary, end_id, id_col, text_col)
     tokens = read_tokens(spark, path)
     rows = digests(tokens)

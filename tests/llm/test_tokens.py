@@ -1,9 +1,12 @@
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioscope.llm.common import work_dir
@@ -36,9 +39,14 @@ def test_special_strings():
         assert np.frombuffer(FAST(text), "<u4").tolist() == whole(text)
 
 
+def text_hash(text):
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).view(np.int64))
+
+
 def brute(rows):
+    """Equal ids go by the hash of their text: see write_tokens()."""
     at, out = 0, []
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]), r[1] or "")):
         ids = [*whole(t), 2]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -61,3 +69,45 @@ def test_lookups_are_pushed_down(spark, sf):
     df = read_tokens(spark, path).where("doc_id = 7")
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in df._jdf.queryExecution().toString()
     assert [r.doc_id for r in df.collect()] == [7]
+
+
+def test_files_have_bloom_filters_and_several_stripes(spark, tmp_path):
+    path = str(tmp_path / "orc")
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 50).alias("text"))
+    write_tokens(rows.coalesce(1), path, PATH, stripe_mb=0, row_index_stride=1000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stripes, blooms, last = [], 0, -1
+    for file in sorted(p for p in os.listdir(path) if p.endswith(".orc")):
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{file}")
+        reader = jvm.org.apache.orc.OrcFile.createReader(at, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        stripes.append(reader.getStripes().size())
+        assert str(reader.getSchema().toString()).startswith("struct<doc_id:bigint")
+        columns = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+        for k in range(len(columns)):
+            columns[k] = True
+        index = reader.rows().readRowIndex(0, columns, columns)
+        blooms += index.getBloomFilterIndex()[1] is not None
+        low, high = (spark.read.orc(f"{path}/{file}").agg(F.min("doc_id"), F.max("doc_id")).first())
+        assert last < low
+        last = high
+    assert blooms == len(stripes) and max(stripes) >= 2, (stripes, blooms)
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    """A third of all rows without an id, another third whole copies of one row: no file gets more than three times the mean."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 1, F.lit(7)).when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 1, F.lit("copy of one")).otherwise(F.concat(F.lit("text "), "id")).alias("text"),
+    )
+    path = work_dir(spark, "orc")
+    write_tokens(rows, path, PATH)
+    files = read_tokens(spark, path).groupBy(F.col("_metadata.file_path")).count().collect()
+    sizes = [r["count"] for r in files]
+    assert sum(sizes) == 3000 and len(sizes) > 4 and max(sizes) <= 3 * 3000 / len(sizes), sizes
+
+
+def test_very_long_tokens_are_not_remembered():
+    encode = WordEncoder(PATH)
+    long = "x" * 200_000
+    assert np.frombuffer(encode(f"a {long} b"), "<u4").tolist() == whole(f"a {long} b")
+    assert long not in encode._words and "a" in encode._words
