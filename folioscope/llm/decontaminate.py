@@ -8,10 +8,11 @@ normalised bytes are scanned once per automaton, and matches are
 mapped back to words and to code points of the original text.
 
 Items ship to the tasks as text. All of them make one automaton up to
-``block_chars`` characters of windows; more are cut into blocks whose
-automata a worker builds one after another over the same batch of documents,
-so memory is bounded whatever the number of items, and no document is
-shuffled.
+``block_chars`` characters of windows; more are cut into blocks. A worker
+holds one automaton at a time: it scans about HELD_BYTES of documents by all
+blocks in turn, the next documents by the same blocks backwards, and so builds
+(blocks - 1) automata for that much text. Memory is bounded whatever the number
+of items, and no document is shuffled.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 Item = tuple[int | None, bytes]
 #: Characters of windows that one automaton takes.
 BLOCK_CHARS = 50_000_000
+#: Bytes of documents that are held while one automaton after another scans them.
+HELD_BYTES = 128 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -82,56 +85,87 @@ def blocks_of(items: list[Item], window: int, block_chars: int) -> list[list[Ite
     return blocks
 
 
-def _scanner(blocks: list[list[Item]], window: int):
+def automaton_of(block: list[Item], window: int) -> ahocorasick.Automaton | None:
+    """The automaton of a block; the last one made outlasts its task, as the next task of the worker asks for it too."""
+    name = hashlib.sha256(repr((window, block)).encode()).digest()
+    if _LAST.get("name") != name:
+        _LAST.clear()  # before the next one is built: they don't stand in memory together
+        _LAST.update(name=name, made=automaton(block, window))
+    return _LAST["made"]
+
+
+_LAST: dict = {}
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    group, held = [], 0
+    for batch in batches:
+        group.append(batch)
+        held += batch.nbytes
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _plain(text: bytes) -> tuple[int, str]:
+    """Number of words, and the words between single spaces, bytes as Latin-1 characters."""
+    words = words_of(text)
+    return len(words), f" {b' '.join(words).decode('latin-1')} " if words else ""
+
+
+def _scanner(blocks: list[list[Item]], window: int, held_bytes: int = HELD_BYTES):
     names = [[str(i) if i is not None else "" for i, _ in b] for b in blocks]
 
+    def found_in(batch: pa.RecordBatch, n_words: np.ndarray, hits: dict[int, list], items: dict[int, set[str]]) -> pa.RecordBatch:
+        texts = batch.column(1).cast(pa.binary())
+        n_hit = np.zeros(len(texts), np.int64)
+        spans: list[list] = [[] for _ in texts]
+        for k, found in hits.items():
+            text = texts[k].as_py()
+            at = np.frombuffer(_plain(text)[1].encode("latin-1"), np.uint8)
+            starts = np.flatnonzero(at == 32)[:-1] + 1  # byte where each word starts
+            first = np.searchsorted(starts, np.array([f for f, _ in found]))
+            change = np.zeros(n_words[k] + 1, np.int64)
+            np.add.at(change, first, 1)
+            np.add.at(change, first + np.array([c for _, c in found]), -1)
+            hit = np.cumsum(change[:-1]) > 0
+            n_hit[k] = hit.sum()
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            place = [m.span() for m in _WORD.finditer(text.decode())]
+            spans[k] = [{"start": place[a][0], "end": place[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])]
+        joined = [sorted(items.get(k, ())) for k in range(len(texts))]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(n_words),
+                pa.array(n_hit),
+                pa.array([len(x) for x in joined], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in joined]),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            ],
+            ["id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list = [None, None]  # number of the automaton that stands in memory, and it
-
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
-            n_words, plain = np.zeros(len(texts), np.int64), []
-            for k, text in enumerate(texts):
-                words = words_of(text)
-                n_words[k] = len(words)
-                plain.append(f" {b' '.join(words).decode('latin-1')} " if words else "")
-            hits: dict[int, list] = {}
-            items: dict[int, set[str]] = {}
-            for number, block in enumerate(blocks):
-                if kept[0] != number:
-                    kept[:] = [number, automaton(block, window)]
-                if kept[1] is None:
-                    continue
-                for k, text in enumerate(plain):
-                    for end, (length, count, owners) in kept[1].iter(text):
-                        hits.setdefault(k, []).append((end - length, count))
-                        items.setdefault(k, set()).update(names[number][o] for o in owners)
-            n_hit = np.zeros(len(texts), np.int64)
-            spans: list[list] = [[] for _ in texts]
-            for k, found in hits.items():
-                at = np.frombuffer(plain[k].encode("latin-1"), np.uint8)
-                starts = np.flatnonzero(at == 32)[:-1] + 1  # byte where each word starts
-                first = np.searchsorted(starts, np.array([f for f, _ in found]))
-                change = np.zeros(n_words[k] + 1, np.int64)
-                np.add.at(change, first, 1)
-                np.add.at(change, first + np.array([c for _, c in found]), -1)
-                hit = np.cumsum(change[:-1]) > 0
-                n_hit[k] = hit.sum()
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                place = [m.span() for m in _WORD.finditer(texts[k].decode())]
-                spans[k] = [{"start": place[a][0], "end": place[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])]
-            joined = [sorted(items.get(k, ())) for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words),
-                    pa.array(n_hit),
-                    pa.array([len(x) for x in joined], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in joined]),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                ["id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
-            )
+        order = list(range(len(blocks)))
+        # One automaton needs no documents held.
+        for group in _held(batches, held_bytes if len(blocks) > 1 else 0):
+            n_words = [np.zeros(len(batch), np.int64) for batch in group]
+            hits: list[dict[int, list]] = [{} for _ in group]
+            items: list[dict[int, set[str]]] = [{} for _ in group]
+            for number in order or [None]:
+                made = None if number is None else automaton_of(blocks[number], window)
+                for n, batch in enumerate(group):
+                    for k, text in enumerate(batch.column(1).cast(pa.binary())):
+                        n_words[n][k], plain = _plain(text.as_py())
+                        for end, (length, count, owners) in made.iter(plain) if made else ():
+                            hits[n].setdefault(k, []).append((end - length, count))
+                            items[n].setdefault(k, set()).update(names[number][o] for o in owners)
+            order.reverse()
+            for n, batch in enumerate(group):
+                yield found_in(batch, n_words[n], hits[n], items[n])
 
     return run
 
@@ -195,7 +229,14 @@ def _clean(blocks: list[list[Item]], window: int, position: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns as they are. It goes by rows, so ids may be null or repeated, and moves no text."""
+    """The rows of ``docs`` without a hit, all columns as they are.
+
+    It goes by rows and moves no text. Defined cases: null and empty texts
+    have no words and stay; ids aren't read, so they may be null or
+    repeated, and rows that repeat whole share one fate; columns may have
+    any names and types; without items all rows stay; an empty table gives
+    no rows; texts of any length are scanned whole.
+    """
     blocks = blocks_of(load_items(benchmark), window, BLOCK_CHARS)
     return docs.mapInArrow(_clean(blocks, window, docs.columns.index(text_col)), docs.schema)
 

@@ -1,6 +1,10 @@
 import hashlib
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from folioscope.llm import decontaminate as module
 from folioscope.llm.decontaminate import clean, decontaminate, load_items, scan
 from tests.llm.cases import TEXTS, docs, empty, rows_of
 
@@ -47,6 +51,31 @@ def test_blocks_of_items_give_the_same(spark):
     assert rows_of(a) == rows_of(b)
 
 
+def test_blocks_build_few_automata(monkeypatch):
+    """Two blocks over twelve batches, held four at a time: one automaton for each group of batches, and one to begin with."""
+    items = [(1, b"one two three"), (2, b"four five six")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array(["one two three four five six seven"])], ["id", "text"]) for k in range(12)]
+    blocks = module.blocks_of(items, 10, 1)
+    built, build = [], module.automaton
+    monkeypatch.setattr(module, "automaton", lambda *of: built.append(of) or build(*of))
+    module._LAST.clear()
+    found = list(module._scanner(blocks, 10, held_bytes=4 * batches[0].nbytes)(iter(batches)))
+    assert len(blocks) == 2 and len(built) == 1 + 3
+    assert [f.column("n_hit").to_pylist() for f in found] == [[6]] * 12 and found[0].column("n_items")[0].as_py() == 2
+    assert [f.column("id")[0].as_py() for f in found] == list(range(12))
+    built.clear()
+    assert len(list(module._scanner(blocks, 10)(iter(batches)))) == 12 and len(built) <= 2
+
+
+def test_clashing_names_and_long_tokens(spark):
+    items = spark.createDataFrame([*ITEMS, (20, "x" * 300_000 + " y")], "item_id long, text string")
+    rows = [*TEXTS, (30, "a " + "x" * 300_000 + " y", "s"), (31, "z" * 1_000_000, "s")]
+    df = docs(spark, rows).withColumns({c: F.lit("x") for c in ("words", "n_hit", "n_words", "n_items", "spans", "items_sha256", "contaminated")})
+    assert rows_of(decontaminate(df, items).drop("spans")) == brute(rows, [*ITEMS, (20, "x" * 300_000 + " y")])
+    got = clean(df, items)
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r[0]) for r in rows if not brute([r], ITEMS)[0][5] and r[0] != 30)
+
+
 def test_a_table(spark, sf):
     df, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = brute([(r.doc_id, r.text) for r in df.collect()], [(r.item_id, r.text) for r in bench.collect()])
