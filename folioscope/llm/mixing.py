@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored, text_of
+from folioscope.llm.common import stored, text_of, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table that meets documents by source are laid out so many times: no task gets more than this share of a source.
@@ -142,7 +142,8 @@ def mix(
 
     circle = Window.partitionBy("skey", "shard").orderBy("row_hash", "id", "size")
     at = F.coalesce(F.sum("size").over(circle.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = placed.withColumn("at", at).join(cells, ["skey", "shard"])
+    # Rows without words, which may be alike and many, have no place on the circle.
+    out = placed.where("size > 0").withColumn("at", at).join(cells, ["skey", "shard"])
     cell = F.greatest(F.col("cell_size"), F.lit(1))
     # Words [start, start + rest) of the circle are taken once more than all others.
     passes, rest = F.floor(F.col("length") / cell), F.pmod(F.col("length"), cell)
@@ -162,19 +163,10 @@ def mix(
         + F.greatest(F.col("last_word") - F.col("first_word"), F.lit(0))
         + F.col("second_last")
     )
-    return out.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        taken.cast("long").alias("taken"),
-        "full_passes",
-        "first_word",
-        "last_word",
-        "second_first",
-        "second_last",
-        "row_hash",
-    )
+    columns = ["id", "size", "source_size", "target", "taken", "full_passes", "first_word", "last_word", "second_first", "second_last", "row_hash"]
+    out = out.withColumn("taken", taken.cast("long")).select(columns)
+    wordless = placed.where("size = 0").withColumns({c: F.lit(0).cast("long") for c in columns[4:10]}).select(columns)
+    return out.unionByName(wordless).withColumnRenamed("id", id_col)
 
 
 def _cut(position: int, fields: int):
@@ -211,12 +203,21 @@ def _cut(position: int, fields: int):
 
 
 def materialise(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 42, **how) -> DataFrame:
-    """The mix itself: ``docs`` with whole documents repeated and partly taken ones cut at words; other columns are kept."""
+    """The mix itself: ``docs`` with whole documents repeated and partly taken ones cut at words; other columns are kept.
+
+    Defined cases: those of mix(). Null and empty texts, and documents that
+    the mix takes no word of, don't appear; rows alike in id and text share
+    out the words that the mix takes of them in any order, each with its own
+    other columns; a cut text is the stretch from its first word to its last, as
+    written; other columns may have any names; texts of any length are cut
+    whole; an empty table gives no rows.
+    """
     plan = mix(docs, id_col, source_col, text_col, seed=seed, **how)
-    # Rows that share the hash repeat whole: which of them gets which share of the words doesn't matter.
-    nth = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy("_hash").orderBy(F.lit(1))))
     ranges = ["full_passes", "first_word", "last_word", "second_first", "second_last"]
-    chosen = nth(plan.where("taken > 0").select(F.col("row_hash").alias("_hash"), *[F.col(c).alias(f"_{c}") for c in ranges]))
-    hashed = nth(docs.withColumn("_hash", F.xxhash64(F.lit(seed), id_col, text_of(text_col))))
-    rows = hashed.join(chosen, ["_hash", "_nth"]).select(*[docs[c] for c in docs.columns], *[f"_{c}" for c in ranges])
+    key, nth, *own = unused(docs.columns, "row_hash", "nth", *ranges)
+    # Rows that share the hash repeat whole: which of them gets which share of the words doesn't matter.
+    numbered = lambda df: df.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
+    chosen = numbered(plan.where("taken > 0").select(F.col("row_hash").alias(key), *[F.col(c).alias(o) for c, o in zip(ranges, own)]))
+    hashed = numbered(docs.where(text_of(text_col).rlike(WORD)).withColumn(key, F.xxhash64(F.lit(seed), id_col, text_of(text_col))))
+    rows = hashed.join(chosen, [key, nth]).select(*[docs[c] for c in docs.columns], *own)
     return rows.mapInArrow(_cut(docs.columns.index(text_col), len(docs.columns)), docs.schema)
