@@ -16,7 +16,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,8 @@ LEET = {
 LEET_COST, STAR_COST, DROP_COST, DROP_STAR_COST, DROP_LAST_DIGIT_COST, STRETCH_COST = 1.0, 3.0, 14.0, 4.0, 2.5, 8.0
 # --- End of fixed values.
 
+#: Tokens that a worker remembers, and their most characters.
+KNOWN_TOKENS, KNOWN_CHARS = 200_000, 40
 _SIZE = 28  # 0 boundary, 1-26 a-z, 27 other letter
 _DROPPED = 255
 _CLASS = np.zeros(256, np.uint8)
@@ -134,16 +136,18 @@ class Restorer:
         return "".join(reversed(letters))
 
     def __call__(self, token: str) -> str:
+        if len(token) > KNOWN_CHARS:
+            return self._decode(token)
         found = self._known.get(token)
         if found is None:
-            if len(self._known) > 200_000:
+            if len(self._known) > KNOWN_TOKENS:
                 self._known.clear()
             found = self._known[token] = self._decode(token)
         return found
 
-    def restored(self, text: str) -> list[str]:
+    def restored(self, text: str) -> Iterator[str]:
         """Words behind what is written oddly in ``text`` (A-Z lower-cased)."""
-        out, done = [], 0
+        done = 0
         for m in _ODD.finditer(text):
             if m.start() < done:
                 continue
@@ -152,17 +156,21 @@ class Restorer:
             done = end.start() if end else len(text)
             token = _RUN_AT_END.sub("", text[start:done].strip(_EDGE)).strip(_EDGE)
             if any(c.isalpha() for c in token) and (not token.isalpha() or _ODD.search(token)):
-                out.append(self(token))
+                yield self(token)
         for m in _SPACED.finditer(text):
             joined = self(re.sub(r"[ ._*\-]", "", m[0]))
             # A word may stand between other single letters.
-            out += [joined[i:j] for i in range(len(joined)) for j in range(i + 3, min(len(joined), i + 24) + 1)]
-        return out
+            for i in range(len(joined)):
+                for j in range(i + 3, min(len(joined), i + 24) + 1):
+                    yield joined[i:j]
 
-    def words(self, text: bytes) -> set[bytes]:
+    def words(self, text: bytes, among: Container[bytes] | None = None) -> set[bytes]:
+        """Plain and restored words; with ``among`` only those in it, so that a long text of letters set apart takes no room."""
         found = set(text.translate(_LETTERS).split())
-        found.update(w.encode() for w in self.restored(text.lower().decode()))
-        return found
+        restored = (w.encode() for w in self.restored(text.lower().decode()))
+        if among is None:
+            return found.union(restored)
+        return {w for w in found if w in among}.union(w for w in restored if w in among)
 
 
 def _words(model: np.ndarray):
@@ -265,7 +273,7 @@ def _scorer(model: Toxicity):
         restore = Restorer(model.language)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            x = [_sums(restore.words(t.as_py()), model.lexicon) for t in texts]
+            x = [_sums(restore.words(t.as_py(), model.lexicon), model.lexicon) for t in texts]
             p = model.regression(np.array(x).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["id", "score"])
 
