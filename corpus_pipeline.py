@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored, table
+from folioscope.llm.common import scratch, table, unused, work_dir
 from folioscope.llm.decontaminate import clean
 from folioscope.llm.mixing import materialise
 from folioscope.llm.quality import quality
@@ -33,10 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     stand_in = text_hash.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumns({"_key": F.coalesce("doc_id", stand_in), "_hash": text_hash})
-    found = simhash_components(keyed, id_col="_key").where(F.col("_key") == F.col("component_id"))
-    kept = keyed.join(found.select("_key").distinct(), "_key", "left_semi")
-    return kept.dropDuplicates(["_key", "_hash"]).select(*docs.columns)
+    key, digest = unused(docs.columns, "key", "hash")
+    keyed = docs.withColumns({key: F.coalesce("doc_id", stand_in), digest: text_hash})
+    found = simhash_components(keyed, id_col=key).where(F.col(key) == F.col("component_id"))
+    kept = keyed.join(found.select(key).distinct(), key, "left_semi")
+    return kept.dropDuplicates([key, digest]).select(*[docs[c] for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Every stage's rows stay in the shared folder, what it wrote besides doesn't."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = work_dir(spark, name.replace(" ", "-"), keep=True)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
