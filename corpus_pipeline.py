@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import scratch, table, unused, work_dir
 from folioscope.llm.decontaminate import clean
 from folioscope.llm.mixing import materialise
+from folioscope.llm.near_dedup import near_components
 from folioscope.llm.quality import quality
-from folioscope.llm.simhash import simhash_components
 from folioscope.llm.token_output import token_output
 
 
@@ -26,17 +26,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays, once.
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays, once.
 
-    Documents without an id come last; a hash of the text, above all ids
-    that are expected, stands in for it.
+    Documents without an id come last, by a hash of the text; such that
+    share an id go by that hash too, and are told apart by their texts. Null and
+    empty texts are one group. Rows that repeat an id and a text stay once,
+    whichever it is. Other columns may have any names.
     """
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    stand_in = text_hash.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     key, digest = unused(docs.columns, "key", "hash")
-    keyed = docs.withColumns({key: F.coalesce("doc_id", stand_in), digest: text_hash})
-    found = simhash_components(keyed, id_col=key).where(F.col(key) == F.col("component_id"))
-    kept = keyed.join(found.select(key).distinct(), key, "left_semi")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({key: F.xxhash64("doc_id", text), digest: F.xxhash64(text, F.lit(1))})
+    groups = near_components(keyed, id_col=key, words=5, similarity=0.8).distinct()
+    names = keyed.select(key, digest, "doc_id").distinct().join(groups, key)
+    first = F.min_by(F.struct(key, digest), F.struct(F.col("doc_id").isNull(), "doc_id", key, digest))
+    stay = names.groupBy("component_id").agg(first.alias("stays")).select("stays.*")
+    kept = keyed.join(stay, [key, digest], "left_semi")
     return kept.dropDuplicates([key, digest]).select(*[docs[c] for c in docs.columns])
 
 
