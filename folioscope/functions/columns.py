@@ -10,15 +10,18 @@ IS_PART_OF, TITLE, TYPE, SUBJECT = "dcterms:isPartOf", "dcterms:title", "dcterms
 LANGUAGE, FORMAT, SPATIAL, PROVENANCE = "dcterms:language", "dcterms:format", "dcterms:spatial", "dcterms:provenance"
 CREATOR, CONTRIBUTOR, PUBLISHER = "dcterms:creator", "dcterms:contributor", "dcterms:publisher"
 FUNDER, TEMPORAL, ABSTRACT = "frapo:isFundedBy", "dcterms:temporal", "dcterms:abstract"
-AUTHORS, EDITORS = "bibo:authorList", "bibo:editorList"
+AUTHORS, EDITORS, MEMBER, SERIES = "bibo:authorList", "bibo:editorList", "foaf:member", "local:series"
+RELATED = (
+    "dcterms:hasFormat", "dcterms:hasPart", "dcterms:hasVersion", "dcterms:isReplacedBy", "dcterms:isVersionOf", "dcterms:relation", "dcterms:replaces",
+)
 LATITUDE, LONGITUDE = "geo:lat", "geo:long"
 DATE_RANKS = {"dcterms:issued": 1, "dcterms:created": 2, "dcterms:date": 3, "local:hasDateCollected": 4}
 LITERAL_TERMS = (
     "bibo:authorList", "bibo:doi", "bibo:editorList", "bibo:pages", "dcterms:abstract", "dcterms:description", "dcterms:extent",
     "dcterms:identifier", "dcterms:publisher", "dcterms:spatial", "dcterms:subject", "local:id", "bibo:abstract",
 )
-ORGANISATION, PERSON, PROJECT, LOCATION, GROUP, JOURNAL = (
-    "foaf:Organization", "foaf:Person", "foaf:Project", "dcterms:Location", "frapo:ResearchGroup", "bibo:Journal",
+ORGANISATION, PERSON, PROJECT, LOCATION, GROUP, JOURNAL, BOOK_SERIES = (
+    "foaf:Organization", "foaf:Person", "foaf:Project", "dcterms:Location", "frapo:ResearchGroup", "bibo:Journal", "bibo:Series",
 )
 #: marcrel codes that name a place, not an agent.
 PLACE_ROLES = ("marcrel:dbp", "marcrel:evp", "marcrel:mfp", "marcrel:prp", "marcrel:pup", "marcrel:uvp")

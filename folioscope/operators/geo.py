@@ -13,6 +13,7 @@ from folioscope.corpus import Corpus
 from folioscope.functions import columns as C
 from folioscope.operators.network import affiliations, of_class
 from folioscope.operators.ranking import ranked
+from folioscope.operators.temporal import stacked_timeline
 
 #: Most outlines that one call takes: they go to every task.
 MAX_OUTLINES = 20_000
@@ -29,14 +30,15 @@ def square_outlines(spark: SparkSession, size: int = 10) -> DataFrame:
 
 
 def read_outlines(spark: SparkSession, path: str) -> DataFrame:
-    """(name, rings) of a GeoJSON file; the name is the first of four properties that is there."""
+    """(name, rings, aliases, k) of a GeoJSON file; the name is the first of four properties that is there, the aliases are all four, k is the place in the file."""
     point = "array<array<array<double>>>"
     schema = f"features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("features").alias("k", "f"))
-    name = F.coalesce(*[F.col("f.properties")[p] for p in ("ADMIN", "NAME", "NAME_EN", "NAME_LONG")])
+    names = [F.col("f.properties")[p] for p in ("ADMIN", "NAME", "NAME_EN", "NAME_LONG")]
+    name = F.coalesce(*names)
     one = F.from_json("f.geometry.coordinates", point)
     many = F.flatten(F.from_json("f.geometry.coordinates", f"array<{point}>"))
-    return f.select(name.alias("name"), F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many).alias("rings"))
+    return f.select(name.alias("name"), F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many).alias("rings"), F.array_compact(F.array(*names)).alias("aliases"), "k")
 
 
 def _containing(outlines: list[tuple[str, list[np.ndarray]]]):
@@ -93,38 +95,85 @@ def linked_places(corpus: Corpus, term: str, members: DataFrame | None = None) -
     return rows.withColumnRenamed("dst", "item_id").join(corpus.geo, "item_id").join(corpus.titles().withColumnRenamed("dst", "item_id"), "item_id")
 
 
-def place_chain(corpus: Corpus, hops: int = 8) -> DataFrame:
-    """(item_id, place, level): a place and the places above it, by each one's first isPartOf link to a place; a chain that comes back to a place ends."""
+def place_chain(corpus: Corpus) -> DataFrame:
+    """(item_id, place, level): a place and all places above it, by each one's first isPartOf link to a place; a chain that comes back to a place ends.
+
+    One recursive query, a round for each level that there is.
+    """
     up = of_class(corpus, corpus.links.where(F.col("term") == C.IS_PART_OF), C.LOCATION)
     up = of_class(corpus, up, C.LOCATION, column="src").groupBy(F.col("src").alias("place")).agg(F.min_by("dst", "ord").alias("parent"))
-    level = corpus.of_class(C.LOCATION).select("item_id", F.col("item_id").alias("place"), F.array("item_id").alias("seen"))
-    found = level.select("item_id", "place", F.lit(0).alias("level"))
-    for hop in range(1, hops + 1):
-        level = level.join(up, "place").where(~F.array_contains("seen", F.col("parent")))
-        level = level.select("item_id", F.col("parent").alias("place"), F.array_append("seen", F.col("parent")).alias("seen"))
-        found = found.unionByName(level.select("item_id", "place", F.lit(hop).alias("level")))
-    return found
+    return corpus.items.sparkSession.sql(
+        """
+        WITH RECURSIVE chain(item_id, place, level, seen) MAX RECURSION LEVEL 1000 AS (
+          SELECT item_id, item_id, 0, array(item_id) FROM {places}
+          UNION ALL
+          SELECT c.item_id, u.parent, c.level + 1, array_append(c.seen, u.parent) FROM chain c JOIN {up} u ON u.place = c.place WHERE NOT array_contains(c.seen, u.parent)
+        ) SELECT item_id, place, level FROM chain
+        """,
+        places=corpus.of_class(C.LOCATION),
+        up=up,
+    )
 
 
-def publications_by_place(corpus: Corpus, hops: int = 2) -> DataFrame:
-    """(item_id, title, n): records at every level of their places."""
+def publication_places(corpus: Corpus) -> DataFrame:
+    """(src, place, ord): where a record says it was published, and where the journals that it is part of come from."""
     links, _ = corpus.scoped()
-    chain = place_chain(corpus, hops)
-    rows = links.where(F.col("term") == C.SPATIAL).join(chain, F.col("dst") == F.col("item_id")).select("src", "place").distinct()
-    counts = rows.groupBy(F.col("place").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    named = links.where(C.is_place_role(F.col("term"))).select("src", F.col("dst").alias("place"), "ord")
+    journal = of_class(corpus, links.where(F.col("term") == C.IS_PART_OF), C.JOURNAL).select("src", F.col("dst").alias("journal"), "ord")
+    origin = of_class(corpus, corpus.links.where(F.col("term") == C.SPATIAL), C.JOURNAL, column="src")
+    return named.unionByName(journal.join(origin.select(F.col("src").alias("journal"), F.col("dst").alias("place")), "journal").drop("journal"))
+
+
+def published_at(corpus: Corpus) -> DataFrame:
+    """(entity, item_id): every place, at all levels above the places of publication, with the records published there."""
+    rows = publication_places(corpus).join(place_chain(corpus).withColumnRenamed("place", "entity"), F.col("place") == F.col("item_id"))
+    return rows.select("entity", F.col("src").alias("item_id")).distinct()
+
+
+def publications_by_place(corpus: Corpus) -> DataFrame:
+    """(item_id, title, n): records published at each place or below it."""
+    counts = published_at(corpus).groupBy(F.col("entity").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     return counts.join(corpus.titles(), "dst").withColumnRenamed("dst", "item_id")
 
 
-def publication_countries(corpus: Corpus, publications: DataFrame, countries: DataFrame, hops: int = 2) -> DataFrame:
-    """(country, n): publications by the outline, or else the title, of the top place above their place."""
-    links, _ = corpus.scoped()
-    chain = place_chain(corpus, hops)
-    top = chain.groupBy("item_id").agg(F.max_by("place", "level").alias("top"))
-    rows = links.where(F.col("term") == C.SPATIAL).join(publications.select(F.col("item_id").alias("src")), "src", "left_semi").select("src", "dst")
-    titles = corpus.titles().select(F.col("dst").alias("top"), "title")
-    named = top.join(titles, "top").join(countries.select(F.col("item_id").alias("top"), "country"), "top", "left")
-    key = named.select("item_id", F.coalesce("country", "title").alias("country"))
-    return rows.join(key, F.col("dst") == F.col("item_id")).select("src", "country").distinct().groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+def published_timeline(corpus: Corpus) -> DataFrame:
+    """(entity, year, name, n): types by year of what was published at each place or below it."""
+    return stacked_timeline(corpus, published_at(corpus))
+
+
+def outline_names(outlines: DataFrame) -> DataFrame:
+    """(alias, outline) of rows (name, aliases, k): every lower-cased name that an outline answers to; of outlines that share one, the first has it."""
+    rows = outlines.select("name", "k", F.explode("aliases").alias("alias")).where("alias != ''")
+    return rows.groupBy(F.lower("alias").alias("alias")).agg(F.min_by("name", "k").alias("outline"))
+
+
+def publication_countries(corpus: Corpus, publications: DataFrame, names: DataFrame) -> DataFrame:
+    """(country, outline, n, lat, lon): publications, each once, by the top place above their places of publication.
+
+    A top place goes by the outline that answers to its title in ``names``
+    (alias, outline), not by the outline that holds its point, or else by
+    its title. The point is the first one's, the country's or else the place's.
+    """
+    top = place_chain(corpus).groupBy("item_id").agg(F.max_by("place", "level").alias("top"))
+    titles = corpus.titles().select(F.col("dst").alias("top"), F.trim("title").alias("title")).where("title != ''")
+    named = top.join(titles, "top").join(names, F.lower("title") == F.col("alias"), "left").drop("alias")
+    point = lambda on: corpus.geo.select(F.col("item_id").alias(on), F.struct("lat", "lon").alias(f"{on}_at"))
+    named = named.join(point("top"), "top", "left").join(point("item_id"), "item_id", "left")
+    named = named.select(F.col("item_id").alias("place"), F.coalesce("outline", "title").alias("country"), "outline", F.coalesce("top_at", "item_id_at").alias("at"))
+    rows = publication_places(corpus).join(publications.select(F.col("item_id").alias("src")), "src", "left_semi").join(named, "place")
+    counts = rows.groupBy("country", "outline").agg(F.countDistinct("src").alias("n"), F.min_by("at", F.struct("src", "ord")).alias("at"))
+    return counts.select("country", "outline", "n", "at.lat", "at.lon")
+
+
+def articles_by_country(mentions: DataFrame) -> DataFrame:
+    """(decade, country, n) of rows (item_id, year, country, n): articles that write about each country, in each decade and, decade null, in all."""
+    rows = mentions.select("item_id", "country", F.explode(F.array(C.decade(F.col("year")), F.lit(None).cast("int"))).alias("decade"))
+    return rows.distinct().groupBy("decade", "country").agg(F.count(F.lit(1)).alias("n"))
+
+
+def articles_about(mentions: DataFrame) -> DataFrame:
+    """(country, item_id, n, rank): the articles that write about a country, by mentions, then year."""
+    return ranked(mentions.select("country", "item_id", "year", "n"), ["country"], [F.desc("n"), F.coalesce("year", F.lit(0)).asc(), F.col("item_id").asc()]).drop("year")
 
 
 def affiliation_map(corpus: Corpus) -> DataFrame:

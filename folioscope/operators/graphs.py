@@ -16,8 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.repulsion import exact_repulsion, repulsion
+
 #: Most edges of one group that an order-dependent algorithm takes.
 MAX_EDGES = 2_000_000
+#: Half the width of a layout on the map in degrees, and half its height in Mercator radians.
+LON_EXTENT, MERCATOR_EXTENT = 140.0, 2.2
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,12 +35,15 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 20, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
     """(node, rank) of a weighted undirected graph (a, b, n); ranks sum to 1.
 
     Every iteration is one join and one map-side combined sum over the
-    edges. The edges, and the ranks every few iterations, are cut from their
-    lineage, so that lost executors cost the last few iterations only.
+    edges; in a graph of edges in both directions each node gets something in each,
+    so the list of nodes isn't joined again. The edges, and the ranks every few
+    iterations, are cut from their lineage, so that lost executors cost the
+    last few iterations only; then it is seen whether ranks still change by
+    ``tolerance`` in all.
     """
     both = symmetric(edges)
     degree = both.groupBy("a").agg(F.sum("w").alias("degree"))
@@ -46,13 +53,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 20, every:
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(iterations):
-        given = flow.join(ranks, F.col("a") == F.col("node")).groupBy("b").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        ranks = nodes.join(given, F.col("node") == F.col("b"), "left").select(
-            "node", (F.coalesce("got", F.lit(0.0)) * alpha + (1 - alpha) / n).alias("rank")
-        )
-        if i % every == every - 1:
+    for i in range(1, iterations + 1):
+        before = ranks
+        got = flow.join(ranks, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        ranks = got.select("node", (F.col("got") * alpha + (1 - alpha) / n).alias("rank"))
+        if i % every == 0:
             ranks = cut(ranks)
+            change = ranks.join(before.withColumnRenamed("rank", "was"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            if change < tolerance:
+                break
     total = ranks.agg(F.sum("rank").alias("total"))
     return ranks.join(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))  # total is one row
 
@@ -167,38 +176,43 @@ def connected_top(graph: dict[int, dict[int, float]], score: dict[int, float], t
     return list(taken)
 
 
-def force_layout(a: np.ndarray, b: np.ndarray, w: np.ndarray, nodes: np.ndarray, iterations: int | None = None, scaling: float = 10.0, gravity: float = 0.05) -> np.ndarray:
-    """ForceAtlas2 positions in [-1, 1] from a golden-angle spiral; repulsion is exact, by blocks of rows."""
+def force_layout(
+    a: np.ndarray, b: np.ndarray, w: np.ndarray, nodes: np.ndarray, iterations: int | None = None,
+    scaling: float = 10.0, gravity: float = 0.05, tree_from: int = 128,
+) -> np.ndarray:
+    """ForceAtlas2 positions in [-1, 1], centred, from a golden-angle spiral; each node has a speed of its own.
+
+    Above ``tree_from`` nodes repulsion is by a Barnes-Hut tree, else exact.
+    """
     n = len(nodes)
+    if n < 2:
+        return np.zeros((n, 2))
     iterations = iterations or (520 if n <= 300 else 400 if n <= 900 else 260)
     k = np.arange(n)
-    radius, angle = np.sqrt((k + 0.5) / max(1, n)), k * math.pi * (3 - math.sqrt(5))
-    at = np.stack([radius * np.cos(angle), radius * np.sin(angle)], 1) * math.sqrt(max(1, n)) * 10
+    radius, angle = 3 * np.sqrt(k + 1), k * math.pi * (3 - math.sqrt(5))
+    at = np.stack([radius * np.cos(angle), radius * np.sin(angle)], 1)
     x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-    mass = 1.0 + np.bincount(np.concatenate([x, y]), minlength=n)
-    before, speed = np.zeros_like(at), 1.0
+    mass = 1.0 + np.bincount(np.concatenate([x, y]), np.concatenate([w, w]), minlength=n)
+    before, still = np.zeros_like(at), np.ones(n)
     for _ in range(iterations):
-        force = -gravity * mass[:, None] * at
-        for i in range(0, n, 512):
-            delta = at[i : i + 512, None, :] - at[None, :, :]
-            square = np.maximum((delta**2).sum(-1), 1e-4)
-            force[i : i + 512] += (delta * (scaling * mass[i : i + 512, None] * mass[None, :] / square)[..., None]).sum(1)
+        force = scaling * (repulsion(at, mass) if n > tree_from else exact_repulsion(at, mass)) - gravity * mass[:, None] * at
         pull = (at[y] - at[x]) * w[:, None]
-        np.add.at(force, x, pull)
-        np.add.at(force, y, -pull)
-        swing = mass * np.linalg.norm(force - before, axis=1)
-        traction = mass * np.linalg.norm(force + before, axis=1) / 2
-        speed = min(1.5 * speed, traction.sum() / max(1e-9, swing.sum()))
-        at = at + force * (speed / (1 + speed * np.sqrt(swing / mass)))[:, None]
+        for axis in (0, 1):
+            force[:, axis] += np.bincount(x, pull[:, axis], minlength=n) - np.bincount(y, pull[:, axis], minlength=n)
+        swing = 1 + np.sqrt(mass * np.linalg.norm(before - force, axis=1))
+        traction = np.linalg.norm(before + force, axis=1) / 2
+        speed = still * np.log1p(traction) / swing
+        still = np.minimum(1.0, np.sqrt(speed * (force**2).sum(1) / swing))
+        at = at + force * (speed / (1 + math.log(n)))[:, None]
         before = force
-    span = np.abs(at).max() if n else 1.0
-    return at / max(span, 1e-9)
+    low, high = at.min(0), at.max(0)
+    return (at - (low + high) / 2) * 2 / (max((high - low).max(), 0.0) or 1.0)
 
 
 def pseudo_coordinates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Layout as longitude and latitude, four digits, for a Mercator map."""
-    lon = np.round(at[:, 0] * 180, 4)
-    lat = np.round(np.degrees(np.arctan(np.sinh(at[:, 1] * math.pi))), 4)
+    lon = np.round(at[:, 0] * LON_EXTENT, 4)
+    lat = np.round(np.degrees(np.arctan(np.sinh(at[:, 1] * MERCATOR_EXTENT))), 4)
     return lon, lat
 
 

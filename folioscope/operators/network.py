@@ -142,25 +142,31 @@ def reachable(corpus: Corpus, starts: DataFrame, hops: int = 5) -> DataFrame:
 
 
 def person_class(corpus: Corpus, core: DataFrame, hops: int = 5) -> DataFrame:
-    """(item_id, kind): "cluster" for persons with an affiliation that reaches an item of ``core`` (item_id), else "partner"."""
+    """(item_id, kind): "cluster" for members of a project or section and for persons with an affiliation that reaches an item of ``core`` (item_id), else "partner"."""
     people = corpus.of_class(C.PERSON)
-    reach = reachable(corpus, people, hops).join(core.select(F.col("item_id").alias("above")), "above", "left_semi").select("item_id").distinct()
-    inside = reach.withColumn("kind", F.lit("cluster"))
+    reach = reachable(corpus, people, hops).join(core.select(F.col("item_id").alias("above")), "above", "left_semi").select("item_id")
+    homes = corpus.of_class(C.PROJECT, C.GROUP).withColumnRenamed("item_id", "src")
+    members = corpus.links.where(F.col("term") == C.MEMBER).join(homes, "src", "left_semi").select(F.col("dst").alias("item_id"))
+    inside = reach.unionByName(members).distinct().withColumn("kind", F.lit("cluster"))
     return people.join(inside, "item_id", "left").fillna({"kind": "partner"})
 
 
-def coauthor_pairs(corpus: Corpus, min_count: int = 1) -> DataFrame:
-    """(a, b, n, coauthor, coeditor, mixed, relation) between names, linked and literal merged by spelling.
-
-    ``relation`` is the one with the most records; ties go by name.
-    """
+def contributors(corpus: Corpus) -> DataFrame:
+    """(src, name, author, editor, person): names on a record, linked and literal ones merged by spelling; ``person`` is null where it is literal only."""
     links, _ = corpus.scoped()
     linked = of_class(corpus, links.where(C.is_credit(F.col("term"))), C.PERSON).join(corpus.titles(), "dst")
     is_editor = F.col("term") == C.EDITORS
-    rows = linked.select("src", F.trim("title").alias("name"), is_editor.alias("editor"))
+    rows = linked.select("src", F.trim("title").alias("name"), is_editor.alias("editor"), F.col("dst").alias("person"))
     literal = corpus.literals.where(F.col("term").isin(C.AUTHORS, C.EDITORS)).join(corpus.records, "item_id", "left_semi")
-    rows = rows.unionByName(literal.select(F.col("item_id").alias("src"), F.trim("value").alias("name"), is_editor.alias("editor")))
-    masks = rows.where("name != ''").groupBy("src", "name").agg(F.max(~F.col("editor")).alias("author"), F.max("editor").alias("editor"))
+    literal = literal.select(F.col("item_id").alias("src"), F.trim("value").alias("name"), is_editor.alias("editor"), F.lit(None).cast("long").alias("person"))
+    return rows.unionByName(literal).where("name != ''").groupBy("src", "name").agg(
+        F.max(~F.col("editor")).alias("author"), F.max("editor").alias("editor"), F.max("person").alias("person")
+    )
+
+
+def coauthor_pairs(corpus: Corpus, min_count: int = 1) -> DataFrame:
+    """(a, b, n, coauthor, coeditor, mixed, relation) between names; ``relation`` is the one with the most records, ties go by name."""
+    masks = contributors(corpus)
     a = masks.select("src", *[F.col(c).alias(f"{c}_a") for c in ("name", "author", "editor")])
     b = masks.select("src", *[F.col(c).alias(f"{c}_b") for c in ("name", "author", "editor")])
     both = a.join(b, "src").where("name_a < name_b")

@@ -97,8 +97,8 @@ def whats_new_counts(corpus: Corpus) -> DataFrame:
 
 
 def whats_new_items(corpus: Corpus, top: int = 24) -> DataFrame:
-    order = [F.desc("created"), C.natural_key(F.col("title")).asc(), F.col("item_id").asc()]
-    return ranked(whats_new(corpus), ["months"], order, top)
+    """The newest first, those of one day by id."""
+    return ranked(whats_new(corpus), ["months"], [F.desc("created"), F.col("item_id").asc()], top)
 
 
 def whats_new_projects(corpus: Corpus, top: int = 10) -> DataFrame:

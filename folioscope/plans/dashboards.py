@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus
@@ -89,17 +89,14 @@ def charts(corpus: Corpus, family: str, countries: DataFrame, only: tuple[str, .
 
 
 def bundled(frames: dict[str, DataFrame], largest: int = 5000) -> DataFrame:
-    """(entity, chart, rows, body): a chart's rows as a JSON array in a stable order.
-
-    Charts are capped by their builders; one of more than ``largest`` rows is an error.
-    """
+    """(entity, chart, page, rows, body): a chart's rows in a stable order as JSON arrays of at most ``largest`` rows; nearly all charts are one page."""
     out = None
     for name, df in sorted(frames.items()):
         row = F.to_json(F.struct(*[c for c in df.columns if c != "entity"]))
-        n = F.count(F.lit(1))
-        fits = F.when(n > largest, F.raise_error(F.lit(f"{name}: a chart of more than {largest} rows")).cast("long")).otherwise(n)
-        body = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(row)), ","), F.lit("]"))
-        one = df.groupBy("entity").agg(fits.alias("rows"), body.alias("body")).select("entity", F.lit(name).alias("chart"), "rows", "body")
+        numbered = df.select("entity", row.alias("row")).withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy("row")))
+        body = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ","), F.lit("]"))
+        one = numbered.groupBy("entity", F.floor((F.col("k") - 1) / largest).alias("page")).agg(F.count(F.lit(1)).alias("rows"), body.alias("body"))
+        one = one.select("entity", F.lit(name).alias("chart"), "page", "rows", "body")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -134,7 +134,7 @@ def whats_new_counts(c):
     return temporal.whats_new_counts(c)
 
 
-@corpus_query("whats_new_items", _NEW + "SELECT months, item_id, title, created, rank FROM (SELECT *, row_number() OVER (PARTITION BY months ORDER BY created DESC, nk, item_id) AS rank FROM fresh) WHERE rank <= 24")
+@corpus_query("whats_new_items", _NEW + "SELECT months, item_id, title, created, rank FROM (SELECT *, row_number() OVER (PARTITION BY months ORDER BY created DESC, item_id) AS rank FROM fresh) WHERE rank <= 24")
 def whats_new_items(c):
     return temporal.whats_new_items(c)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import columns as C
-from folioscope.operators import network
+from folioscope.operators import network, shown
 from folioscope.plans.flows_time import _CHORD
 from folioscope.plans.registry import corpus_query
 
@@ -80,13 +80,12 @@ def affiliation_ego(c):
 _EGO = _INST + """
 , sp AS (SELECT entity, other, n, rank FROM (
   SELECT m.dst AS entity, o.dst AS other, count(*) AS n, row_number() OVER (PARTITION BY m.dst ORDER BY count(*) DESC, o.dst) AS rank
-  FROM inst m JOIN inst o ON o.src = m.src WHERE o.dst <> m.dst GROUP BY 1, 2) WHERE rank <= 5),
+  FROM inst m JOIN inst o ON o.src = m.src WHERE o.dst <> m.dst GROUP BY 1, 2) WHERE rank <= 25),
 sh AS (SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM inst a JOIN inst b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2 HAVING count(*) >= 2)
 """
 
 
 def _ego(c):
-    """The operator's 25 partners; the SQL still keeps 5."""
     orgs = c.of_class(C.ORGANISATION).withColumnRenamed("item_id", "entity")
     return network.ego_collaboration(c, network.institution_rows(c), orgs)
 
@@ -169,3 +168,43 @@ SELECT a, b, count(*) AS n FROM (SELECT DISTINCT x.src, x.inst AS a, y.inst AS b
 """)
 def coauthor_institution_links(c):
     return network.coauthor_institutions(c)[1]
+
+
+@corpus_query("collaboration_network")
+def collaboration_network(c):
+    return shown.collaboration_network(c).nodes
+
+
+@corpus_query("coauthor_network")
+def coauthor_network(c):
+    return shown.coauthor_network(c, classes=network.person_class(c, c.of_class(C.PROJECT))).nodes
+
+
+@corpus_query("coauthor_network_links")
+def coauthor_network_links(c):
+    return shown.coauthor_network(c).links
+
+
+def _sections(c):
+    """(item_id, section): the first section of the first project of each record."""
+    part = c.links.where(F.col("term") == C.IS_PART_OF).select("src", "dst", "ord")
+    project = network.of_class(c, part, C.PROJECT).groupBy("src").agg(F.min_by("dst", "ord").alias("project"))
+    section = network.of_class(c, part, C.GROUP).groupBy(F.col("src").alias("project")).agg(F.min_by("dst", "ord").alias("section"))
+    return project.join(section, "project").select(F.col("src").alias("item_id"), "section")
+
+
+@corpus_query("entity_sections", _ENT + """
+, part AS (SELECT l.src, l.dst, l.ord, i.class_term FROM links l JOIN items i ON i.item_id = l.dst WHERE l.term = 'dcterms:isPartOf'),
+sec AS (SELECT p.src, s.dst AS section FROM (SELECT src, arg_min(dst, ord) AS dst FROM part WHERE class_term = 'foaf:Project' GROUP BY 1) p
+  JOIN (SELECT src, arg_min(dst, ord) AS dst FROM part WHERE class_term = 'frapo:ResearchGroup' GROUP BY 1) s ON s.src = p.dst),
+cn AS (SELECT e.dst, sec.section, count(*) AS n FROM ent e JOIN sec ON sec.src = e.src GROUP BY 1, 2),
+best AS (SELECT dst, arg_min(section, (-n, section)) AS section, max(n) AS n, sum(n) AS total FROM cn GROUP BY 1)
+SELECT DISTINCT e.dst AS node, CAST(CASE WHEN b.dst IS NULL THEN -1 WHEN 2 * b.n > b.total THEN b.section ELSE -2 END AS BIGINT) AS section FROM ent e LEFT JOIN best b ON b.dst = e.dst
+""")
+def entity_sections(c):
+    return shown.dominant_sections(network.entity_rows(c).select("src", "dst"), _sections(c))
+
+
+@corpus_query("entity_network")
+def entity_network(c):
+    return shown.entity_network(c, _sections(c)).nodes

@@ -6,7 +6,7 @@ typ AS (SELECT name, 700000000 + dense_rank() OVER (ORDER BY name) AS id FROM (S
 lang AS (SELECT name, 800000000 + dense_rank() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)),
 genre AS (SELECT name, 900000000 + dense_rank() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT o_orderpriority AS name FROM orders)),
 ords AS (
-  SELECT 1000000000 + o_orderkey AS src, o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day, c_nationkey, lang.id AS language, genre.id AS genre
+  SELECT 1000000000 + o_orderkey AS src, o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day, c_nationkey, o_custkey, lang.id AS language, genre.id AS genre
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN lang ON lang.name = c_mktsegment JOIN genre ON genre.name = o_orderpriority
 ), lines AS (
   SELECT 1000000000 + l_orderkey AS src, CAST(l_linenumber AS BIGINT) AS ln, l_suppkey, s_name, s_nationkey, l_returnflag,
@@ -18,6 +18,8 @@ ords AS (
   UNION ALL SELECT src, 'dcterms:language', language, 0 FROM ords
   UNION ALL SELECT src, 'dcterms:format', genre, 0 FROM ords
   UNION ALL SELECT src, 'dcterms:spatial', 300000000 + c_nationkey, 0 FROM ords
+  UNION ALL SELECT src, 'dcterms:isPartOf', 950000000 + c_nationkey, 1 FROM ords WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0
+  UNION ALL SELECT src, 'marcrel:pup', 300000000 + o_custkey % 25, 0 FROM ords WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 1
   UNION ALL SELECT src, 'dcterms:subject', subject, ln FROM lines
   UNION ALL SELECT src, 'dcterms:type', type, ln FROM lines
   UNION ALL SELECT src, 'dcterms:provenance', 300000000 + s_nationkey, ln FROM lines
@@ -25,6 +27,7 @@ ords AS (
                    500000000 + l_suppkey, ln FROM lines WHERE NOT literal
   UNION ALL SELECT 200000000 + n_nationkey, 'dcterms:isPartOf', 100000000 + n_regionkey, 0 FROM nation
   UNION ALL SELECT 300000000 + n_nationkey, 'dcterms:isPartOf', 350000000 + n_regionkey, 0 FROM nation
+  UNION ALL SELECT 950000000 + n_nationkey, 'dcterms:spatial', 300000000 + n_nationkey, 0 FROM nation
   UNION ALL SELECT 200000000 + n_nationkey, 'frapo:isFundedBy', 400000000 + (n_nationkey + 7) % 25, 0 FROM nation
   UNION ALL SELECT 500000000 + s_suppkey, 'dcterms:isPartOf', 400000000 + s_nationkey, 0 FROM supplier
 ), links AS MATERIALIZED (
@@ -38,6 +41,7 @@ ords AS (
   UNION ALL SELECT 300000000 + n_nationkey, n_name, 3, 'dcterms:Location', NULL FROM nation
   UNION ALL SELECT 350000000 + r_regionkey, r_name, 3, 'dcterms:Location', NULL FROM region
   UNION ALL SELECT 400000000 + n_nationkey, 'Institute ' || n_name, 2, 'foaf:Organization', NULL FROM nation
+  UNION ALL SELECT 950000000 + n_nationkey, 'Journal ' || n_name, 8, 'bibo:Journal', NULL FROM nation
   UNION ALL SELECT 500000000 + s_suppkey, s_name, 4, 'foaf:Person', NULL FROM supplier
   UNION ALL SELECT id, name, 6, NULL, NULL FROM subj
   UNION ALL SELECT id, name, NULL, NULL, NULL FROM typ

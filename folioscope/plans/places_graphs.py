@@ -39,22 +39,50 @@ chain AS (SELECT item_id, item_id AS place, 0 AS level FROM items WHERE class_te
 
 @corpus_query("place_chain", _CHAIN + "SELECT item_id, place, level FROM chain")
 def place_chain(c):
-    return geo.place_chain(c, 3)
+    return geo.place_chain(c)
 
 
-@corpus_query("publications_by_place", _CHAIN + """
-SELECT c.place AS item_id, i.title, count(DISTINCT l.src) AS n FROM rlinks l JOIN chain c ON c.item_id = l.dst JOIN items i ON i.item_id = c.place WHERE l.term = 'dcterms:spatial' GROUP BY 1, 2
-""")
+_PUBLISHED = _CHAIN + """
+, pp AS (SELECT src, dst AS place, ord FROM rlinks WHERE term = 'marcrel:pup'
+  UNION ALL SELECT l.src, o.dst, l.ord FROM rlinks l JOIN items j ON j.item_id = l.dst AND j.class_term = 'bibo:Journal' JOIN links o ON o.src = l.dst AND o.term = 'dcterms:spatial' WHERE l.term = 'dcterms:isPartOf'),
+pub AS (SELECT DISTINCT c.place AS entity, pp.src FROM pp JOIN chain c ON c.item_id = pp.place)
+"""
+
+
+@corpus_query("publication_places", _PUBLISHED + "SELECT src, place, ord FROM pp")
+def publication_places(c):
+    return geo.publication_places(c)
+
+
+@corpus_query("publications_by_place", _PUBLISHED + "SELECT pub.entity AS item_id, i.title, count(*) AS n FROM pub JOIN items i ON i.item_id = pub.entity GROUP BY 1, 2")
 def publications_by_place(c):
     return geo.publications_by_place(c)
 
 
-@corpus_query("publication_countries", _CHAIN + """
-, top AS (SELECT item_id, arg_max(place, level) AS top FROM chain GROUP BY 1)
-SELECT i.title AS country, count(DISTINCT l.src) AS n FROM rlinks l JOIN memberships m ON m.item_id = l.src AND m.set_id = 1 JOIN top t ON t.item_id = l.dst JOIN items i ON i.item_id = t.top WHERE l.term = 'dcterms:spatial' GROUP BY 1
+@corpus_query("published_timeline", _PUBLISHED + """
+SELECT pub.entity, r.year, coalesce(i.title, 'No type') AS name, count(*) AS n FROM pub JOIN items r ON r.item_id = pub.src LEFT JOIN links l ON l.src = pub.src AND l.term = 'dcterms:type' LEFT JOIN items i ON i.item_id = l.dst
+WHERE r.year IS NOT NULL GROUP BY 1, 2, 3
+""")
+def published_timeline(c):
+    return geo.published_timeline(c)
+
+
+def _region_names(c):
+    """(alias, outline): names that three of the five regions answer to; the others go by their titles."""
+    rows = [("Asia and Oceania", ["ASIA", "Oceania"], 0), ("The Americas", ["America"], 1), ("Others", ["asia", "Africa"], 2)]
+    return geo.outline_names(c.items.sparkSession.createDataFrame(rows, "name string, aliases array<string>, k int"))
+
+
+@corpus_query("publication_countries", _PUBLISHED + """
+, top AS (SELECT item_id, arg_max(place, level) AS top FROM chain GROUP BY 1),
+key AS (SELECT t.item_id, CASE lower(i.title) WHEN 'asia' THEN 'Asia and Oceania' WHEN 'africa' THEN 'Others' WHEN 'america' THEN 'The Americas' END AS outline, i.title,
+  coalesce(tg.lat, g.lat) AS lat, coalesce(tg.lon, g.lon) AS lon
+  FROM top t JOIN items i ON i.item_id = t.top LEFT JOIN geo tg ON tg.item_id = t.top LEFT JOIN geo g ON g.item_id = t.item_id)
+SELECT coalesce(outline, title) AS country, outline, count(DISTINCT pp.src) AS n, arg_min(lat, (pp.src, pp.ord)) AS lat, arg_min(lon, (pp.src, pp.ord)) AS lon
+FROM pp JOIN memberships m ON m.item_id = pp.src AND m.set_id = 1 JOIN key ON key.item_id = pp.place GROUP BY 1, 2
 """)
 def publication_countries(c):
-    return geo.publication_countries(c, c.memberships.where("set_id = 1"), _countries(c))
+    return geo.publication_countries(c, c.memberships.where("set_id = 1"), _region_names(c))
 
 
 @corpus_query("project_affiliation_map", """
@@ -127,7 +155,7 @@ _STATS = """
 , st AS (SELECT dst AS resource, count(DISTINCT src) AS df, round(ln((SELECT count(*) FROM items) / count(DISTINCT src)), 2) AS idf,
   round(100 * count(DISTINCT src) / (SELECT count(*) FROM items), 1) AS freq_pct FROM links GROUP BY 1)
 """
-_SHARE = "(term IN ('dcterms:subject', 'dcterms:spatial', 'dcterms:provenance', 'dcterms:creator', 'dcterms:contributor', 'dcterms:isPartOf', 'frapo:isFundedBy') OR term LIKE 'marcrel:%')"
+_SHARE = "(term IN ('dcterms:subject', 'dcterms:isPartOf', 'dcterms:spatial', 'dcterms:creator', 'dcterms:contributor', 'bibo:authorList', 'bibo:editorList') OR term LIKE 'marcrel:%')"
 
 
 @corpus_query("resource_idf", _STATS + "SELECT * FROM st")
@@ -146,22 +174,22 @@ def postings_sampled(c):
 
 _SHARED = _STATS + f"""
 , o AS (SELECT DISTINCT dst AS resource, src FROM rlinks WHERE {_SHARE}),
-sh AS (SELECT a.src AS center, b.src AS item_id, round(sum(st.idf), 2) AS strength, count(*) AS shared FROM o a JOIN o b ON b.resource = a.resource AND b.src <> a.src JOIN st ON st.resource = a.resource WHERE st.df <= {{df}} GROUP BY 1, 2),
+sh AS (SELECT a.src AS center, b.src AS item_id, round(sum(st.idf), 2) AS strength, count(*) AS shared FROM o a JOIN o b ON b.resource = a.resource AND b.src <> a.src JOIN st ON st.resource = a.resource GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY strength DESC, item_id) AS rank FROM sh)
 """
 
 
-@corpus_query("kg_shared_items", _SHARED.format(df=700) + "SELECT * FROM rk WHERE rank <= 90")
+@corpus_query("kg_shared_items", _SHARED + "SELECT * FROM rk WHERE rank <= 90")
 def kg_shared_items(c):
-    """Over all resources; the SQL still leaves out those of more than 700 sources."""
     return knowledge.shared_items(c)
 
 
-_CAT = """CASE WHEN l.term = 'dcterms:subject' THEN 'Subject' WHEN l.term IN ('dcterms:spatial', 'dcterms:provenance') THEN 'Location' WHEN l.term = 'dcterms:format' THEN 'Genre'
-  WHEN l.term = 'dcterms:isPartOf' THEN 'Project' WHEN l.credit THEN 'Person' ELSE 'Related item' END"""
+_CAT = """CASE WHEN l.term = 'dcterms:isPartOf' THEN CASE WHEN t.class_term = 'bibo:Journal' THEN 'Publication venue' ELSE 'Project' END
+  WHEN l.term IN ('dcterms:creator', 'dcterms:contributor') THEN 'Person' WHEN l.term = 'dcterms:subject' THEN 'Subject' WHEN l.term IN ('dcterms:spatial', 'dcterms:provenance', 'marcrel:pup') THEN 'Location'
+  WHEN l.term = 'dcterms:format' THEN 'Genre' WHEN l.term LIKE 'marcrel:%' THEN 'Contributor' END"""
 _DIRECT = f"""
-, dr AS (SELECT l.src AS center, l.dst AS item_id, l.term, {_CAT} AS category FROM rlinks l),
-dk AS (SELECT *, dense_rank() OVER (PARTITION BY center ORDER BY list_position(['Person', 'Contributor', 'Project', 'Institution', 'Subject', 'Location', 'Genre', 'Publication venue', 'Related item'], category), item_id) AS rank FROM dr)
+, dr AS (SELECT l.src AS center, l.dst AS item_id, l.term, {_CAT} AS category FROM rlinks l JOIN items t ON t.item_id = l.dst),
+dk AS (SELECT *, dense_rank() OVER (PARTITION BY center ORDER BY list_position(['Person', 'Contributor', 'Subject', 'Project', 'Publication venue', 'Location', 'Institution', 'Genre', 'Related item'], category), item_id) AS rank FROM dr WHERE category IS NOT NULL)
 """
 
 
@@ -198,18 +226,37 @@ def kg_cross_edges(c):
 
 @corpus_query("kg_slider", _STATS + f"""
 , o AS (SELECT DISTINCT dst AS resource, src FROM rlinks WHERE {_SHARE}),
-sl AS (SELECT a.src AS center, b.src AS item_id, round(sum(st.idf), 2) AS strength FROM o a JOIN o b ON b.resource = a.resource AND b.src <> a.src JOIN st ON st.resource = a.resource WHERE st.df <= 700 AND st.freq_pct <= 3.8 GROUP BY 1, 2)
+sl AS (SELECT a.src AS center, b.src AS item_id, round(sum(st.idf), 2) AS strength FROM o a JOIN o b ON b.resource = a.resource AND b.src <> a.src JOIN st ON st.resource = a.resource WHERE st.freq_pct <= 3.8 GROUP BY 1, 2)
 SELECT center, item_id, strength, rank FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY strength DESC, item_id) AS rank FROM sl WHERE strength >= 6.0) WHERE rank <= 30
 """)
 def kg_slider(c):
-    """Over all resources of at most 3.8% of the items; the SQL also leaves out those of more than 700 sources."""
     return knowledge.shared_items(c, top=30, max_freq_pct=3.8, min_strength=6.0).select("center", "item_id", "strength", "rank")
 
 
-@corpus_query("kg_stats", _SHARED.format(df=300) + _DIRECT + """
+@corpus_query("kg_stats", _SHARED + _DIRECT + """
 , nd AS (SELECT center, item_id FROM dk WHERE rank <= 220 UNION SELECT center, item_id FROM rk WHERE rank <= 90)
 SELECT nd.center, count(*) AS nodes, max(m.best) AS max_strength FROM nd LEFT JOIN (SELECT center, max(strength) AS best FROM rk GROUP BY 1) m ON m.center = nd.center GROUP BY 1
 """)
 def kg_stats(c):
-    """Over all resources; the SQL still leaves out those of more than 300 sources."""
     return knowledge.graph_stats(c, knowledge.direct_relations(c), knowledge.shared_items(c))
+
+
+@corpus_query("kg_first_labels", f"SELECT src, dst, arg_min(term, (ord, term)) AS term FROM links WHERE {_SHARE} GROUP BY 1, 2")
+def kg_first_labels(c):
+    return knowledge.first_labels(c)
+
+
+@corpus_query("kg_shared_edges", _SHARED + _DIRECT + f"""
+, lb AS (SELECT src, dst, arg_min(term, (ord, term)) AS term FROM links WHERE {_SHARE} GROUP BY 1, 2),
+mine AS (SELECT DISTINCT center, item_id AS resource FROM dk WHERE rank <= 220 AND {_SHARE})
+SELECT rk.center, rk.item_id, lb.dst AS resource, lb.term, st.idf, st.freq_pct FROM rk JOIN lb ON lb.src = rk.item_id JOIN mine ON mine.center = rk.center AND mine.resource = lb.dst JOIN st ON st.resource = lb.dst WHERE rk.rank <= 90
+""")
+def kg_shared_edges(c):
+    return knowledge.shared_edges(c, knowledge.direct_relations(c), knowledge.shared_items(c))
+
+
+@corpus_query("kg_communities")
+def kg_communities(c):
+    direct, shared = knowledge.direct_relations(c), knowledge.shared_items(c)
+    nodes = direct.select("center", "item_id").union(shared.select("center", "item_id")).distinct()
+    return knowledge.graph_communities(knowledge.shared_edges(c, direct, shared), knowledge.cross_edges(c, nodes))

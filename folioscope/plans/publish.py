@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 #: Names that may be read.
-NAME = re.compile(r"^(?:[a-z-]+/)?[\w-]+\.json$")
+NAME = re.compile(r"([a-z-]+/)?[A-Za-z0-9_-]+[.]json")
 #: Most rows of one answer file.
 MAX_ROWS = 100_000
 
@@ -68,7 +68,7 @@ class Store:
             shutil.rmtree(staging, ignore_errors=True)
             sums: dict[str, str] = {}
             for name, df in sorted(answers.items()):
-                if not NAME.match(name):
+                if not NAME.fullmatch(name):
                     raise ValueError(f"not a name of an answer: {name}")
                 if rows := rows_of(df):
                     if check:
@@ -101,7 +101,7 @@ class Store:
     def read(self, name: str):
         """An answer of the published generation; only well-formed names inside it."""
         manifest = self.manifest()
-        if not NAME.match(name) or name not in manifest.get("files", {}):
+        if not NAME.fullmatch(name) or name not in manifest.get("files", {}):
             return None
         base = (self.root / "generations" / manifest["generation"]).resolve()
         path = (base / name).resolve()

@@ -97,15 +97,26 @@ def word_search(spark, sf_dir):
 
 @table_query("list_like_flags", """
 WITH t AS (SELECT doc_id AS item_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS t FROM documents),
-r AS (SELECT item_id, len(t) AS words, len(list_filter(t, lambda w: regexp_matches(w, '^[^\\p{L}]*\\p{L}{2,}[^\\p{L}]*$'))) / CAST(len(t) AS DOUBLE) AS share,
-  len(list_filter(t, lambda w: regexp_matches(w, '^[(]?[0-9]+[.,;:)]*$'))) / CAST(len(t) AS DOUBLE) AS numbers,
-  len(list_filter(t, lambda w: regexp_matches(w, '^[(]?(1[89]|20)[0-9]{2}[.,;:)]*$'))) / CAST(len(t) AS DOUBLE) AS years FROM t WHERE len(t) > 0)
-SELECT item_id, words, round(share, 6) AS word_share, round(numbers, 6) AS number_density, share < 0.8 AS low_quality, numbers > 0.12 OR years > 0.05 AS list_like FROM r
+r AS (SELECT item_id, len(t) AS words, len(list_filter(t, lambda w: regexp_matches(w, '^["''(\\[]?[A-Za-z][A-Za-z''-]*[.,;:!?)\\]"'']*$'))) / CAST(len(t) AS DOUBLE) AS share,
+  len(list_filter(t, lambda w: regexp_matches(w, '^[^A-Za-z0-9_]*[0-9][0-9.,:/-]*[^A-Za-z0-9_]*$'))) / CAST(len(t) AS DOUBLE) AS numbers,
+  len(list_filter(t, lambda w: regexp_matches(w, '\\b(1[89]|20)[0-9]{2}\\b'))) / CAST(len(t) AS DOUBLE) AS years, len(list_filter(t, lambda w: regexp_matches(w, '^([A-Z]\\.)+,?$'))) / CAST(len(t) AS DOUBLE) AS initials FROM t WHERE len(t) > 0)
+SELECT item_id, words, round(share, 6) AS word_share, round(numbers, 6) AS number_density, share < 0.8 AS low_quality, years + numbers + initials > 0.12 OR years > 0.05 AS list_like FROM r
 """)
 def list_like_flags(spark, sf_dir):
     return text.list_like(_docs(spark, sf_dir))
 
 
+@table_query("article_flags", """
+WITH t AS (SELECT doc_id AS item_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS t FROM documents),
+r AS (SELECT item_id, len(t) AS words, len(list_filter(t, lambda w: regexp_matches(w, '^["''(\\[]?[A-Za-z][A-Za-z''-]*[.,;:!?)\\]"'']*$'))) / CAST(len(t) AS DOUBLE) AS share FROM t)
+SELECT item_id, array_to_string(list_filter([CASE WHEN item_id % 7 = 0 THEN 'furniture' END, CASE WHEN words < 300 THEN 'short' END, CASE WHEN words = 0 OR share < 0.8 THEN 'ocr' END], lambda f: f IS NOT NULL), ' ') AS flags FROM r
+""")
+def article_flags(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    title = F.when(F.col("item_id") % 7 == 0, F.lit(" Letters to the Editor")).otherwise(F.concat(F.lit("Document "), F.col("item_id").cast("string")))
+    return text.article_flags(docs, docs.select("item_id", title.alias("title"))).select("item_id", F.array_join("flags", " ").alias("flags"))
+
+
 @table_query("cards", """
 WITH o AS (SELECT doc_id AS item_id, trim('Document ' || doc_id || ' ' || text) AS own FROM documents),
 w AS (SELECT item_id, own, string_split_regex(own, '[ \\t\\n\\x0B\\f\\r]+') AS words FROM o)
@@ -370,15 +381,16 @@ def coherent_coordinates(spark, sf_dir):
     return eav.coherent_coordinates(row(C.LATITUDE, lat, n * 2).unionByName(row(C.LONGITUDE, lon, n * 2 + 1)))
 
 
-_ROUNDS = 20
+#: Rounds of the SQL, by which ranks have settled; the operator stops by itself.
+_ROUNDS = 40
 
 
 @corpus_query("pagerank", ", e AS (SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM (SELECT DISTINCT l.src, l.dst FROM rlinks l JOIN items i ON i.item_id = l.dst WHERE l.credit AND i.class_term = 'foaf:Person') a JOIN (SELECT DISTINCT l.src, l.dst FROM rlinks l JOIN items i ON i.item_id = l.dst WHERE l.credit AND i.class_term = 'foaf:Person') b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2 HAVING count(*) >= 2), s AS MATERIALIZED (SELECT a, b, CAST(n AS DOUBLE) AS w FROM e UNION ALL SELECT b, a, n FROM e), dg AS (SELECT a, sum(w) AS d FROM s GROUP BY 1), fl AS MATERIALIZED (SELECT s.a, s.b, s.w / dg.d AS f FROM s JOIN dg ON dg.a = s.a), r0 AS (SELECT a AS node, 1.0::DOUBLE / count(*) OVER () AS r FROM dg)" + "".join(
     f", r{i + 1} AS MATERIALIZED (SELECT fl.b AS node, sum(fl.f * r.r) * 0.85 + 0.15 / (SELECT count(*) FROM r0) AS r FROM fl JOIN r{i} r ON r.node = fl.a GROUP BY 1)" for i in range(_ROUNDS)
-) + f" SELECT node, round(r / (SELECT sum(r) FROM r{_ROUNDS}), 6) AS rank FROM r{_ROUNDS}")
+) + f" SELECT node, round(r / (SELECT sum(r) FROM r{_ROUNDS}), 5) AS rank FROM r{_ROUNDS}")
 def pagerank(c):
-    ranks = graphs.pagerank(network.collaboration(c), iterations=_ROUNDS)
-    return ranks.select("node", F.round("rank", 6).alias("rank"))
+    ranks = graphs.pagerank(network.collaboration(c))
+    return ranks.select("node", F.round("rank", 5).alias("rank"))
 
 
 def _shown(c):

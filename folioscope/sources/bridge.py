@@ -12,7 +12,7 @@ from folioscope.functions import columns as C
 
 #: First id of each kind of item.
 SECTION, PROJECT, PLACE, REGION, INSTITUTE = 100_000_000, 200_000_000, 300_000_000, 350_000_000, 400_000_000
-PERSON, SUBJECT, TYPE, LANGUAGE, GENRE, RECORD = 500_000_000, 600_000_000, 700_000_000, 800_000_000, 900_000_000, 1_000_000_000
+PERSON, SUBJECT, TYPE, LANGUAGE, GENRE, JOURNAL, RECORD = 500_000_000, 600_000_000, 700_000_000, 800_000_000, 900_000_000, 950_000_000, 1_000_000_000
 #: ``ord`` of a statement is its line times this, plus its target.
 LINE = 10_000_000_000
 PUBLICATIONS, PODCASTS, VIDEOS = 1, 2, 3
@@ -79,12 +79,15 @@ def load(spark: SparkSession, sf_dir: str) -> Corpus:
         _raw(orders, order, C.LANGUAGE, c("language"), 0),
         _raw(orders, order, C.FORMAT, c("genre"), 0),
         _raw(orders, order, C.SPATIAL, c("c_nationkey") + PLACE, 0),
+        _raw(orders.where("o_orderstatus = 'F' and o_orderkey % 3 = 0"), order, C.IS_PART_OF, c("c_nationkey") + JOURNAL, 1),
+        _raw(orders.where("o_orderstatus = 'F' and o_orderkey % 3 = 1"), order, "marcrel:pup", c("o_custkey") % 25 + PLACE, 0),
         _raw(lines, on_line, C.SUBJECT, c("subject"), line),
         _raw(lines, on_line, C.TYPE, c("type"), line),
         _raw(lines, on_line, C.PROVENANCE, c("s_nationkey") + PLACE, line),
         _raw(lines.where(~literal), on_line, role, c("l_suppkey") + PERSON, line),
         _raw(nation, c("n_nationkey") + PROJECT, C.IS_PART_OF, c("n_regionkey") + SECTION, 0),
         _raw(nation, c("n_nationkey") + PLACE, C.IS_PART_OF, c("n_regionkey") + REGION, 0),
+        _raw(nation, c("n_nationkey") + JOURNAL, C.SPATIAL, c("n_nationkey") + PLACE, 0),
         _raw(nation, c("n_nationkey") + PROJECT, C.FUNDER, (c("n_nationkey") + 7) % 25 + INSTITUTE, 0),
         _raw(t["supplier"], c("s_suppkey") + PERSON, C.IS_PART_OF, c("s_nationkey") + INSTITUTE, 0),
     ]
@@ -96,6 +99,7 @@ def load(spark: SparkSession, sf_dir: str) -> Corpus:
         _items(nation, c("n_nationkey") + PLACE, c("n_name"), 3, C.LOCATION),
         _items(region, c("r_regionkey") + REGION, c("r_name"), 3, C.LOCATION),
         _items(nation, c("n_nationkey") + INSTITUTE, F.concat(F.lit("Institute "), "n_name"), 2, C.ORGANISATION),
+        _items(nation, c("n_nationkey") + JOURNAL, F.concat(F.lit("Journal "), "n_name"), 8, C.JOURNAL),
         _items(t["supplier"], c("s_suppkey") + PERSON, c("s_name"), 4, C.PERSON),
         named(subjects, 6), named(types, None), named(languages, None), named(genres, None),
         _items(t["orders"], order, F.concat(F.lit("Order "), c("o_orderkey").cast("string")), 10, None, c("o_orderdate").cast("date")),

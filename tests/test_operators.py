@@ -380,3 +380,129 @@ def test_stream_gives_what_the_batch_gives(spark, sf, tmp_path):
     finally:
         q.stop()
     assert got == rows(windows.daily(events))
+
+
+def test_members_of_projects_and_sections_are_of_the_cluster(spark):
+    items = [(1, "a", C.PERSON, None), (2, "b", C.PERSON, None), (3, "c", C.PERSON, None), (4, "d", C.PERSON, None), (10, "P", C.PROJECT, None), (11, "S", C.GROUP, None), (12, "O", C.ORGANISATION, None), (13, "Centre", C.ORGANISATION, None)]
+    c = corpus(spark, items, [(10, C.MEMBER, 1), (11, C.MEMBER, 2), (12, C.MEMBER, 3), (4, C.IS_PART_OF, 13)])
+    core = spark.createDataFrame([(13,)], "item_id long")
+    assert rows(network.person_class(c, core)) == [(1, "cluster"), (2, "cluster"), (3, "partner"), (4, "cluster")]
+
+
+def test_repulsion_by_a_tree_is_near_the_exact_one():
+    from folioscope.operators.repulsion import exact_repulsion, repulsion
+
+    i = np.arange(600)
+    at, mass = np.stack([np.sqrt(i + 1) * np.cos(i * 2.39996), np.sqrt(i + 1) * np.sin(i * 2.39996)], 1), 1.0 + i % 4
+    rng = np.random.default_rng(1)
+    for p, m in ((at, mass), (rng.normal(size=(1500, 2)) * [100, 3], rng.integers(1, 9, 1500).astype(float)), (np.repeat(rng.normal(size=(40, 2)), 20, 0), np.ones(800))):
+        near, exact = repulsion(p, m), exact_repulsion(p, m)
+        assert np.hypot(*(near - exact).T).sum() <= 0.03 * np.hypot(*exact.T).sum()
+    assert not repulsion(np.zeros((2, 2)), np.ones(2)).any() and not repulsion(np.zeros((50, 2)), np.ones(50)).any()
+    assert repulsion(np.zeros((0, 2)), np.zeros(0)).shape == (0, 2)
+
+
+def test_layout_by_a_tree_is_the_exact_one_at_first():
+    a = np.arange(179)
+    tree = graphs.force_layout(a, a + 1, np.ones(179), np.arange(180), 8)
+    exact = graphs.force_layout(a, a + 1, np.ones(179), np.arange(180), 8, tree_from=1000)
+    assert np.abs(tree).max() <= 1 + 1e-9 and np.abs(tree - exact).max() < 0.02
+    assert (tree == graphs.force_layout(a, a + 1, np.ones(179), np.arange(180), 8)).all()
+
+
+def test_pagerank_stops_when_ranks_have_settled(spark):
+    df = spark.createDataFrame(two_cliques(), "a long, b long, n long")
+    one, two = dict(rows(graphs.pagerank(df))), dict(rows(graphs.pagerank(df, iterations=60, tolerance=0.0)))
+    assert max(abs(one[k] - two[k]) for k in one) < 1e-5
+
+
+def test_outline_names_and_publication_countries(spark):
+    rows_ = [("Tanzania", ["United Republic of Tanzania", "Tanzania"], 0), ("Other", ["TANZANIA", "Other"], 1)]
+    names = geo.outline_names(spark.createDataFrame(rows_, "name string, aliases array<string>, k int"))
+    assert rows(names) == [("other", "Other"), ("tanzania", "Tanzania"), ("united republic of tanzania", "Tanzania")]
+    places = [(1, "Tanzania ", C.LOCATION, None), (2, "Dar", C.LOCATION, None), (3, "Nowhere", C.LOCATION, None), (4, "J", C.JOURNAL, None)]
+    items = places + [(k, f"r{k}", None, 2000 + k) for k in (10, 11, 12, 13)]
+    links = [(2, C.IS_PART_OF, 1), (4, C.SPATIAL, 3), (10, "marcrel:pup", 2), (10, "marcrel:pup", 1), (11, C.IS_PART_OF, 4), (12, C.SPATIAL, 2), (13, "marcrel:pup", 1)]
+    c = corpus(spark, items, links, records=[10, 11, 12, 13], geo=[(2, -6.8, 39.3)])
+    assert rows(geo.publication_places(c), "src", "place") == [(10, 1), (10, 2), (11, 3), (13, 1)]
+    assert rows(geo.publications_by_place(c), "item_id", "n") == [(1, 2), (2, 1), (3, 1)]
+    assert rows(geo.publication_countries(c, c.records, names)) == sorted([("Tanzania", "Tanzania", 2, -6.8, 39.3), ("Nowhere", None, 1, None, None)], key=repr)
+    assert rows(geo.published_timeline(c).where("entity = 1"), "year", "n") == [(2010, 1), (2013, 1)]
+
+
+def test_articles_by_country(spark):
+    df = spark.createDataFrame([(1, 1991, "X", 3), (2, 1999, "X", 5), (2, 1999, "Y", 4), (3, None, "X", 5)], "item_id long, year int, country string, n long")
+    assert rows(geo.articles_by_country(df)) == sorted([(1990, "X", 2), (1990, "Y", 1), (None, "X", 3), (None, "Y", 1)], key=repr)
+    assert rows(geo.articles_about(df).where("country = 'X'"), "rank", "item_id") == [(1, 3), (2, 2), (3, 1)]
+
+
+def test_categories_of_relations(spark):
+    items = [(1, "r", None, None), (2, "p", C.PROJECT, None), (3, "x", None, None), (4, "j", C.JOURNAL, None), (5, "o", C.ORGANISATION, None), (6, "l", C.LOCATION, None), (7, "c", "fabio:Book", None)]
+    links = [(1, C.IS_PART_OF, k) for k in (2, 3, 4, 5, 6, 7)] + [(1, C.SERIES, 3), (1, C.CREATOR, 5), (1, "marcrel:edt", 5), (1, "marcrel:edt", 3), (1, "marcrel:pup", 6), (1, "dcterms:relation", 3), (1, C.LANGUAGE, 3)]
+    got = rows(knowledge.direct_relations(corpus(spark, items, links, records=[1])), "term", "item_id", "category")
+    assert got == sorted([
+        (C.IS_PART_OF, 2, "Project"), (C.IS_PART_OF, 3, "Project"), (C.IS_PART_OF, 4, "Publication venue"), (C.IS_PART_OF, 5, "Institution"), (C.IS_PART_OF, 6, "Location"),
+        (C.IS_PART_OF, 7, "Publication venue"), (C.SERIES, 3, "Publication venue"), (C.CREATOR, 5, "Person"), ("marcrel:edt", 5, "Institution"), ("marcrel:edt", 3, "Contributor"),
+        ("marcrel:pup", 6, "Location"), ("dcterms:relation", 3, "Related item"),
+    ], key=repr)
+
+
+def test_newest_items_of_a_day_go_by_id(spark):
+    day = datetime.date(2020, 5, 1)
+    made = spark.createDataFrame([(3, "a", None, None, day, 2020), (1, "z", None, None, day, 2020), (2, "m", None, None, day, 2020)], SCHEMAS["items"])
+    c = corpus(spark, [], [], records=[1, 2, 3])
+    c = Corpus(**{k: getattr(c, k) for k in SCHEMAS} | {"items": made}, records=c.records)
+    assert rows(temporal.whats_new_items(c, top=2).where("months = 3"), "rank", "item_id") == [(1, 1), (2, 2)]
+
+
+def test_names_of_answers():
+    good = ("a.json", "people/12.json", "x-y/A_b-3.json")
+    bad = ("a.json\n", "é.json", "P/a.json", "../a.json", "a/b/c.json", "a.jsonx", "١.json")
+    assert all(publish.NAME.fullmatch(n) for n in good) and not any(publish.NAME.fullmatch(n) for n in bad)
+
+
+def test_graphs_of_centres_have_communities(spark):
+    """Two groups of items that share two resources each; the centre itself and lone nodes have none."""
+    items = [(k, "i", None, None) for k in range(1, 8)] + [(k, "s", None, None) for k in range(20, 24)]
+    links = [(1, C.SUBJECT, s) for s in range(20, 24)] + [(k, C.SUBJECT, s) for k in (2, 3, 4) for s in (20, 21)] + [(k, C.SUBJECT, s) for k in (5, 6) for s in (22, 23)]
+    c = corpus(spark, items, links, records=range(1, 8))
+    direct, shared = knowledge.direct_relations(c), knowledge.shared_items(c)
+    edges = knowledge.shared_edges(c, direct, shared)
+    assert rows(edges.where("center = 1"), "item_id", "resource") == sorted([(k, s) for k in (2, 3, 4) for s in (20, 21)] + [(k, s) for k in (5, 6) for s in (22, 23)], key=repr)
+    none = spark.createDataFrame([], "center long, a long, b long")
+    got = dict(rows(knowledge.graph_communities(edges, none).where("center = 1"), "node", "community"))
+    assert got == {2: 0, 3: 0, 4: 0, 20: 0, 21: 0, 5: 1, 6: 1, 22: 1, 23: 1}
+
+
+def test_shown_networks(spark):
+    from folioscope.operators import shown
+
+    people = [(i, f"P{i}", C.PERSON, None) for i in range(11, 17)]
+    pairs = [(11, 12), (12, 13), (11, 13), (14, 15), (15, 16), (14, 16), (13, 14)]
+    links = [(100 + 2 * k + j, C.CREATOR, p) for k, pair in enumerate(pairs) for j in range(2 if pair != (13, 14) else 1) for p in pair]
+    records = sorted({s for s, *_ in links})
+    literals = [(100, C.AUTHORS, "P11"), (100, C.AUTHORS, "New Name"), (102, C.EDITORS, "Ed")]
+    c = corpus(spark, people + [(i, "r", None, None) for i in records], links, literals, records=records)
+    net = shown.collaboration_network(c)
+    assert rows(net.links, "a", "b", "n") == sorted([(*p, 2) for p in pairs[:-1]], key=repr)
+    got = {r.node: r for r in net.nodes.collect()}
+    assert len(got) == 6 and {got[k].community for k in (11, 12, 13)} != {got[k].community for k in (14, 15, 16)} and got[11].n == 4
+    assert rows(net.communities, "community", "size", "merged") == [(0, 3, False), (1, 3, False)]
+    net = shown.coauthor_network(c, top=5)
+    names = {r.name: r for r in net.nodes.collect()}
+    assert len(names) == 5 and all(r.a < r.b for r in net.links.collect())
+    whole = {r.name: r for r in shown.coauthor_network(c).nodes.collect()}
+    assert set(whole) == {"P11", "P12", "P13", "P14", "P15", "P16", "New Name", "Ed"} and whole["Ed"].role == "editor" and whole["Ed"].item_id is None and whole["P11"].item_id == 11
+    few = shown.coauthor_network(c, colours=1)
+    assert rows(few.communities, "community", "merged", "anchor") == [(0, True, None)]
+    assert shown.collaboration_network(c, min_count=3).nodes.count() == 0
+
+
+def test_dominant_sections(spark):
+    made = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 7), (1, 8), (2, 8), (5, 9)], "src long, dst long")
+    section = spark.createDataFrame([(1, 100), (2, 100), (3, 200)], "item_id long, section long")
+    from folioscope.operators import shown
+
+    assert rows(shown.dominant_sections(made, section)) == [(7, 100), (8, 100), (9, -1)]
+    half = spark.createDataFrame([(1, 100), (2, 200)], "item_id long, section long")
+    assert rows(shown.dominant_sections(made, half)) == [(7, -2), (8, -2), (9, -1)]
