@@ -48,7 +48,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from folioscope.llm.common import text_of, work_dir
+from folioscope.llm.common import stored, text_of, work_dir
 
 #: Column -> WARC header.
 HEADERS = {
@@ -91,6 +91,8 @@ class WarcSource(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options, schema)
+#: A digest of more than one in so many pages is dealt with apart.
+HOT_SHARE = 10_000
 
 
 @dataclass
@@ -166,9 +168,12 @@ class WarcReader(DataSourceReader):
                 yield from self._records(io.BufferedReader(_Window(raw, end), 1 << 16))
             elif fs.get_file_info(f"{partition.path}.idx").type == pafs.FileType.File:
                 starts = np.frombuffer(fs.open_input_stream(f"{partition.path}.idx").read(), "<u8")
-                for at in starts[(starts >= partition.start) & (starts < end)].tolist():
+                mine = starts[(starts >= partition.start) & (starts < end)].tolist()
+                # A member and no more is read; of one whose payload isn't asked for, or that a filter may leave out, its head first.
+                head = 1 << 12 if self.wanted or not ("payload" in self.columns or self.verify) else 1 << 17
+                for at, following in zip(mine, [*mine[1:], end]):
                     raw.seek(at)
-                    member = gzip.GzipFile(fileobj=_Window(raw, end))
+                    member = gzip.GzipFile(fileobj=_Window(raw, following, head))
                     yield from self._records(member, one=True)
             else:
                 yield from self._records(gzip.GzipFile(fileobj=_Window(raw, end)))
@@ -219,10 +224,10 @@ class WarcReader(DataSourceReader):
 
 
 class _Window(io.RawIOBase):
-    """A file up to ``end``."""
+    """A file up to ``end``; the first read gives ``head`` bytes at most, each further one up to twice as many as the one before."""
 
-    def __init__(self, raw, end: int):
-        self._raw, self._end = raw, end
+    def __init__(self, raw, end: int, head: int = 1 << 20):
+        self._raw, self._end, self._most = raw, end, head
 
     def readable(self) -> bool:
         return True
@@ -237,7 +242,8 @@ class _Window(io.RawIOBase):
         return self._raw.seek(at, whence) if whence != 2 else self._raw.seek(self._end + at)
 
     def readinto(self, into) -> int:
-        data = self._raw.read(max(0, min(len(into), self._end - self._raw.tell())))
+        data = self._raw.read(max(0, min(len(into), self._most, self._end - self._raw.tell())))
+        self._most = min(2 * self._most, 1 << 20)
         into[: len(data)] = data
         return len(data)
 
@@ -373,7 +379,8 @@ def write_warc(
     Of equal payloads of at least ``min_revisit_bytes`` bytes the one with
     the smallest id is a response and the others revisit it; smaller ones
     are all responses. The digests are grouped map-side first; payloads are
-    shuffled once, and AQE can split the digest that many pages share.
+    shuffled once. Digests of more than 1 in HOT_SHARE of all pages, fewer than
+    HOT_SHARE by that, are broadcast; their revisits go without a payload.
 
     Defined cases: a null payload is empty; null ids come after all others
     (a group of null ids only is all responses); rows that repeat the
@@ -391,7 +398,16 @@ def write_warc(
     firsts = rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("sha1").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
     )
-    joined = rows.join(firsts.where("n > 1").drop("n"), "sha1", "left")
+    firsts = stored(firsts.where("n > 1"), "shared-digests")
+    floor = max(1, pages.count() // HOT_SHARE)
+    hot = firsts.where(F.col("n") > floor).select("sha1", F.col("first").alias("hot_first"))
+    known = rows.join(F.broadcast(hot), "sha1", "left")
+    # What a hot digest's row revisits is known by now: it has nothing to meet, and its payload isn't moved.
+    known = known.withColumn("payload", F.when(F.col("hot_first").isNull() | F.col("page_id").eqNullSafe(F.col("hot_first")), F.col("payload")))
+    scattered = F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("-")))
+    known = known.withColumn("meets", F.when(F.col("hot_first").isNull(), F.col("sha1")).otherwise(scattered))
+    rest = firsts.where(F.col("n") <= floor).select(F.col("sha1").alias("meets"), F.col("first").alias("rest_first"))
+    joined = known.join(rest, "meets", "left").withColumn("first", F.coalesce("hot_first", "rest_first"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     joined.select(
         "page_id",

@@ -2,10 +2,14 @@ import base64
 import gzip
 import hashlib
 import os
+import random
+import string
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
+from folioscope.llm import warc
 from folioscope.llm.common import work_dir
 from folioscope.llm.warc import SCHEMA, read_warc, warc_round_trip, write_warc
 from tests.llm.cases import rows_of
@@ -54,6 +58,48 @@ def test_filters_and_payloads(spark, compression):
     assert df.where("record_type = 'revisit'").where("payload_bytes > 5").count() == 4
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_unwanted_payloads_are_not_read(spark, tmp_path, monkeypatch, compression):
+    """Bytes that the reader asks its files for, over pages of a megabyte that doesn't compress."""
+    path, size = f"file://{tmp_path}/w", 1_000_000
+    rows = [(k, f"http://{k}/", "".join(random.Random(k).choices(string.printable, k=size))) for k in range(8)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, compression=compression)
+    total = sum(f.stat().st_size for f in (tmp_path / "w").iterdir())
+    read = []
+    into = warc._Window.readinto
+
+    def counted(self, target):
+        n = into(self, target)
+        read.append(n)
+        return n
+
+    monkeypatch.setattr(warc._Window, "readinto", counted)
+
+    def rows_read(columns, wanted=()):
+        read.clear()
+        reader = warc.WarcReader({"path": path}, spark.createDataFrame([], columns).schema)
+        assert list(reader.pushFilters(list(wanted))) == []
+        return [r for part in reader.partitions() for r in reader.read(part)]
+
+    assert sorted(rows_read("page_id long, payload_bytes long, record_type string")) == [(k, len(r[2].encode()), "response") for k, r in enumerate(rows)]
+    assert sum(read) < 0.15 * total, (sum(read), total)
+    found = rows_read("page_id long, payload binary", [EqualTo(("page_id",), 5)])
+    assert [(k, bytes(p).decode()) for k, p in found] == [(5, rows[5][2])]
+    assert sum(read) < 0.3 * total, (sum(read), total)
+
+
+def test_copies_of_one_page_are_dealt_out(spark):
+    """A third of all pages alike: their revisits are known before the join, and no task of it gets them all."""
+    rows = [(k, "u", "the same" if k % 3 == 0 else f"own {k}") for k in range(900)] + [(None, "u", "the same")] * 20
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert rows_of(warc_round_trip(df)) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_files_are_readable_by_the_book(spark):
     path = work_dir(spark, "w")
     write_warc(frame(spark), path, compression="gzip")
