@@ -37,37 +37,61 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def numbered(rows: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``nth`` (from 0) and, for each of ``sums``, ``before_<column>``, over all rows in total ``order``, without one task for all.
+
+    Rows are dealt by ranges and written; what a range adds to those after it
+    is one row, so that the only window without a key runs over the ranges.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "ranges")
+    per = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows_"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = per.select(
+        "part", F.coalesce(F.sum("rows_").over(ahead), F.lit(0)).alias("first_nth"), *[F.coalesce(F.sum(f"sum_{c}").over(ahead), F.lit(0)).alias(f"first_{c}") for c in sums]
+    )
+    within = Window.partitionBy("part").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("nth", F.row_number().over(within) - 1).withColumns({f"before_{c}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in sums})
+    out = out.join(first, "part")
+    out = out.withColumns({"nth": F.col("nth") + F.col("first_nth")} | {f"before_{c}": F.col(f"before_{c}") + F.col(f"first_{c}") for c in sums})
+    return out.drop("part", "first_nth", *[f"first_{c}" for c in sums])
+
+
 def targets(sources: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Adds ``target`` to one row per source (skey, source_size).
 
     Water-filling in closed form: sources reach their cap in the order of
     cap / weight. With the first k of them at their caps the others get
     weight x (total - caps so far) / (weight of the rest); source k + 1 is
-    above its cap exactly if that is more than its own cap / weight.
+    above its cap exactly if that is more than its own cap / weight. The
+    driver gets three sums; sources may be any number.
     """
-    named = Window.orderBy("skey")
-    index = F.pmod(F.row_number().over(named) - 1, F.lit(len(weights))) + 1
+    index = F.pmod(F.col("nth"), F.lit(len(weights))) + 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), index.cast("int"))
-    rows = sources.withColumn("w", weight).withColumn("cap", (F.col("source_size") * max_repeats).cast("double"))
-    rows = rows.withColumn("ratio", F.col("cap") / F.col("w"))
-    by_ratio = Window.orderBy("ratio", "skey")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    left = F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    rows = rows.withColumn("rate", left / F.sum("w").over(onward))
-    rows = rows.withColumn("full", F.col("rate") >= F.col("ratio"))
+    rows = numbered(sources, ["skey"]).withColumn("w", weight).withColumn("cap", (F.col("source_size") * max_repeats).cast("double"))
+    rows = rows.drop("nth").withColumn("ratio", F.col("cap") / F.col("w"))
+    total, heaviness = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    rows = numbered(rows, ["ratio", "skey"], ("cap", "w")).drop("nth")
+    rows = rows.withColumn("rate", (F.lit(float(total or 0)) - F.col("before_cap")) / (F.lit(heaviness or 0.0) - F.col("before_w")))
+    rows = stored(rows.withColumn("full", F.col("rate") >= F.col("ratio")), "rates")
     # Once a source isn't full none after it is, and the first such source's rate holds for all of them.
-    rate = F.min(F.when(~F.col("full"), F.struct("ratio", "skey", "rate")))
-    rows = rows.withColumn("final", rate.over(everything)["rate"])
-    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.col("final"))
+    final = rows.where(~F.col("full")).agg(F.min_by("rate", F.struct("ratio", "skey"))).first()[0]
+    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.lit(final).cast("double"))
     return rows.select("skey", "source_size", "n_docs", target.alias("target"))
 
 
 def apportion(rows: DataFrame, group: str | None, key: str, votes: str, seats: str) -> DataFrame:
-    """Adds ``quota``: Sainte-Laguë, exactly ``seats`` (a column, equal within a group) per group; ties go to the smaller key."""
-    within = Window.partitionBy(group) if group else Window.partitionBy(F.lit(1))
-    rows = rows.withColumns({"V": F.sum(votes).over(within), "n_": F.count(F.lit(1)).over(within)})
+    """Adds ``quota``: Sainte-Laguë, exactly ``seats`` (a column, equal within a group) per group; ties go to the smaller key.
+
+    Without a group there may be any number of keys, and no task gets them all.
+    """
+    within = Window.partitionBy(group) if group else None
+    if group:
+        rows = rows.withColumns({"V": F.sum(votes).over(within), "n_": F.count(F.lit(1)).over(within)})
+    else:
+        votes_, n = rows.agg(F.sum(votes), F.count(F.lit(1))).first()
+        rows = rows.withColumns({"V": F.lit(float(votes_ or 0)), "n_": F.lit(n).cast("long")})
     v, big_v, b, n = F.col(votes), F.col("V"), F.col(seats), F.col("n_")
     upto = lambda tau: F.floor((v / tau + 1) / 2)  # noqa: E731  seats whose quotient is at least tau
     sure = F.when((2 * b > n) & (big_v > 0), upto(big_v / (2 * b - n))).otherwise(F.lit(0)).cast("long")
@@ -75,13 +99,20 @@ def apportion(rows: DataFrame, group: str | None, key: str, votes: str, seats: s
     # One seat more and less guards the two bounds against rounding.
     rows = rows.withColumns({"sure": F.greatest(sure - 1, F.lit(0)), "most": F.when(b > 0, most + 1).otherwise(F.lit(0))})
     names = [group, key] if group else [key]
-    rows = rows.withColumn("given", F.sum("sure").over(within))
+    if group:
+        rows = rows.withColumn("given", F.sum("sure").over(within))
+    else:
+        rows = stored(rows, "sure-seats")
+        rows = rows.withColumn("given", F.lit(rows.agg(F.sum("sure")).first()[0] or 0).cast("long"))
     open_seats = rows.where("most >= sure").select(
         *names, votes, seats, "given", F.explode(F.sequence("sure", "most")).alias("k")
     )
     open_seats = open_seats.withColumn("q", F.col(votes) / (2 * F.col("k") + 1))
-    order = within.orderBy(F.desc("q"), key, "k")
-    won = open_seats.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col(seats) - F.col("given"))
+    if group:
+        open_seats = open_seats.withColumn("nth", F.row_number().over(within.orderBy(F.desc("q"), key, "k")) - 1)
+    else:
+        open_seats = numbered(open_seats.withColumn("less", -F.col("q")), ["less", key, "k"])
+    won = open_seats.where(F.col("nth") < F.col(seats) - F.col("given"))
     won = won.groupBy(*names).agg(F.count(F.lit(1)).alias("more"))
     return rows.join(won, names, "left").withColumn("quota", F.col("sure") + F.coalesce("more", F.lit(0))).drop(
         "V", "n_", "sure", "most", "given", "more"
@@ -119,8 +150,8 @@ def mix(
     rows = stored(rows, "sizes")
     sources = rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = targets(sources, max_repeats)
-    total = F.sum("source_size").over(Window.partitionBy(F.lit(1)))
-    sources = sources.withColumn("blocks", F.round(total / block_words).cast("long"))
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    sources = sources.withColumn("blocks", F.round(F.lit(total) / block_words).cast("long"))
     sources = apportion(sources, None, "skey", "target", "blocks").withColumn(
         "n_shards", F.ceil(F.col("n_docs") / shard_docs)
     )
