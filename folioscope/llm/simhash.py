@@ -32,6 +32,8 @@ from folioscope.llm.common import stored, text_of
 SEED = 42
 THRESHOLD = 3
 _PAIRS_AT_ONCE = 1 << 21
+#: A node of more than one in so many edges is a hub.
+HOT_SHARE = 10_000
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -191,19 +193,30 @@ def links(fps: DataFrame, cell_limit: int = 4096) -> DataFrame:
     return ordered.sortWithinPartitions("cell", "part", "probe").mapInArrow(_compare, "u long, v long")
 
 
+def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, ...) with each u's ``m`` of ``low`` (u, m, degree). Hubs, of which there are fewer than 2 x HOT_SHARE among n edges, are broadcast."""
+    floor = max(1, n // HOT_SHARE)
+    hubs = F.broadcast(low.where(F.col("degree") > floor).select("u", "m"))
+    others = rows.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("degree") <= floor).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with an edge other than roots.
 
     Large-star and small-star in turn, each round a written table; rounds
-    grow with the logarithm of a component's size.
+    grow with the logarithm of a component's size. A node of very many edges,
+    as each large component's root comes to be, is no one task's.
     """
     edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        low = stored(low, "neighbours")
+        large = _with_low(both.where("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u != v").distinct(), "large-star")
+        # Here u is the larger end, so that no node is a hub: it has a few smaller neighbours.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
@@ -212,7 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before, n = state, state[0]
 
 
 def simhash_components(
