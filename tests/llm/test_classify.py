@@ -72,6 +72,59 @@ def test_each_view_teaches_the_other():
     assert good(taught) > good(alone) + 0.02
 
 
+def test_one_round_by_hand():
+    """Pseudo-labels, calibration and combination, written out step by step with a logistic regression by plain gradient steps."""
+    rng = np.random.default_rng(5)
+    n, pool = 90, 400
+    y = (rng.random(n) < 0.5).astype(float)
+    truth = (rng.random(pool) < 0.5).astype(float)
+
+    def view(t, width, strong):
+        x = np.zeros((len(t), width))
+        x[:, :2] = t[:, None] * strong + rng.normal(size=(len(t), 2))
+        return x
+
+    content, content_pool = view(y, quality.N_CONTENT, 3.0), view(truth, quality.N_CONTENT, 3.0)
+    meta, meta_pool = view(y, quality.N_META, 1.5), view(truth, quality.N_META, 1.5)
+
+    def learn(x, t):
+        mean, scale = x.mean(0), x.std(0)
+        scale[scale <= 1e-9] = 1
+        z, w, b = (x - mean) / scale, np.zeros(x.shape[1]), 0.0
+        for _ in range(40_000):
+            p = 1 / (1 + np.exp(-(z @ w + b)))
+            w, b = w - 0.02 * (z.T @ (p - t) + w) / len(t) * 10, b - 0.2 * (p - t).mean()
+        return lambda new: ((new - mean) / scale) @ w + b
+
+    chance = lambda logit: 1 / (1 + np.exp(-logit))
+    held = [k for k in range(n) if k % 3 == 2]
+    rest = [k for k in range(n) if k % 3 != 2]
+    first = {"content": learn(content[rest], y[rest]), "meta": learn(meta[rest], y[rest])}
+    teach = {"content": [content[rest]], "meta": [meta[rest]]}
+    answer = {"content": [y[rest]], "meta": [y[rest]]}
+    pools = {"content": content_pool, "meta": meta_pool}
+    given = {}
+    for name, other in (("content", "meta"), ("meta", "content")):
+        p = chance(first[name](pools[name]))
+        free = list(range(pool))
+        for label, sure in ((1.0, p), (0.0, 1 - p)):
+            best = sorted((k for k in free if sure[k] >= 0.97), key=lambda k: (-sure[k], k))[: pool // 10]
+            free = [k for k in free if k not in best]
+            given[name, label] = best
+            teach[other].append(pools[other][best])
+            answer[other].append(np.full(len(best), label))
+    assert given["content", 1.0] and given["content", 0.0]
+    last = {v: learn(np.vstack(teach[v]), np.concatenate(answer[v])) for v in ("content", "meta")}
+    calibrated = {v: learn(last[v](x[held])[:, None], y[held]) for v, x in (("content", content), ("meta", meta))}
+    both = lambda a, b: np.stack([calibrated["content"](last["content"](a)[:, None]), calibrated["meta"](last["meta"](b)[:, None])], 1)
+    combine = learn(both(content[held], meta[held]), y[held])
+    want = chance(combine(both(content_pool, meta_pool)))
+    made = quality.co_train((content, meta, y), (content_pool, meta_pool), rounds=1)
+    got = made(content_pool, meta_pool)[0]
+    assert np.abs(got - want).max() < 0.02, np.abs(got - want).max()
+    assert ((got >= 0.5) == truth).mean() > 0.9
+
+
 def test_quality_cases(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (3, None), (99, 1)], "doc_id long, quality int")
     df = docs(spark).withColumn("quality_score", F.lit("clash"))
