@@ -246,13 +246,13 @@ def kg_first_labels(c):
     return knowledge.first_labels(c)
 
 
-@corpus_query("kg_shared_edges", _SHARED + _DIRECT + f"""
+@corpus_query("kg_edge_stats", _SHARED + _DIRECT + f"""
 , lb AS (SELECT src, dst, arg_min(term, (ord, term)) AS term FROM links WHERE {_SHARE} GROUP BY 1, 2),
 mine AS (SELECT DISTINCT center, item_id AS resource FROM dk WHERE rank <= 220 AND {_SHARE})
-SELECT rk.center, rk.item_id, lb.dst AS resource, lb.term, st.idf, st.freq_pct FROM rk JOIN lb ON lb.src = rk.item_id JOIN mine ON mine.center = rk.center AND mine.resource = lb.dst JOIN st ON st.resource = lb.dst WHERE rk.rank <= 90
+SELECT rk.center, count(*) AS edges, max(st.freq_pct) AS max_freq_pct FROM rk JOIN lb ON lb.src = rk.item_id JOIN mine ON mine.center = rk.center AND mine.resource = lb.dst JOIN st ON st.resource = lb.dst WHERE rk.rank <= 90 GROUP BY 1
 """)
-def kg_shared_edges(c):
-    return knowledge.shared_edges(c, knowledge.direct_relations(c), knowledge.shared_items(c))
+def kg_edge_stats(c):
+    return knowledge.edge_stats(knowledge.shared_edges(c, knowledge.direct_relations(c), knowledge.shared_items(c)))
 
 
 @corpus_query("kg_communities")
