@@ -39,7 +39,7 @@ def treemap(c):
 
 
 @corpus_query("content_sources", f"""
-, g AS (SELECT s.title AS label, count(DISTINCT l.src) AS n FROM rlinks l JOIN items s ON s.item_id = l.dst WHERE l.term = 'dcterms:isPartOf' GROUP BY 1),
+, g AS (SELECT s.title AS label, count(DISTINCT l.src) AS n FROM rlinks l JOIN items s ON s.item_id = l.dst WHERE l.term = 'dcterms:isPartOf' AND s.class_term = 'foaf:Project' GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY n DESC, {nk('label')}, label) AS k, count(*) OVER () AS groups FROM g)
 SELECT CASE WHEN k > 11 AND groups > 12 THEN 'Other' ELSE label END AS label, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1
 """)
@@ -161,7 +161,7 @@ def sibling_sparkline(c):
 
 @corpus_query("decade_groups", """
 , d AS (SELECT CAST(floor(r.year / 10) * 10 AS INTEGER) AS decade, CASE WHEN p.title LIKE '%A%' THEN p.title END AS label, count(*) AS n
-  FROM rec r JOIN rlinks l ON l.src = r.item_id AND l.term = 'dcterms:isPartOf' JOIN items p ON p.item_id = l.dst GROUP BY 1, 2)
+  FROM rec r JOIN (SELECT src, arg_min(dst, ord) AS dst FROM rlinks WHERE term = 'dcterms:isPartOf' GROUP BY 1) l ON l.src = r.item_id JOIN items p ON p.item_id = l.dst GROUP BY 1, 2)
 SELECT decade, label, n, share FROM (SELECT decade, label, n, round(n / sum(n) OVER (PARTITION BY decade), 6) AS share FROM d) WHERE label IS NOT NULL
 """)
 def decade_groups(c):

@@ -87,7 +87,7 @@ def publication_countries(c):
 
 @corpus_query("project_affiliation_map", """
 , ppl AS (SELECT l.src, l.dst AS person FROM rlinks l JOIN items i ON i.item_id = l.dst WHERE l.credit AND i.class_term = 'foaf:Person'),
-pp AS (SELECT DISTINCT j.dst AS project, ppl.person FROM rlinks j JOIN ppl ON ppl.src = j.src WHERE j.term = 'dcterms:isPartOf')
+pp AS (SELECT DISTINCT j.dst AS project, ppl.person FROM rlinks j JOIN ppl ON ppl.src = j.src JOIN items o ON o.item_id = j.dst AND o.class_term = 'foaf:Project' WHERE j.term = 'dcterms:isPartOf')
 SELECT pp.project, a.dst AS institution, count(DISTINCT i.title) AS people FROM pp JOIN links a ON a.src = pp.person AND a.term = 'dcterms:isPartOf' JOIN geo g ON g.item_id = a.dst JOIN items i ON i.item_id = pp.person GROUP BY 1, 2
 """)
 def project_affiliation_map(c):

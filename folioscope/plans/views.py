@@ -325,4 +325,5 @@ UNION ALL SELECT entity, 'roles', count(DISTINCT term) FROM k WHERE credit GROUP
 UNION ALL SELECT entity, 'choropleth', count(DISTINCT country) FROM k JOIN cell ON cell.item_id = k.dst WHERE term = 'dcterms:spatial' GROUP BY 1
 """)
 def project_dashboard_sizes(c):
-    return dashboards.bundled(dashboards.charts(c, "projects", _countries(c), _ONLY)).drop("body")
+    pages = dashboards.bundled(dashboards.charts(c, "projects", _countries(c), _ONLY))
+    return pages.groupBy("entity", "chart").agg(F.sum("rows").alias("rows"))
