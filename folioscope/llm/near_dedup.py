@@ -37,7 +37,7 @@ from folioscope.llm.simhash import SEED, components, contract
 
 #: Bits of a block; columns of its parity check are the numbers 1 to BLOCK in five bits.
 BLOCK = 23
-_PAIRS_AT_ONCE = 1 << 21
+_PAIRS_AT_ONCE = 1 << 18
 _BOTH, _LEFT, _RIGHT = 0, 1, 2
 
 
