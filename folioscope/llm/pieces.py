@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +31,27 @@ from folioscope.llm.common import text_of
 #: The mark that the library writes for a blank.
 BLANK = "▁"
 #: Words whose ids a worker keeps, their most letters, and pairs whose compatibility it keeps: beyond, the memory starts anew.
-MEMORY_WORDS, MEMORY_CHARS, MEMORY_PAIRS = 800_000, 40, 2_000_000
+MEMORY_WORDS, MEMORY_CHARS, MEMORY_PAIRS = 400_000, 40, 1_000_000
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Bytes of ids that are handed over at once.
 _HELD = 1 << 23
 
 
+@lru_cache(maxsize=4)
+def library(model: str):
+    """The library's own processor; one per worker process."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model)
+
+
 class PrefixTable:
     """A model's pieces: which tokens end where, and which may follow each other."""
 
     def __init__(self, model: str):
         import ahocorasick
-        import sentencepiece
 
-        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.library = sp = library(model)
         self.piece = {i: sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.score = {p: sp.get_score(i) for i, p in self.piece.items()}
         self.id = {p: i for i, p in self.piece.items()}
@@ -183,7 +191,7 @@ def _encoded(model: str, end_id: int):
 
 def _decoded(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = PieceEncoder.of(model).table.library.decode
+        decode = library(model).decode  # a worker that only decodes makes no table
         for batch in batches:
             done, texts, held = 0, [], 0
             for k, ids in enumerate(batch.column(1)):
