@@ -183,13 +183,20 @@ def affiliation_map(corpus: Corpus) -> DataFrame:
 
 
 def project_affiliation_map(corpus: Corpus) -> DataFrame:
-    """(project, institution, people): geocoded organisations of the people credited on a project's records, with how many distinct names."""
-    links, _ = corpus.scoped()
-    project = of_class(corpus, links.where(F.col("term") == C.IS_PART_OF), C.PROJECT).select("src", F.col("dst").alias("project"))
-    people = of_class(corpus, links.where(C.is_credit(F.col("term"))), C.PERSON).select("src", F.col("dst").alias("person"))
-    rows = project.join(people, "src").select("project", "person").distinct()
-    rows = rows.join(affiliation_map(corpus), "person").join(corpus.titles().withColumnRenamed("dst", "person"), "person")
-    return rows.groupBy("project", "institution").agg(F.countDistinct("title").alias("people"))
+    """(project, institution, name, lat, lon, members): geocoded organisations of a project's own creators and members, with the different names of its people there in reading order.
+
+    A team is a handful of people, so that its names are one row's array; people without a name place an institution, but aren't named.
+    """
+    projects = corpus.of_class(C.PROJECT).select(F.col("item_id").alias("src"))
+    team = corpus.links.where(F.col("term").isin(C.CREATOR, C.MEMBER)).join(projects, "src", "left_semi")
+    team = team.groupBy(F.col("src").alias("project"), F.col("dst").alias("person")).agg(F.min("ord").alias("at"))
+    sites = corpus.of_class(C.ORGANISATION).join(corpus.geo, "item_id").join(corpus.titles().withColumnRenamed("dst", "item_id"), "item_id", "left")
+    sites = sites.select(F.col("item_id").alias("institution"), F.col("title").alias("name"), "lat", "lon")
+    work = corpus.links.where(F.col("term") == C.IS_PART_OF).select(F.col("src").alias("person"), F.col("dst").alias("institution")).distinct().join(sites, "institution")
+    rows = team.join(work, "person").join(corpus.titles().withColumnRenamed("dst", "person"), "person", "left")
+    named = F.array_sort(F.collect_list(F.struct("at", "person", "title")))
+    names = F.array_distinct(F.array_compact(F.transform(named, lambda x: x["title"])))
+    return rows.groupBy("project", "institution", "name", "lat", "lon").agg(names.alias("members"))
 
 
 def spatial_places(corpus: Corpus) -> DataFrame:

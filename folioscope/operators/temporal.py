@@ -9,7 +9,7 @@ from folioscope.corpus import Corpus
 from folioscope.functions import columns as C
 from folioscope.operators.dist import children, everything
 from folioscope.operators.network import chord
-from folioscope.operators.ranking import by_value, ranked
+from folioscope.operators.ranking import ranked
 
 
 def years_of(corpus: Corpus, members: DataFrame | None) -> tuple[DataFrame, list[str]]:
@@ -102,11 +102,12 @@ def whats_new_items(corpus: Corpus, top: int = 24) -> DataFrame:
 
 
 def whats_new_projects(corpus: Corpus, top: int = 10) -> DataFrame:
-    """(months, item_id, title, n): new records under their first parent project (the lowest id)."""
+    """(months, item_id, title, n, rank): new records under their first parent project (the lowest id); of equal counts the lower id goes first."""
     parent = children(corpus, [C.PROJECT]).groupBy("item_id").agg(F.min("parent").alias("parent"))
-    counts = whats_new(corpus).join(parent, "item_id").groupBy("months", F.col("parent").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(corpus.titles(), "dst").withColumnRenamed("dst", "item_id")
-    return ranked(rows, ["months"], by_value(), top)
+    counts = whats_new(corpus).join(parent, "item_id").groupBy("months", F.col("parent").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
+    best = ranked(counts, ["months"], [F.desc("n"), F.col("item_id").asc()], top)
+    named = best.join(corpus.titles().withColumnRenamed("dst", "item_id"), "item_id", "left")
+    return named.withColumn("title", F.coalesce("title", F.concat(F.lit("Project "), F.col("item_id").cast("string"))))
 
 
 def sibling_sparkline(corpus: Corpus) -> DataFrame:

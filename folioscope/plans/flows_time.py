@@ -141,7 +141,7 @@ def whats_new_items(c):
 
 @corpus_query("whats_new_projects", _NEW + """
 SELECT months, item_id, title, n, rank FROM (
-  SELECT g.months, g.p AS item_id, i.title, g.n, row_number() OVER (PARTITION BY g.months ORDER BY g.n DESC, i.nk, g.p) AS rank
+  SELECT g.months, g.p AS item_id, i.title, g.n, row_number() OVER (PARTITION BY g.months ORDER BY g.n DESC, g.p) AS rank
   FROM (SELECT f.months, x.p, count(*) AS n FROM fresh f JOIN (SELECT l.src, min(l.dst) AS p FROM links l JOIN items i ON i.item_id = l.dst WHERE l.term = 'dcterms:isPartOf' AND i.class_term = 'foaf:Project' GROUP BY 1) x ON x.src = f.item_id GROUP BY 1, 2) g
   JOIN items i ON i.item_id = g.p) WHERE rank <= 10
 """)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from folioscope.functions import columns as C
 from folioscope.operators import geo, knowledge
-from folioscope.plans.registry import corpus_query
+from folioscope.plans.oracle import CORPUS
+from folioscope.plans.registry import corpus_query, table_query
+from folioscope.sources import bridge
 
 _CELL = ", cell AS (SELECT item_id, 'C' || CAST(floor(lat / 10) * 10 AS INTEGER) || '_' || CAST(floor(lon / 10) * 10 AS INTEGER) AS country FROM geo)"
 
@@ -85,13 +89,19 @@ def publication_countries(c):
     return geo.publication_countries(c, c.memberships.where("set_id = 1"), _region_names(c))
 
 
-@corpus_query("project_affiliation_map", """
-, ppl AS (SELECT l.src, l.dst AS person FROM rlinks l JOIN items i ON i.item_id = l.dst WHERE l.credit AND i.class_term = 'foaf:Person'),
-pp AS (SELECT DISTINCT j.dst AS project, ppl.person FROM rlinks j JOIN ppl ON ppl.src = j.src JOIN items o ON o.item_id = j.dst AND o.class_term = 'foaf:Project' WHERE j.term = 'dcterms:isPartOf')
-SELECT pp.project, a.dst AS institution, count(DISTINCT i.title) AS people FROM pp JOIN links a ON a.src = pp.person AND a.term = 'dcterms:isPartOf' JOIN geo g ON g.item_id = a.dst JOIN items i ON i.item_id = pp.person GROUP BY 1, 2
+@table_query("project_affiliation_map", CORPUS + """
+, team AS (SELECT project, person, min(ord) AS at FROM (
+  SELECT 200000000 + s_suppkey % 25 AS project, 500000000 + s_suppkey AS person, 500000000 + s_suppkey AS ord FROM supplier WHERE s_suppkey % 5 = 0
+  UNION ALL SELECT 200000000 + (s_suppkey * 3) % 25, 500000000 + s_suppkey, 10000000000 + 500000000 + s_suppkey FROM supplier WHERE s_suppkey % 4 = 0) GROUP BY 1, 2),
+named AS (SELECT t.project, l.dst AS institution, p.title, min((t.at, t.person)) AS at FROM team t
+  JOIN (SELECT DISTINCT src, dst FROM links WHERE term = 'dcterms:isPartOf') l ON l.src = t.person JOIN items p ON p.item_id = t.person GROUP BY 1, 2, 3)
+SELECT n.project, n.institution, o.title AS name, g.lat, g.lon, string_agg(n.title, ' | ' ORDER BY n.at) AS members
+FROM named n JOIN items o ON o.item_id = n.institution JOIN geo g ON g.item_id = n.institution
+WHERE o.class_term = 'foaf:Organization' AND n.project IN (SELECT item_id FROM items WHERE class_term = 'foaf:Project') GROUP BY 1, 2, 3, 4, 5
 """)
-def project_affiliation_map(c):
-    return geo.project_affiliation_map(c)
+def project_affiliation_map(spark, sf_dir):
+    corpus = bridge.teams(bridge.load(spark, sf_dir), spark, sf_dir)
+    return geo.project_affiliation_map(corpus).withColumn("members", F.array_join("members", " | "))
 
 
 _SP = """

@@ -18,8 +18,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-#: Names that may be read.
-NAME = re.compile(r"([a-z-]+/)?[A-Za-z0-9_-]+[.]json")
+# --- Fixed values: the names that may be read, as the contract of the files gives them.
+NAME = re.compile(r"^(?:[a-z-]+/)?[\w-]+\.json$", re.ASCII)
+# --- End of fixed values.
 #: Most rows of one answer file.
 MAX_ROWS = 100_000
 

@@ -95,26 +95,32 @@ def word_search(spark, sf_dir):
     return compare.search_words(counts, "th")
 
 
-@table_query("list_like_flags", """
+_KINDS = """
 WITH t AS (SELECT doc_id AS item_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS t FROM documents),
-r AS (SELECT item_id, len(t) AS words, len(list_filter(t, lambda w: regexp_matches(w, '^["''(\\[]?[A-Za-z][A-Za-z''-]*[.,;:!?)\\]"'']*$'))) / CAST(len(t) AS DOUBLE) AS share,
-  len(list_filter(t, lambda w: regexp_matches(w, '^[^A-Za-z0-9_]*[0-9][0-9.,:/-]*[^A-Za-z0-9_]*$'))) / CAST(len(t) AS DOUBLE) AS numbers,
-  len(list_filter(t, lambda w: regexp_matches(w, '\\b(1[89]|20)[0-9]{2}\\b'))) / CAST(len(t) AS DOUBLE) AS years, len(list_filter(t, lambda w: regexp_matches(w, '^([A-Z]\\.)+,?$'))) / CAST(len(t) AS DOUBLE) AS initials FROM t WHERE len(t) > 0)
+c AS (SELECT item_id, t, list_transform(t, lambda w: trim(w, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')) AS cores FROM t WHERE len(t) > 0),
+r AS (SELECT item_id, len(t) AS words,
+  len(list_filter(cores, lambda w: regexp_full_match(translate(w, '-''’', ''), '\\p{L}+'))) / CAST(len(t) AS DOUBLE) AS share,
+  len(list_filter(cores, lambda w: regexp_full_match(translate(w, '.,:/-', ''), '[0-9]+'))) / CAST(len(t) AS DOUBLE) AS numbers,
+  len(list_filter(cores, lambda w: len(list_filter(string_split(replace(w, '/', '-'), '-'), lambda x: regexp_full_match(x, '[0-9]{4}') AND x BETWEEN '1800' AND '2099')) > 0)) / CAST(len(t) AS DOUBLE) AS years,
+  len(list_filter(t, lambda w: regexp_full_match(translate(w, '.,', ''), '\\p{Lu}{1,3}') AND length(w) - length(replace(w, '.', '')) = length(translate(w, '.,', '')))) / CAST(len(t) AS DOUBLE) AS initials FROM c)
+"""
+
+
+@table_query("list_like_flags", _KINDS + """
 SELECT item_id, words, round(share, 6) AS word_share, round(numbers, 6) AS number_density, share < 0.8 AS low_quality, years + numbers + initials > 0.12 OR years > 0.05 AS list_like FROM r
 """)
 def list_like_flags(spark, sf_dir):
     return text.list_like(_docs(spark, sf_dir))
 
 
-@table_query("article_flags", """
-WITH t AS (SELECT doc_id AS item_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS t FROM documents),
-r AS (SELECT item_id, len(t) AS words, len(list_filter(t, lambda w: regexp_matches(w, '^["''(\\[]?[A-Za-z][A-Za-z''-]*[.,;:!?)\\]"'']*$'))) / CAST(len(t) AS DOUBLE) AS share FROM t)
-SELECT item_id, array_to_string(list_filter([CASE WHEN item_id % 7 = 0 THEN 'furniture' END, CASE WHEN words < 300 THEN 'short' END, CASE WHEN words = 0 OR share < 0.8 THEN 'ocr' END], lambda f: f IS NOT NULL), ' ') AS flags FROM r
+@table_query("article_flags", _KINDS + """
+SELECT d.doc_id AS item_id, array_to_string(list_filter([CASE WHEN d.doc_id % 7 = 0 THEN 'furniture' END, CASE WHEN coalesce(words, 0) < 300 THEN 'short' END, CASE WHEN coalesce(share, 0) < 0.8 THEN 'ocr' END], lambda f: f IS NOT NULL), ' ') AS flags
+FROM documents d LEFT JOIN r ON r.item_id = d.doc_id
 """)
 def article_flags(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    title = F.when(F.col("item_id") % 7 == 0, F.lit(" Letters to the Editor")).otherwise(F.concat(F.lit("Document "), F.col("item_id").cast("string")))
-    return text.article_flags(docs, docs.select("item_id", title.alias("title"))).select("item_id", F.array_join("flags", " ").alias("flags"))
+    title = F.concat(F.when(F.col("item_id") % 7 == 0, F.lit("Minutes of the Yearly Meeting, ")).otherwise(F.lit("Document ")), F.col("item_id").cast("string"))
+    return text.article_flags(docs, docs.select("item_id", title.alias("title")), ["yearly meeting"]).select("item_id", F.array_join("flags", " ").alias("flags"))
 
 
 @table_query("cards", """

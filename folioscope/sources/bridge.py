@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,6 +47,16 @@ def _raw(df: DataFrame, src: Column, term: Column | str, dst: Column, line: Colu
     )
 
 
+def teams(corpus: Corpus, spark: SparkSession, sf_dir: str) -> Corpus:
+    """``corpus`` with statements on projects about their own people: a supplier in five leads one, in four is in the team of another."""
+    key = F.col("s_suppkey")
+    people = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key)
+    led = _raw(people.where(key % 5 == 0), key % 25 + PROJECT, C.CREATOR, key + PERSON, 0)
+    staffed = _raw(people.where(key % 4 == 0), (key * 3) % 25 + PROJECT, C.MEMBER, key + PERSON, 1)
+    own = led.unionByName(staffed).select("src", "term", "dst", (F.col("line") * LINE + F.col("dst")).alias("ord"))
+    return replace(corpus, links=corpus.links.unionByName(own))
+
+
 def load(spark: SparkSession, sf_dir: str) -> Corpus:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")}
     c = F.col
