@@ -10,6 +10,8 @@ from folioscope.functions.columns import natural_key
 #: Caps of ranked answers.
 TOP_SUBJECTS, TOP_ROWS, TOP_PLACES, TOP_PHOTOS, TOP_PICKER = 200, 100, 200, 600, 400
 KG_DIRECT, KG_REVERSE, KG_SHARED, KG_FALLBACK = 220, 40, 90, 60
+#: Nodes whose statements are read for cross edges, and edges that they add.
+KG_SCANNED, KG_CROSS = 250, 400
 
 
 def by_value(value: str = "n", title: str = "title", item: str = "item_id") -> list[Column]:

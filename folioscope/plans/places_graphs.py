@@ -225,13 +225,49 @@ def kg_fallback(c):
     return knowledge.fallback_relations(c)
 
 
-@corpus_query("kg_cross_edges", _DIRECT + """
-, x AS (SELECT a.center, least(l.src, l.dst) AS a, greatest(l.src, l.dst) AS b, min(l.term) AS term FROM (SELECT DISTINCT center, item_id FROM dk WHERE rank <= 220) a
-  JOIN links l ON l.src = a.item_id JOIN (SELECT DISTINCT center, item_id FROM dk WHERE rank <= 220) b ON b.center = a.center AND b.item_id = l.dst WHERE l.src <> l.dst GROUP BY 1, 2, 3)
-SELECT center, a, b, term, rank FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY a, b) AS rank FROM x) WHERE rank <= 400
-""")
+_GRAPH = _SHARED + _DIRECT + f"""
+, rv AS (SELECT center, item_id, category, rank FROM (
+  SELECT l.dst AS center, l.src AS item_id, CASE WHEN i.class_term = 'frapo:ResearchGroup' THEN 'Project' ELSE 'Linked Item' END AS category, row_number() OVER (PARTITION BY l.dst ORDER BY l.src) AS rank
+  FROM links l JOIN items i ON i.item_id = l.dst WHERE l.term = 'dcterms:isPartOf') WHERE rank <= 40),
+poor AS (SELECT i.item_id FROM items i LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM links GROUP BY 1) o ON o.src = i.item_id WHERE coalesce(o.n, 0) < 5),
+fb AS (SELECT center, item_id, rank FROM (SELECT dst AS center, src AS item_id, row_number() OVER (PARTITION BY dst ORDER BY src) AS rank FROM (SELECT DISTINCT dst, src FROM links WHERE dst IN (SELECT item_id FROM poor))) WHERE rank <= 60),
+found AS (
+  SELECT center, item_id, 0 AS stage, rank, category, NULL AS strength, NULL AS shared FROM dk WHERE rank <= 220 UNION ALL SELECT center, item_id, 1, rank, category, NULL, NULL FROM rv
+  UNION ALL SELECT center, item_id, 2, rank, 'Research Item', NULL, NULL FROM fb UNION ALL SELECT center, item_id, 3, rank, 'Shared Item', strength, shared FROM rk WHERE rank <= 90),
+once AS (SELECT center, item_id, min((stage, rank, category)) AS f, max(strength) AS strength, max(shared) AS shared FROM found WHERE item_id <> center GROUP BY 1, 2),
+nd AS MATERIALIZED (SELECT center, item_id, f[3] AS category, strength, shared, row_number() OVER (PARTITION BY center ORDER BY f[1], f[2], item_id) AS seq FROM once),
+lb AS (SELECT src, dst, arg_min(term, (ord, term)) AS term FROM links WHERE {_SHARE} GROUP BY 1, 2),
+mine AS (SELECT DISTINCT center, item_id AS resource FROM dk WHERE rank <= 220 AND {_SHARE}),
+ties AS MATERIALIZED (SELECT rk.center, rk.item_id, lb.dst AS resource, lb.term, st.freq_pct FROM rk JOIN lb ON lb.src = rk.item_id JOIN mine ON mine.center = rk.center AND mine.resource = lb.dst JOIN st ON st.resource = lb.dst WHERE rk.rank <= 90),
+drawn AS (SELECT DISTINCT center, least(item_id, resource) AS a, greatest(item_id, resource) AS b FROM ties),
+one AS (SELECT a.center, least(l.src, l.dst) AS a, greatest(l.src, l.dst) AS b, min((a.seq, l.ord, l.term, l.src, l.dst)) AS e
+  FROM nd a JOIN links l ON l.src = a.item_id JOIN nd b ON b.center = a.center AND b.item_id = l.dst WHERE a.seq <= 250 AND l.src <> l.dst AND l.dst <> a.center GROUP BY 1, 2, 3),
+cr AS (SELECT * FROM (SELECT one.center, e[4] AS source, e[5] AS target, e[3] AS term, row_number() OVER (PARTITION BY one.center ORDER BY e[1], e[2], e[3]) AS rank
+  FROM one WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.center = one.center AND d.a = one.a AND d.b = one.b)) WHERE rank <= 400)
+"""
+
+
+@corpus_query("kg_nodes", _GRAPH + "SELECT center, item_id, category, CAST(strength AS DOUBLE) AS strength, shared, seq FROM nd")
+def kg_nodes(c):
+    return knowledge.assembled(c).nodes
+
+
+@corpus_query("kg_cross_edges", _GRAPH + "SELECT center, source, target, term, rank FROM cr")
 def kg_cross_edges(c):
-    return knowledge.cross_edges(c, knowledge.direct_relations(c))
+    return knowledge.assembled(c).cross
+
+
+@corpus_query("kg_graphs", _GRAPH + """
+, ed AS (
+  SELECT center, 'direct' AS kind, NULL AS freq_pct FROM dk WHERE rank <= 220 AND item_id <> center UNION ALL SELECT center, 'reverse', NULL FROM rv WHERE item_id <> center
+  UNION ALL SELECT center, 'reference', NULL FROM fb WHERE item_id <> center AND NOT EXISTS (SELECT 1 FROM dk WHERE dk.center = fb.center AND dk.item_id = fb.item_id AND dk.rank <= 220) AND NOT EXISTS (SELECT 1 FROM rv WHERE rv.center = fb.center AND rv.item_id = fb.item_id)
+  UNION ALL SELECT center, 'cross', NULL FROM cr UNION ALL SELECT center, 'shared', freq_pct FROM ties)
+SELECT n.center, n.nodes, coalesce(e.edges, 0) AS edges, CAST(coalesce(e.cross_edges, 0) AS BIGINT) AS cross_edges, n.max_strength, e.max_freq_pct
+FROM (SELECT center, count(*) AS nodes, max(strength) AS max_strength FROM nd GROUP BY 1) n
+LEFT JOIN (SELECT center, count(*) AS edges, count(*) FILTER (kind = 'cross') AS cross_edges, max(freq_pct) AS max_freq_pct FROM ed GROUP BY 1) e ON e.center = n.center
+""")
+def kg_graphs(c):
+    return knowledge.assembled(c).stats()
 
 
 @corpus_query("kg_slider", _STATS + f"""
@@ -267,6 +303,4 @@ def kg_edge_stats(c):
 
 @corpus_query("kg_communities")
 def kg_communities(c):
-    direct, shared = knowledge.direct_relations(c), knowledge.shared_items(c)
-    nodes = direct.select("center", "item_id").union(shared.select("center", "item_id")).distinct()
-    return knowledge.graph_communities(knowledge.shared_edges(c, direct, shared), knowledge.cross_edges(c, nodes))
+    return knowledge.assembled(c).communities()

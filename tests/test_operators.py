@@ -1,5 +1,6 @@
 """Rules that the star schema doesn't exercise, on small rows of their own."""
 
+import dataclasses
 import datetime
 import json
 import random
@@ -142,10 +143,45 @@ def test_shared_items_count_every_resource(spark):
 
 
 def test_cross_edges(spark):
-    items = [(k, f"x{k}", None, None) for k in (1, 2, 3)]
-    c = corpus(spark, items, [(1, C.SUBJECT, 2), (1, C.SUBJECT, 3), (2, C.IS_PART_OF, 3), (3, C.SUBJECT, 2)], records=[1])
-    nodes = knowledge.direct_relations(c)
-    assert rows(knowledge.cross_edges(c, nodes), "center", "a", "b") == [(1, 2, 3)]
+    """In the order of gathering, by the first statement in reading order, without what is drawn, and up to the caps."""
+    items = [(k, f"x{k}", None, None) for k in range(1, 6)]
+    statements = [(1, C.SUBJECT, 5), (1, C.SUBJECT, 2), (1, C.CREATOR, 3), (2, C.TYPE, 3), (2, C.IS_PART_OF, 3), (3, C.SUBJECT, 2), (5, C.SUBJECT, 2), (2, C.SUBJECT, 1), (5, C.SUBJECT, 4)]
+    c = corpus(spark, items, statements, records=[1])
+    nodes = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (1, 5, 3)], "center long, item_id long, seq long")
+    none = spark.createDataFrame([], "center long, a long, b long")
+    of = lambda *a, **b: rows(knowledge.cross_edges(c, nodes, *a, **b), "center", "source", "target", "term", "rank")
+    first, second = (1, 3, 2, C.SUBJECT, 1), (1, 5, 2, C.SUBJECT, 2)
+    assert of(none) == [first, second]  # 3 was gathered before 2, so its statement is the edge
+    assert of(none, top=1) == [first] and of(none, scanned=1) == [first]
+    assert of(spark.createDataFrame([(1, 2, 3)], "center long, a long, b long")) == [(*second[:4], 1)]
+
+
+def test_nodes_are_gathered_once_in_order(spark):
+    of = lambda x, more: spark.createDataFrame(x, f"center long, item_id long, rank long{more}")
+    named = ", category string"
+    nodes = knowledge.gathered(
+        of([(1, 3, 1, "Person"), (1, 2, 2, "Subject"), (1, 1, 3, "Subject")], named), of([(1, 2, 1, "Project"), (1, 4, 2, "Project")], named),
+        of([(1, 4, 1), (1, 6, 2)], ""), of([(1, 2, 1, 2.5, 3), (1, 5, 2, 1.0, 1)], ", strength double, shared long"),
+    )
+    assert [tuple(r) for r in nodes.orderBy("seq").collect()] == [
+        (1, 3, "Person", None, None, 1), (1, 2, "Subject", 2.5, 3, 2), (1, 4, "Project", None, None, 3), (1, 6, "Research Item", None, None, 4), (1, 5, "Shared Item", 1.0, 1, 5),
+    ]
+
+
+def test_people_of_a_project_and_newest_projects(spark):
+    """Only a project's own statements count, names go in reading order; equal counts go by id."""
+    day = datetime.date(2026, 1, 2)
+    kinds = [(1, "rec", None), (10, "P ten", C.PROJECT), (11, "A eleven", C.PROJECT), (20, "Zoe", C.PERSON), (21, "Ann", C.PERSON), (22, None, C.PERSON), (30, "Inst", C.ORGANISATION), (31, "Place", C.LOCATION)]
+    items = [(i, t, None, k, day if i in (1, 2) else None, None) for i, t, k in [*kinds, (2, "rec", None)]]
+    statements = [
+        (1, C.IS_PART_OF, 10), (2, C.IS_PART_OF, 11), (1, C.CREATOR, 21), (10, C.MEMBER, 20), (10, C.CREATOR, 21), (10, C.MEMBER, 22), (10, C.CREATOR, 20),
+        *((p, C.IS_PART_OF, o) for p in (20, 21, 22) for o in (30, 31)),
+    ]
+    c = corpus(spark, [], statements, records=[1, 2], geo=[(30, 1.0, 2.0), (31, 3.0, 4.0)])
+    c = dataclasses.replace(c, items=spark.createDataFrame(items, SCHEMAS["items"]))
+    got = rows(geo.project_affiliation_map(c), "project", "institution", "name", "lat", "lon", "members")
+    assert got == [(10, 30, "Inst", 1.0, 2.0, ["Zoe", "Ann"])]
+    assert rows(temporal.whats_new_projects(c).where("months = 3"), "rank", "item_id", "n") == [(1, 10, 1), (2, 11, 1)]
 
 
 def two_cliques():

@@ -10,7 +10,7 @@ from folioscope import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow for a unit test; the driver compares them.
-HEAVY = {"kg_slider", "kg_stats", "kg_edge_stats"}
+HEAVY = {"kg_slider", "kg_stats", "kg_edge_stats", "kg_nodes"}
 
 
 @pytest.fixture(scope="module")
