@@ -6,8 +6,8 @@ they read, and only these counts are shuffled: into ranges of language, first wo
 and the words after it, so that a first word, or pair, with very many suffixes
 fills several ranges. A range is read in falling order, in which suffixes with a common
 prefix are neighbours and a longer one comes before its prefixes: one stack, as
-deep as a suffix is long, holds the counts of all prefixes that are open. The
-empty prefix counts a language's words.
+deep as a suffix is long, holds the counts of all prefixes that are open, and goes on
+by a batch of rows at a time. The empty prefix counts a language's words.
 
 What is a prefix of a range's first or last suffix can go on in the next range: those few are
 handed on at any count and added up. All others are whole, and are left out if too rare.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +89,12 @@ class _Suffixes:
         self._start()
 
     def _rows(self, lang: str, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        head = pa.scalar(_escaped(lang))
         for i in range(0, len(counts), 1 << 17):
             numbers = [c[i : i + (1 << 17)] for c in columns]
             parts = [words.take(pa.array(n, mask=n == self._end)) for n in numbers]
-            suffix = pc.binary_join_element_wise(*parts, _PART, null_handling="skip")
-            yield pa.RecordBatch.from_arrays([pa.array(repeat(lang, len(suffix)), pa.string(), size=len(suffix)), suffix, pa.array(counts[i : i + (1 << 17)])], ["lang", "suffix", "count"])
+            suffix = pc.binary_join_element_wise(head, *parts, _PART, null_handling="skip")
+            yield pa.RecordBatch.from_arrays([suffix, pa.array(counts[i : i + (1 << 17)])], ["suffix", "count"])
 
 
 def _distinct(columns: list[np.ndarray], below: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -126,50 +126,79 @@ def _to_suffixes(most: int):
     return run
 
 
+class _Stack:
+    """The open prefixes of rows that come in falling order: the words of the deepest, the language first, and every depth's count so far."""
+
+    def __init__(self, min_count: int):
+        self._least = min_count
+        self._path: list[str] | None = None
+        self._counts: list[int] = []
+        self._first: list[bool] = []  # whether the prefix began with the task's first row
+
+    def _found(self, words: list[str], n: int, is_open: bool) -> tuple:
+        return words[0], _PART.join(words[1:]), len(words) - 1, n, is_open
+
+    def _closed(self, depth: int, at_end: bool = False) -> list[tuple]:
+        """What is deeper than ``depth`` is left; counts of whole prefixes that are too rare go."""
+        path = self._path or []
+        deeper = range(depth + 1, len(path) + 1)
+        return [self._found(path[:d], self._counts[d - 1], at_end or self._first[d - 1]) for d in deeper if at_end or self._first[d - 1] or d == 1 or self._counts[d - 1] >= self._least]
+
+    def add(self, suffixes: pa.Array, counts: np.ndarray) -> list[tuple]:
+        lists = pc.split_pattern(suffixes, _PART)
+        sizes = np.diff(lists.offsets.to_numpy())
+        codes = np.full((len(sizes), sizes.max()), -1, np.int32)
+        codes[np.arange(codes.shape[1]) < sizes[:, None]] = lists.flatten().dictionary_encode().indices.to_numpy()
+        same = (codes[1:] == codes[:-1]) & (codes[1:] >= 0)
+        shared = np.concatenate([[0], np.cumprod(same, axis=1).sum(axis=1)])  # words that a row has in common with the one before it
+        begin, last = suffixes[0].as_py().split(_PART), suffixes[-1].as_py().split(_PART)
+        at_start = self._path is None
+        for x, y in zip(self._path or [], begin):
+            if x != y:
+                break
+            shared[0] += 1
+        out = self._closed(int(shared[0]))
+        now: list[int] = []
+        first: list[bool] = []
+        for d in range(1, codes.shape[1] + 1):
+            starts = np.flatnonzero(shared < d)  # the rows at which a prefix of d words ends
+            goes_on = shared[0] >= d
+            if goes_on:
+                starts = np.concatenate([[0], starts])
+            sums = np.add.reduceat(counts, starts)
+            begins = np.zeros(len(starts), bool)
+            if goes_on:
+                sums[0] += self._counts[d - 1]
+            begins[0] = starts[0] == 0 and (at_start or (goes_on and self._first[d - 1]))
+            leaves = (sizes[starts] >= d) & ((sums >= self._least) | begins | (d == 1))
+            if len(last) >= d:
+                leaves[-1] = False
+                now.append(int(sums[-1]))
+                first.append(bool(begins[-1]))
+            for i in np.flatnonzero(leaves):
+                out.append(self._found(suffixes[starts[i]].as_py().split(_PART)[:d], int(sums[i]), bool(begins[i])))
+        self._path, self._counts, self._first = last, now, first
+        return out
+
+    def end(self) -> list[tuple]:
+        return self._closed(0, at_end=True)
+
+
 def _count_prefixes(min_count: int):
-    """Rows (lang, suffix, count) come in falling order; rows (lang, phrase, words, count, open) leave."""
+    """Rows (suffix, count) come in falling order; rows (lang, phrase, words, count, open) leave."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        path: list[str] = []  # the open prefixes' last words, the language first
-        counts: list[int] = []
-        first: list[str] = []
-
-        def close(depth: int, at_end: bool = False) -> None:
-            while len(path) > depth:
-                n, k = counts.pop(), len(path)
-                is_open = at_end or path == first[:k]
-                if is_open or n >= min_count or k == 1:
-                    out.append((path[0], _PART.join(path[1:]), k - 1, n, is_open))
-                path.pop()
-                if counts:
-                    counts[-1] += n
-
-        def leave() -> Iterator[pa.RecordBatch]:
-            columns = zip(*out)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "phrase", "words", "count", "open"])
-            out.clear()
+        stack = _Stack(min_count)
+
+        def leave(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["lang", "phrase", "words", "count", "open"])
 
         for batch in batches:
-            for lang, suffix, count in zip(*(c.to_pylist() for c in batch.columns)):
-                words = [lang, *suffix.split(_PART)]
-                if not first:
-                    first = words
-                same, least = 0, min(len(words), len(path))
-                while same < least and words[same] == path[same]:
-                    same += 1
-                if same < len(path):
-                    close(same)
-                if same < len(words):
-                    path += words[same:]
-                    counts += [0] * (len(words) - same)
-                counts[-1] += count
-                if len(out) > 1 << 16:
-                    yield from leave()
-        close(0, at_end=True)
-        yield from leave()
+            if batch.num_rows:
+                yield from leave(stack.add(batch.column(0), batch.column(1).to_numpy()))
+        yield from leave(stack.end())
 
     return run
 
@@ -177,10 +206,11 @@ def _count_prefixes(min_count: int):
 def phrase_counts(docs: DataFrame, max_words: int = 4, min_count: int = 30, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, phrase, words, count) of phrases of 1 to ``max_words`` words, parted by "\\0" and escaped, that occur ``min_count`` times; words = 0: all words of the language."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    suffixes = rows.mapInArrow(_to_suffixes(max_words), "lang string, suffix string, count long")
-    ordered = suffixes.repartitionByRange("lang", "suffix").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    # The language is a suffix's first part: rows are dealt, sorted and compared by one string.
+    suffixes = rows.mapInArrow(_to_suffixes(max_words), "suffix string, count long")
+    ordered = suffixes.repartitionByRange("suffix").sortWithinPartitions(F.desc("suffix"))
     found = ordered.mapInArrow(_count_prefixes(min_count), "lang string, phrase string, words long, count long, open boolean")
-    found = stored(found, "phrases")
+    found = stored(found.withColumn("lang", _unescaped(F.col("lang"))), "phrases")
     whole = found.where("not open").drop("open")
     met = found.where("open").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
     return whole.unionByName(met.where((F.col("count") >= min_count) | (F.col("words") == 0)))
