@@ -505,7 +505,7 @@ def test_graphs_of_centres_have_communities(spark):
     direct, shared = knowledge.direct_relations(c), knowledge.shared_items(c)
     edges = knowledge.shared_edges(c, direct, shared)
     assert rows(edges.where("center = 1"), "item_id", "resource") == sorted([(k, s) for k in (2, 3, 4) for s in (20, 21)] + [(k, s) for k in (5, 6) for s in (22, 23)], key=repr)
-    none = spark.createDataFrame([], "center long, a long, b long")
+    none = spark.createDataFrame([], "center long, source long, target long")
     got = dict(rows(knowledge.graph_communities(edges, none).where("center = 1"), "node", "community"))
     assert got == {2: 0, 3: 0, 4: 0, 20: 0, 21: 0, 5: 1, 6: 1, 22: 1, 23: 1}
 
