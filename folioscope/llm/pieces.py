@@ -30,7 +30,7 @@ from folioscope.llm.common import text_of
 
 #: The mark that the library writes for a blank.
 BLANK = "▁"
-#: Words whose ids a worker keeps, their most letters, and pairs whose compatibility it keeps: beyond, the memory starts anew.
+#: Words whose ids a worker keeps in each of two generations, and their most letters; pairs whose compatibility it keeps before that memory starts anew.
 MEMORY_WORDS, MEMORY_CHARS, MEMORY_PAIRS = 400_000, 40, 1_000_000
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Bytes of ids that are handed over at once.
@@ -119,18 +119,28 @@ class PrefixTable:
 
 
 class _Words(dict):
-    """word, of whose blanks the first is left out -> ids as bytes, made when first asked for."""
+    """word, of whose blanks the first is left out -> ids as bytes, made when first asked for.
+
+    A full generation becomes the old one: words that are asked for again move on to the new one, the others go with it.
+    """
 
     def __init__(self, table: PrefixTable):
         self._table = table
+        self._old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._table.encode(BLANK + word)
-        made = struct.pack(f"<{len(ids)}i", *ids)
+        made = self._old.get(word)
+        if made is None:
+            ids = self._table.encode(BLANK + word)
+            made = struct.pack(f"<{len(ids)}i", *ids)
         if len(word) <= MEMORY_CHARS:
             self[word] = made
         return made
 
+    def grown_old(self) -> None:
+        self._old = dict(self)
+        self.clear()
+
 
 class PieceEncoder:
     """text -> ids as little-endian int32 bytes."""
@@ -157,7 +167,7 @@ class PieceEncoder:
         if not self.table.cut_at_words:
             return self._whole(text)
         if len(self._words) > MEMORY_WORDS:
-            self._words.clear()
+            self._words.grown_old()
         if BLANK * 2 in text or text.endswith(BLANK):
             head, words = [], _RUNS.findall(text)
             if words and words[0][0] != BLANK:
