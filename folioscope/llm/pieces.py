@@ -9,8 +9,9 @@ each prefix's last token, and the ids are read off from the end, without a
 queue of merges and in time linear in the text. A letter that is no piece merges with
 nothing; it is written as its bytes' pieces.
 
-No piece goes over the start of a word, as the model is read, so
-words are encoded apart and workers keep the ids of those they have met. A
+Letters that no piece has side by side never merge, so a text may be cut between
+them. No piece goes over the start of a word, as the model is read, so
+words are encoded apart, and cut further; workers keep the ids of those they have met. A
 model for which that does not hold takes whole texts through the table.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +31,8 @@ from folioscope.llm.common import text_of
 
 #: The mark that the library writes for a blank.
 BLANK = "▁"
-#: Words whose ids a worker keeps in each of two generations, and their most letters; pairs whose compatibility it keeps before that memory starts anew.
-MEMORY_WORDS, MEMORY_CHARS, MEMORY_PAIRS = 400_000, 40, 1_000_000
+#: Words, and parts of words, whose ids a worker keeps in each of two generations, and their most letters; pairs whose compatibility it keeps before that memory starts anew.
+MEMORY_WORDS, MEMORY_PARTS, MEMORY_CHARS, MEMORY_PAIRS = 150_000, 300_000, 40, 1_000_000
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Bytes of ids that are handed over at once.
 _HELD = 1 << 23
@@ -61,7 +62,8 @@ class PrefixTable:
         letters = {c for p in self.id for c in p}
         if letters - self.id.keys():
             raise ValueError("a letter of a piece is no piece")
-        self.cut_at_words = not any(a != BLANK and b == BLANK for p in self.id for a, b in zip(p, p[1:]))
+        self._pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.cut_at_words = not any(a != BLANK and b == BLANK for a, b in self._pairs)
         self._ending = ahocorasick.Automaton()
         for p, i in self.id.items():
             self._ending.add_word(p, (i, len(p)))
@@ -95,6 +97,15 @@ class PrefixTable:
             known = self._compatible[pair] = self.merged("".join(two)) == two
         return known
 
+    def cut(self, word: str) -> list[str]:
+        """A word between letters that no piece has side by side."""
+        pairs, parts, start = self._pairs, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                parts.append(word[start:i])
+                start = i
+        return [*parts, word[start:]]
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text as the library writes it (see BLANK)."""
         last, sizes = [-1] * len(text), [1] * len(text)  # by the prefix's end: its last token and that one's letters
@@ -118,29 +129,27 @@ class PrefixTable:
         return ids
 
 
-class _Words(dict):
-    """word, of whose blanks the first is left out -> ids as bytes, made when first asked for.
+class _Kept(dict):
+    """key -> ids as bytes, made when first asked for.
 
-    A full generation becomes the old one: words that are asked for again move on to the new one, the others go with it.
+    A full generation becomes the old one: what is asked for again moves on to the new one, the rest goes with it.
     """
 
-    def __init__(self, table: PrefixTable):
-        self._table = table
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self._make, self._most = make, most
         self._old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        made = self._old.get(word)
+    def __missing__(self, key: str) -> bytes:
+        made = self._old.get(key)
         if made is None:
-            ids = self._table.encode(BLANK + word)
-            made = struct.pack(f"<{len(ids)}i", *ids)
-        if len(word) <= MEMORY_CHARS:
-            self[word] = made
+            made = self._make(key)
+        if len(key) <= MEMORY_CHARS:
+            if len(self) >= self._most:
+                self._old = dict(self)
+                self.clear()
+            self[key] = made
         return made
 
-    def grown_old(self) -> None:
-        self._old = dict(self)
-        self.clear()
-
 
 class PieceEncoder:
     """text -> ids as little-endian int32 bytes."""
@@ -149,7 +158,8 @@ class PieceEncoder:
 
     def __init__(self, model: str):
         self.table = PrefixTable(model)
-        self._words = _Words(self.table)
+        self._parts = _Kept(self._whole, MEMORY_PARTS)
+        self._words = _Kept(self._word, MEMORY_WORDS)
 
     @classmethod
     def of(cls, model: str) -> PieceEncoder:
@@ -162,12 +172,14 @@ class PieceEncoder:
         ids = self.table.encode(text)
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    def _word(self, word: str) -> bytes:
+        """A word, of whose blanks the first is left out."""
+        return b"".join(map(self._parts.__getitem__, self.table.cut(BLANK + word)))
+
     def __call__(self, text: str) -> bytes:
         text = self.table.library.normalize(text)
         if not self.table.cut_at_words:
             return self._whole(text)
-        if len(self._words) > MEMORY_WORDS:
-            self._words.grown_old()
         if BLANK * 2 in text or text.endswith(BLANK):
             head, words = [], _RUNS.findall(text)
             if words and words[0][0] != BLANK:
