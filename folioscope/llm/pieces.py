@@ -9,9 +9,8 @@ each prefix's last token, and the ids are read off from the end, without a
 queue of merges and in time linear in the text. A letter that is no piece merges with
 nothing; it is written as its bytes' pieces.
 
-Letters that no piece has side by side never merge, so a text may be cut between
-them. No piece goes over the start of a word, as the model is read, so
-words are encoded apart, and cut further; workers keep the ids of those they have met. A
+No piece goes over the start of a word, as the model is read, so
+words are encoded apart and workers keep the ids of those they have met. A
 model for which that does not hold takes whole texts through the table.
 """
 
@@ -31,8 +30,8 @@ from folioscope.llm.common import text_of
 
 #: The mark that the library writes for a blank.
 BLANK = "▁"
-#: Words, and parts of words, whose ids a worker keeps in each of two generations, and their most letters; pairs whose compatibility it keeps before that memory starts anew.
-MEMORY_WORDS, MEMORY_PARTS, MEMORY_CHARS, MEMORY_PAIRS = 150_000, 300_000, 40, 1_000_000
+#: Words whose ids a worker keeps in each of two generations, and their most letters; pairs whose compatibility it keeps before that memory starts anew.
+MEMORY_WORDS, MEMORY_CHARS, MEMORY_PAIRS = 400_000, 40, 1_000_000
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Bytes of ids that are handed over at once.
 _HELD = 1 << 23
@@ -62,14 +61,12 @@ class PrefixTable:
         letters = {c for p in self.id for c in p}
         if letters - self.id.keys():
             raise ValueError("a letter of a piece is no piece")
-        self._pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.cut_at_words = not any(a != BLANK and b == BLANK for a, b in self._pairs)
+        self.cut_at_words = not any(a != BLANK and b == BLANK for p in self.id for a, b in zip(p, p[1:]))
         self._ending = ahocorasick.Automaton()
         for p, i in self.id.items():
-            self._ending.add_word(p, (i, len(p)))
+            self._ending.add_word(p, (i, len(p), {}))  # and whether it may follow the tokens that it has been asked for
         self._ending.make_automaton()
-        self._compatible: dict[int, bool] = {}
-        self._alone: dict[int, bool] = {}
+        self._told = 0
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, merge by merge: the best-scored pair first, of equal ones the leftmost."""
@@ -81,43 +78,25 @@ class PrefixTable:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def begins(self, token: int) -> bool:
-        """Whether a text that is the token's piece is that token."""
-        if token not in self._alone:
-            self._alone[token] = self.merged(self.piece[token]) == [self.piece[token]]
-        return self._alone[token]
-
     def follows(self, before: int, token: int) -> bool:
-        pair = before << 32 | token
-        known = self._compatible.get(pair)
-        if known is None:
-            if len(self._compatible) >= MEMORY_PAIRS:
-                self._compatible.clear()
-            two = [self.piece[before], self.piece[token]]
-            known = self._compatible[pair] = self.merged("".join(two)) == two
-        return known
-
-    def cut(self, word: str) -> list[str]:
-        """A word between letters that no piece has side by side."""
-        pairs, parts, start = self._pairs, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                parts.append(word[start:i])
-                start = i
-        return [*parts, word[start:]]
+        """Whether the token may come after another, or, after none (-1), begin a text."""
+        two = [self.piece[i] for i in (before, token) if i >= 0]
+        return self.merged("".join(two)) == two
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text as the library writes it (see BLANK)."""
         last, sizes = [-1] * len(text), [1] * len(text)  # by the prefix's end: its last token and that one's letters
-        known = self._compatible
-        for end, (token, n) in self._ending.iter(text):
+        for end, (token, n, known) in self._ending.iter(text):
             if last[end] < 0:
                 before = last[end - n] if end >= n else -1  # none: the text begins, or a letter that is no piece
-                fits = self._alone.get(token) if before < 0 else known.get(before << 32 | token)
+                fits = known.get(before)
                 if fits is None:
-                    fits = self.begins(token) if before < 0 else self.follows(before, token)
+                    fits = known[before] = self.follows(before, token)
+                    self._told += 1
                 if fits:
                     last[end], sizes[end] = token, n
+        if self._told > MEMORY_PAIRS:
+            self.forget()
         ids, at = [], len(text) - 1
         while at >= 0:
             if last[at] < 0:
@@ -128,6 +107,11 @@ class PrefixTable:
         ids.reverse()
         return ids
 
+    def forget(self) -> None:
+        for _, _, known in self._ending.values():
+            known.clear()
+        self._told = 0
+
 
 class _Kept(dict):
     """key -> ids as bytes, made when first asked for.
@@ -158,8 +142,7 @@ class PieceEncoder:
 
     def __init__(self, model: str):
         self.table = PrefixTable(model)
-        self._parts = _Kept(self._whole, MEMORY_PARTS)
-        self._words = _Kept(self._word, MEMORY_WORDS)
+        self._words = _Kept(lambda word: self._whole(BLANK + word), MEMORY_WORDS)  # of whose blanks the first is left out
 
     @classmethod
     def of(cls, model: str) -> PieceEncoder:
@@ -172,10 +155,6 @@ class PieceEncoder:
         ids = self.table.encode(text)
         return struct.pack(f"<{len(ids)}i", *ids)
 
-    def _word(self, word: str) -> bytes:
-        """A word, of whose blanks the first is left out."""
-        return b"".join(map(self._parts.__getitem__, self.table.cut(BLANK + word)))
-
     def __call__(self, text: str) -> bytes:
         text = self.table.library.normalize(text)
         if not self.table.cut_at_words:

@@ -48,12 +48,11 @@ def test_whole_texts_without_cuts_at_words(encoder, library):
 
 def test_memories_start_anew(library, monkeypatch):
     monkeypatch.setattr(P, "MEMORY_WORDS", 3)
-    monkeypatch.setattr(P, "MEMORY_PARTS", 2)
     monkeypatch.setattr(P, "MEMORY_PAIRS", 5)
     small = P.PieceEncoder(MODEL)
     for text in ("one two three four five six", "seven eight nine ten", "one two three"):
         assert ids(small, text) == library.encode(text)
-    assert len(small.table._compatible) <= 5
+    assert small.table._told <= 5
 
 
 def test_cases(spark, library):
