@@ -201,6 +201,17 @@ def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
     return rows.join(hubs, "u").unionByName(others)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``rows`` joined to ``table``, each of whose rows says in ``n`` how many of ``rows`` ask for it.
+
+    Those that more than one in HOT_SHARE of all ask for are fewer than HOT_SHARE: they are broadcast, so that no key is one task's.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(n) > max(1, total // HOT_SHARE)).drop(n))
+    others = rows.join(hot.select(*on), on, "left_anti").join(table.drop(n), on)
+    return rows.join(hot, on).unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with an edge other than roots.
 
@@ -243,14 +254,15 @@ def simhash_components(
     rows; texts are read whole; other columns are ignored.
     """
     rows = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+    fps = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = components(links(fps, cell_limit))
     named = fps.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "first_id", "n", F.coalesce("root", "fp").alias("root")
     )
-    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    named = stored(named, "named-fingerprints")
+    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("of"))
+    named = looked_up(named, names, ["root"], "of").select("fp", "n", "component_id")
+    return looked_up(rows, named, ["fp"], "n").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
