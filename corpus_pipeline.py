@@ -28,20 +28,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays, once.
 
-    Documents without an id come last, by a hash of the text; such that
-    share an id go by that hash too, and are told apart by their texts. Null and
-    empty texts are one group. Rows that repeat an id and a text stay once,
-    whichever it is. Other columns may have any names.
+    Documents without an id come last, by two hashes of the text; such that
+    share an id go by those too, and are told apart by their texts. Of rows that repeat an id and a text but
+    differ elsewhere, the one with the smallest hash of all its columns stays, of rows alike in all of them one. Null and
+    empty texts are one group. Other columns may have any names.
     """
-    key, digest = unused(docs.columns, "key", "hash")
+    row, n = unused(docs.columns, "row", "n")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({key: F.xxhash64("doc_id", text), digest: F.xxhash64(text, F.lit(1))})
-    groups = near_components(keyed, id_col=key, words=5, similarity=0.8).distinct()
-    names = keyed.select(key, digest, "doc_id").distinct().join(groups, key)
-    first = F.min_by(F.struct(key, digest), F.struct(F.col("doc_id").isNull(), "doc_id", key, digest))
-    stay = names.groupBy("component_id").agg(first.alias("stays")).select("stays.*")
-    kept = keyed.join(stay, [key, digest], "left_semi")
-    return kept.dropDuplicates([key, digest]).select(*[docs[c] for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(text, F.lit(1)).alias("b"), F.xxhash64(*docs.columns).alias("c"))
+    keyed = docs.withColumn(row, order)
+    groups = near_components(keyed, id_col=row, words=5, similarity=0.8)
+    kept = groups.groupBy(row).agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias(n)).where(F.col(row) == F.col("component_id")).select(row, n)
+    # A group's first row, as often as it is there; rows that aren't alone are few, unless one is repeated very often.
+    found = keyed.join(kept, row)
+    once, more = found.where(F.col(n) == 1), found.where(F.col(n) > 1).dropDuplicates([row])
+    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
