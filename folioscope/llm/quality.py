@@ -8,9 +8,10 @@ it has not learnt from knows no more than the share of ones may not teach. At th
 calibrated on labelled rows that it has not learnt from, a third regression
 combines the calibrated views, and every document is scored.
 
-Only the fit is bounded: it takes about ``max_labelled`` labelled rows and a
-pool of about ``max_pool`` others, chosen by a hash of the id. Their features,
-some 100 numbers a row, are what the driver gets. Scores are computed where
+The pool is all documents: their features, some 100 numbers for all documents that share them, are a
+table, and in every round they are judged where they lie; only the ``max_taught``
+that a view is surest of for either label come to the driver. Of labelled rows the fit takes about
+``max_labelled``, chosen by a hash of the id, one row an id. Scores are computed where
 the documents are, without a shuffle.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from folioscope.llm.common import stored, unused
 from folioscope.llm.logistic import Logistic, fit, sigmoid
 
 _GROUPS = [b"!", b"?", b".", b",;:", b"%", b"$", b"#", b"&", b"*", b"|", b"<>{}[]", b"/\\", b"@=_~^`", b"\"'()-+", b"\n", b" \t\r"]
@@ -103,12 +105,58 @@ def _informed(model: Logistic, x: np.ndarray, y: np.ndarray) -> bool:
     return loss(np.clip(model(x), 1e-4, 1 - 1e-4)) < 0.95 * loss(np.full(len(y), y.mean()))
 
 
+class ArrayPool:
+    """Unlabelled rows in memory; a view is taught a tenth of them at once."""
+
+    def __init__(self, content: np.ndarray, meta: np.ndarray, share: float = 0.1):
+        self._views = (content, meta)
+        self._free = [np.ones(len(content), bool), np.ones(len(content), bool)]
+        self._most = max(1, int(share * len(content)))
+        self.empty = not len(content)
+
+    def surest(self, teacher: int, model: Logistic, label: float, sure: float) -> np.ndarray:
+        """The other view of the rows that the teacher is surest of, and that the other hasn't been taught."""
+        other = 1 - teacher
+        p = model(self._views[teacher])
+        chance = p if label else 1 - p
+        order = np.argsort(-chance, kind="stable")
+        order = order[(chance[order] >= sure) & self._free[other][order]][: self._most]
+        self._free[other][order] = False
+        return self._views[other][order]
+
+
+class TablePool:
+    """All documents' features (key, x) as a table; each answer is a bounded number of its rows."""
+
+    def __init__(self, features: DataFrame, most: int):
+        self._features, self._most = features, most
+        self._taken: list[list[np.ndarray]] = [[], []]
+        self.empty = features.isEmpty()
+
+    def surest(self, teacher: int, model: Logistic, label: float, sure: float) -> np.ndarray:
+        other = 1 - teacher
+        view = (slice(0, N_CONTENT), slice(N_CONTENT, None))
+        taken = np.concatenate(self._taken[other]) if self._taken[other] else np.empty(0, np.int64)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.array(batch.column(1).to_pylist(), float).reshape(-1, N_CONTENT + N_META)
+                p = model(x[:, view[teacher]])
+                chance = p if label else 1 - p
+                stay = pa.array((chance >= sure) & ~np.isin(batch.column(0).to_numpy(), taken))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], ["key", "x", "chance"]).filter(stay)
+
+        best = self._features.mapInArrow(judge, "key long, x array<float>, chance double").orderBy(F.desc("chance"), "key").limit(self._most)
+        found = best.toArrow()
+        self._taken[other].append(found["key"].to_numpy())
+        return np.array(found["x"].to_pylist(), float).reshape(-1, N_CONTENT + N_META)[:, view[other]]
+
+
 def co_train(
     labelled: tuple[np.ndarray, np.ndarray, np.ndarray],
-    pool: tuple[np.ndarray, np.ndarray],
+    pool: ArrayPool | TablePool,
     rounds: int = 4,
     sure: float = 0.97,
-    share: float = 0.1,
 ) -> CoTrained:
     """labelled: content, metadata and 0/1 of rows in a fixed order; every third one calibrates, the others teach."""
     x, m, y = labelled
@@ -117,24 +165,18 @@ def co_train(
         held = np.zeros(len(y), bool)
     teach = {0: [x[~held]], 1: [m[~held]]}
     answers = {0: [y[~held]], 1: [y[~held]]}
-    views, free = (pool[0], pool[1]), [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]
     models = [None, None]
     for r in range(rounds + 1):
         models = [fit(np.vstack(teach[v]), np.concatenate(answers[v])) for v in (0, 1)]
-        if r == rounds or not len(views[0]):
+        if r == rounds or pool.empty:
             break
-        most = max(1, int(share * len(views[0])))
         for v in (0, 1):
-            other = 1 - v
             if not _informed(models[v], (x, m)[v][held], y[held]):
                 continue
-            p = models[v](views[v])
-            for label, chance in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-chance, kind="stable")
-                order = order[(chance[order] >= sure) & free[other][order]][:most]
-                free[other][order] = False
-                teach[other].append(views[other][order])
-                answers[other].append(np.full(len(order), label))
+            for label in (1.0, 0.0):
+                taught = pool.surest(v, models[v], label, sure)
+                teach[1 - v].append(taught)
+                answers[1 - v].append(np.full(len(taught), label))
     judge = held if held.any() else ~held
     logits = [models[0].logit(x[judge])[:, None], models[1].logit(m[judge])[:, None]]
     calibration = tuple(fit(z, y[judge]) for z in logits)
@@ -156,12 +198,11 @@ def training_rows(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
-def _featurise(at: dict[str, int], id_at: int, label_at: int):
+def _featurise(at: dict[str, int], keep: list[int], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, meta = _matrices(batch, at)
-            rows = pa.array(np.hstack([content, meta]).astype(np.float32).tolist(), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_at), batch.column(label_at), rows], ["id", "y", "x"])
+            rows = np.hstack(_matrices(batch, at)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(rows.tolist(), pa.list_(pa.float32()))], [*names, "x"])
 
     return run
 
@@ -172,37 +213,35 @@ def train(
     id_col: str = "doc_id",
     label_col: str = "quality",
     max_labelled: int = 20_000,
-    max_pool: int = 20_000,
+    max_taught: int = 2_000,
     seed: int = 42,
 ) -> CoTrained:
-    """Null labels don't count; several labels of one id count as their mean, rounded."""
+    """Null labels don't count; several labels of one id count as their mean, rounded; of several rows of a labelled id the one whose text has the smallest hash counts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training_rows(id_col))
     known = known.groupBy(F.col(id_col).alias("k")).agg(F.round(F.avg(label_col)).cast("double").alias("y"))
     known = sampled(known, "k", max_labelled, seed)
-    columns = [F.col(c) for c in ("text", "lang", "source", "n_chars")]
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), *columns)
-    # About max_labelled rows of (id, label): bounded by the parameter.
-    taught = rows.join(F.broadcast(known), "k")
-    pool = sampled(rows.where("k is not null"), "k", max_pool, seed + 1).withColumn("y", F.lit(None).cast("double"))
-    both = taught.select("k", "y", "text", "lang", "source", "n_chars").unionByName(pool)
-    at = {"text": 2, "lang": 3, "source": 4, "n_chars": 5}
-    found = both.mapInArrow(_featurise(at, 0, 1), "id long, y double, x array<float>").toArrow()
-    found = found.sort_by([("id", "ascending")])
+    columns = ["text", "lang", "source", "n_chars"]
+    at = {c: i for i, c in enumerate(columns)}
+    rows = docs.select(*columns, F.col(id_col).cast("long").alias("k"), F.xxhash64("text", "lang", "source", "n_chars").alias("h"))
+    # About max_labelled ids: bounded by the parameter.
+    taught = rows.join(F.broadcast(known), "k").select(*columns, "k", "y", "h")
+    taught = taught.mapInArrow(_featurise(at, [4, 5, 6], ["k", "y", "h"]), "k long, y double, h long, x array<float>")
+    found = taught.groupBy("k", "y").agg(F.min_by("x", F.struct("h", "x")).alias("x")).toArrow().sort_by([("k", "ascending")])
     x = np.array(found["x"].to_pylist(), float).reshape(-1, N_CONTENT + N_META)
-    y = np.array([np.nan if v is None else v for v in found["y"].to_pylist()], float)
-    is_label = ~np.isnan(y)
-    content, meta = x[:, :N_CONTENT], x[:, N_CONTENT:]
-    return co_train((content[is_label], meta[is_label], y[is_label]), (content[~is_label], meta[~is_label]))
+    y = np.array(found["y"].to_pylist(), float)
+    everyone = rows.mapInArrow(_featurise(at, [], []), "x array<float>")
+    everyone = everyone.select(F.xxhash64("x").alias("key"), "x").groupBy("key").agg(F.first("x").alias("x"))
+    return co_train((x[:, :N_CONTENT], x[:, N_CONTENT:], y), TablePool(stored(everyone, "features"), max_taught))
 
 
 SCORES = ("quality_score", "content_score", "meta_score")
 
 
-def _scorer(model: CoTrained, at: dict[str, int]):
+def _scorer(model: CoTrained, at: dict[str, int], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model(*_matrices(batch, at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], [*batch.schema.names, *SCORES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], [*batch.schema.names, *names])
 
     return run
 
@@ -213,16 +252,16 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     Defined cases: null text scores as empty; null metadata is a value of
     its own; null ids and repeated rows are scored like others; without
     usable labels every document gets the same score; an empty table gives no
-    rows; very long texts are read whole; a column of ``docs`` with the
-    name of a score is replaced.
+    rows; very long texts are read whole; where ``docs`` has a column of a
+    score's name, the score's gets an underscore after it.
     """
-    docs = docs.drop(*SCORES)
-    names = docs.columns
-    at = {c: names.index(c) for c in ("text", "lang", "source", "n_chars")}
-    schema = StructType([*docs.schema.fields, *[StructField(c, DoubleType()) for c in SCORES]])
-    return docs.mapInArrow(_scorer(model, at), schema)
+    at = {c: docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")}
+    names = unused(docs.columns, *SCORES)
+    schema = StructType([*docs.schema.fields, *[StructField(c, DoubleType()) for c in names]])
+    return docs.mapInArrow(_scorer(model, at, names), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """score() by a model trained on the same documents, with ``accepted`` (score of 0.5 or more)."""
-    return score(docs, train(docs, labels, **how)).withColumn("accepted", F.col("quality_score") >= 0.5)
+    """score() by a model trained on the same documents, with ``accepted`` (score of 0.5 or more), which is named as scores are."""
+    accepted, of = unused(docs.columns, "accepted", SCORES[0])
+    return score(docs, train(docs, labels, **how)).withColumn(accepted, F.col(of) >= 0.5)

@@ -234,7 +234,7 @@ def train(
     """The language model is counted over all documents; the lexicon and the regression take about ``max_labelled`` labelled rows.
 
     Labels are learnt only where crc32(id as text) mod 5 isn't 0. Null labels
-    don't count; several labels of one id count as the largest.
+    don't count; several labels of one id count as the largest; of several rows of an id one counts.
     """
     language = language_model(docs, text_col)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training_rows(id_col))
@@ -244,6 +244,8 @@ def train(
     # Copies share a half, or else one half would know the other's texts.
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
     rows = rows.join(F.broadcast(known), "k").select("k", "text", "y", half.alias("half"))
+    # Of several rows of an id the one whose text has the smallest hash: the driver's rows are bounded by ids.
+    rows = rows.groupBy("k").agg(F.min_by(F.struct("text", "y", "half"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("k", "r.*")
     words = stored(rows.mapInArrow(_words(language), "id long, words array<string>, y int, half int"), "labelled-words")
     totals = {(r.half, r.y): r.n for r in words.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = (

@@ -54,7 +54,7 @@ def test_views_that_know_nothing_do_not_teach():
     content = np.zeros((600, quality.N_CONTENT))
     content[:, 0] = y + rng.normal(scale=0.2, size=600)
     meta = rng.normal(size=(600, quality.N_META))
-    model = quality.co_train((content, meta, y), (content[:300], meta[:300]))
+    model = quality.co_train((content, meta, y), quality.ArrayPool(content[:300], meta[:300]))
     assert ((model(content, meta)[0] >= 0.5) == y).mean() > 0.97
 
 
@@ -66,8 +66,8 @@ def test_each_view_teaches_the_other():
     content[:, 0] = y * 2 + rng.normal(scale=0.3, size=3000)
     meta = np.zeros((3000, quality.N_META))
     meta[:, :60] = y[:, None] * 0.5 + rng.normal(size=(3000, 60))
-    taught = quality.co_train((content[:45], meta[:45], y[:45]), (content[45:2000], meta[45:2000]))
-    alone = quality.co_train((content[:45], meta[:45], y[:45]), (content[:0], meta[:0]))
+    taught = quality.co_train((content[:45], meta[:45], y[:45]), quality.ArrayPool(content[45:2000], meta[45:2000]))
+    alone = quality.co_train((content[:45], meta[:45], y[:45]), quality.ArrayPool(content[:0], meta[:0]))
     good = lambda m: ((m.meta(meta[2000:]) > 0.5) == y[2000:]).mean()
     assert good(taught) > good(alone) + 0.02
 
@@ -119,7 +119,7 @@ def test_one_round_by_hand():
     both = lambda a, b: np.stack([calibrated["content"](last["content"](a)[:, None]), calibrated["meta"](last["meta"](b)[:, None])], 1)
     combine = learn(both(content[held], meta[held]), y[held])
     want = chance(combine(both(content_pool, meta_pool)))
-    made = quality.co_train((content, meta, y), (content_pool, meta_pool), rounds=1)
+    made = quality.co_train((content, meta, y), quality.ArrayPool(content_pool, meta_pool), rounds=1)
     got = made(content_pool, meta_pool)[0]
     assert np.abs(got - want).max() < 0.02, np.abs(got - want).max()
     assert ((got >= 0.5) == truth).mean() > 0.9
@@ -129,9 +129,9 @@ def test_quality_cases(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (3, None), (99, 1)], "doc_id long, quality int")
     df = docs(spark).withColumn("quality_score", F.lit("clash"))
     out = quality.quality(df, labels).collect()
-    assert len(out) == len(TEXTS) and all(0 <= r.quality_score <= 1 for r in out)
+    assert len(out) == len(TEXTS) and all(0 <= r.quality_score_ <= 1 and r.quality_score == "clash" for r in out)
     assert quality.quality(empty(spark).withColumns({"lang": F.lit("x"), "n_chars": F.lit(None).cast("long")}), labels).count() == 0
-    same = quality.quality(df, labels.limit(0)).select("quality_score").distinct()
+    same = quality.quality(df, labels.limit(0)).select("quality_score_").distinct()
     assert same.count() == 1
 
 
@@ -251,3 +251,36 @@ def test_toxicity_cases(spark):
     assert [r.held_out for r in out if r.doc_id is None] == [True, True]
     assert toxicity.toxicity(empty(spark), labels).count() == 0
     assert toxicity.toxicity(docs(spark), labels.limit(0)).select("score").distinct().count() == 1
+
+
+def test_the_pool_as_a_table_gives_what_one_in_memory_gives(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, quality.N_CONTENT + quality.N_META)).astype(np.float32).astype(float)
+    model = fit(x[:200, : quality.N_CONTENT], (x[:200, 0] > 0).astype(float))
+    table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "key long, x array<float>").repartition(3)
+    one, other = quality.ArrayPool(x[:, : quality.N_CONTENT], x[:, quality.N_CONTENT :], share=0.05), quality.TablePool(table, 20)
+    for label in (1.0, 0.0, 1.0, 1.0):  # what was taken isn't taken again
+        a, b = (pool.surest(0, model, label, 0.8) for pool in (one, other))
+        assert len(a) and np.allclose(a, b)
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark, sf):
+    docs_df, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    key = labels.join(docs_df, "doc_id").where(quality.training_rows("doc_id")).first().doc_id
+    again = docs_df.where(F.col("doc_id") == key).withColumn("text", F.concat(F.lit("zz "), "text"))
+    more = docs_df
+    for _ in range(3):
+        more = more.unionByName(again)
+    a, b = (quality.train(d, labels) for d in (docs_df, docs_df.unionByName(docs_df.where(F.col("doc_id") == key))))
+    assert np.allclose(a.content.weights, b.content.weights)  # equal rows change nothing
+    assert quality.score(more, quality.train(more, labels)).count() == docs_df.count() + 3
+    assert len(toxicity.toxicity(more, labels).collect()) == docs_df.count() + 3
+
+
+def test_own_columns_stay(spark, sf):
+    docs_df, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    own = docs_df.withColumns({c: F.lit("own") for c in ("quality_score", "accepted", "content_score", "meta_score", "score", "words", "half", "y", "x", "key", "h", "k")})
+    out = quality.quality(own, labels)
+    assert out.where("quality_score = 'own' and accepted = 'own' and meta_score = 'own'").count() == docs_df.count()
+    assert dict(out.dtypes)["quality_score_"] == "double" and dict(out.dtypes)["accepted_"] == "boolean"
+    assert len(toxicity.toxicity(own, labels).collect()) == docs_df.count()
