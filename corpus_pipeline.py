@@ -21,8 +21,9 @@ from folioscope.llm.token_output import token_output
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier scores under 0.5 go."""
-    return quality(docs, table(spark, sf_dir, "labels")).where("accepted").select(*docs.columns)
+    """Documents that the co-trained classifier scores under 0.5 go. Other columns may have any names."""
+    (accepted,) = unused(docs.columns, "accepted")
+    return quality(docs, table(spark, sf_dir, "labels")).where(F.col(f"`{accepted}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
