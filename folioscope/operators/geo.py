@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus
@@ -41,44 +42,88 @@ def read_outlines(spark: SparkSession, path: str) -> DataFrame:
     return f.select(name.alias("name"), F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many).alias("rings"), F.array_compact(F.array(*names)).alias("aliases"), "k")
 
 
-def _containing(outlines: list[tuple[str, list[np.ndarray]]]):
-    boxes = np.array([[min(r[:, 0].min() for r in rings), min(r[:, 1].min() for r in rings), max(r[:, 0].max() for r in rings), max(r[:, 1].max() for r in rings)] for _, rings in outlines]).reshape(-1, 4)
+@dataclass(frozen=True)
+class _Outline:
+    """The edges of an outline's rings, from (ax, ay) to (bx, by)."""
+
+    name: str
+    ax: np.ndarray
+    ay: np.ndarray
+    bx: np.ndarray
+    by: np.ndarray
+
+    @classmethod
+    def of(cls, name: str, rings: list[list[list[float]]]) -> _Outline:
+        shapes = [np.array(r, float) for r in rings]
+        begin, end = (np.concatenate([r[part] for r in shapes]) for part in (slice(None, -1), slice(1, None)))
+        return cls(name, begin[:, 0], begin[:, 1], end[:, 0], end[:, 1])
+
+    def holds(self, x: np.ndarray, y: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+        """Even-odd over all rings, for arrays of points; so many points x edges at once."""
+        inside = np.zeros(len(x), bool)
+        step = max(1, at_once // max(1, len(self.ax)))
+        for i in range(0, len(x), step):
+            px, py = x[i : i + step, None], y[i : i + step, None]
+            spans = (self.ay > py) != (self.by > py)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = (self.bx - self.ax) * (py - self.ay) / (self.by - self.ay) + self.ax
+            inside[i : i + step] = (spans & (px < at)).sum(axis=1) % 2 == 1
+        return inside
+
+    def cells(self, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(column, row, whole?) of the grid cells that may hold a point of it: those no edge comes near are whole or left out."""
+        low = lambda *v: int(np.floor(min(x.min() for x in v) / size))
+        high = lambda *v: int(np.floor(max(x.max() for x in v) / size))
+        c0, r0, c1, r1 = low(self.ax, self.bx), low(self.ay, self.by), high(self.ax, self.bx), high(self.ay, self.by)
+        border = np.zeros((c1 - c0 + 1, r1 - r0 + 1), bool)
+        spans = [np.floor(f(a, b) / size).astype(int) - o for a, b, o in ((self.ax, self.bx, c0), (self.ay, self.by, r0)) for f in (np.minimum, np.maximum)]
+        for left, right, bottom, top in zip(*spans):
+            # An edge on a cell's own side touches the cell beside it too.
+            border[max(0, left - 1) : right + 1, max(0, bottom - 1) : top + 1] = True
+        col, row = (k.ravel() for k in np.meshgrid(np.arange(c0, c1 + 1), np.arange(r0, r1 + 1), indexing="ij"))
+        near = border.ravel()
+        whole = np.zeros(len(col), bool)
+        whole[~near] = self.holds((col[~near] + 0.5) * size, (row[~near] + 0.5) * size)
+        stay = near | whole
+        return col[stay], row[stay], whole[stay]
+
+
+def _held(outlines: list[_Outline]):
+    """Rows (item_id, lat, lon, k) of points and outlines that may hold them; those that do stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lat, lon = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            found: list[str | None] = [None] * len(lat)
-            for k, (x, y) in enumerate(zip(lon, lat)):
-                near = np.flatnonzero((boxes[:, 0] <= x) & (x <= boxes[:, 2]) & (boxes[:, 1] <= y) & (y <= boxes[:, 3]))
-                for i in near:
-                    if _inside(x, y, outlines[i][1]):
-                        found[k] = outlines[i][0]
-                        break
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["item_id", "country"])
+            lat, lon, k = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            inside = np.zeros(len(k), bool)
+            for one in np.unique(k):
+                rows = np.flatnonzero(k == one)
+                inside[rows] = outlines[one].holds(lon[rows], lat[rows])
+            yield batch.select(["item_id", "k"]).filter(pa.array(inside))
 
     return run
 
 
-def _inside(x: float, y: float, rings: list[np.ndarray]) -> bool:
-    """Even-odd over all rings."""
-    crossings = 0
-    for ring in rings:
-        ax, ay, bx, by = ring[:-1, 0], ring[:-1, 1], ring[1:, 0], ring[1:, 1]
-        spans = (ay > y) != (by > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = (bx - ax) * (y - ay) / (by - ay) + ax
-        crossings += int((spans & (x < at)).sum())
-    return crossings % 2 == 1
+def country_index(points: DataFrame, outlines: DataFrame, size: float = 1.0) -> DataFrame:
+    """(item_id, country): the first outline, in order of reading, that holds each point; points outside all are left out.
 
-
-def country_index(points: DataFrame, outlines: DataFrame) -> DataFrame:
-    """(item_id, country): the first outline, in order of reading, that holds each point; points outside all are left out."""
+    A grid tells which outlines hold a cell wholly: its points are answered by
+    an equi-join. Only points in cells that an edge comes near are tested against edges, as arrays, an outline at a time.
+    """
     rows = outlines.limit(MAX_OUTLINES + 1).collect()
     if len(rows) > MAX_OUTLINES:
         raise ValueError(f"more than {MAX_OUTLINES} outlines; pass them in parts")
-    shapes = [(r["name"], [np.array(ring) for ring in r["rings"]]) for r in rows if r["rings"]]
+    shapes = [_Outline.of(r["name"], r["rings"]) for r in rows if r["rings"]]
+    spark = points.sparkSession
+    grid = [shape.cells(size) for shape in shapes]
+    listed = [np.repeat(np.arange(len(grid)), [len(g[0]) for g in grid]), *(np.concatenate([g[i] for g in grid] or [np.empty(0, int)]) for i in range(3))]
+    # As long as the outlines are wide, and sent as they are: a table of the driver's.
+    cells = spark.createDataFrame(pa.table([pa.array(listed[0], pa.int32()), pa.array(listed[1], pa.int64()), pa.array(listed[2], pa.int64()), pa.array(listed[3].astype(bool))], ["k", "col", "row", "whole"]))
+    names = spark.createDataFrame(pa.table([pa.array(range(len(shapes)), pa.int32()), pa.array([s.name for s in shapes], pa.string())], ["k", "country"]))
     placed = points.select("item_id", "lat", "lon").where("lat is not null and lon is not null")
-    return placed.mapInArrow(_containing(shapes), "item_id long, country string").where("country is not null")
+    placed = placed.withColumns({"col": F.floor(F.col("lon") / size), "row": F.floor(F.col("lat") / size)}).join(cells, ["col", "row"])
+    near = placed.where("not whole").select("item_id", "lat", "lon", "k").mapInArrow(_held(shapes), placed.select("item_id", "k").schema)
+    first = placed.where("whole").select("item_id", "k").unionByName(near).groupBy("item_id").agg(F.min("k").alias("k"))
+    return first.join(names, "k").select("item_id", "country")
 
 
 def choropleth(corpus: Corpus, countries: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -252,7 +297,25 @@ def color_breaks(counts: DataFrame) -> DataFrame:
     return top.select(F.posexplode(breaks).alias("step", "value"))
 
 
-def mentions(texts: DataFrame, gazetteer: dict[str, str], min_mentions: int = 3) -> DataFrame:
-    """(item_id, place, n): matches of each place's pattern in rows (item_id, text), ``min_mentions`` or more."""
-    counts = F.array(*[F.struct(F.lit(k).alias("place"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in gazetteer.items()])
-    return texts.select("item_id", F.inline(counts)).where(F.col("n") >= min_mentions)
+def mentions(texts: DataFrame, gazetteer: DataFrame, cut_out: str | None = None, min_mentions: int = 3) -> DataFrame:
+    """(item_id, place, n): how often each place is named in rows (item_id, text), ``min_mentions`` or more.
+
+    ``gazetteer`` (place, name, weight) has one or more names of a place, of
+    one or more words. All names are found in one pass: every word that begins
+    a name is joined to the names that begin with it. A name inside a longer
+    one doesn't count, and a longer one of weight 0 takes what it covers away: a river named as a country is, say. What
+    matches ``cut_out`` (addresses) is cut before. Case counts; words stand apart, with nothing but white space between a name's words.
+    """
+    names = gazetteer.select("place", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), F.filter(F.split(F.trim("name"), r"\s+"), lambda w: w != "").alias("of"))
+    names = names.where(F.size("of") > 0).select("place", "weight", "of", F.col("of")[0].alias("word"))
+    text = F.coalesce("text", F.lit(""))
+    text = F.regexp_replace(text, cut_out, " . ") if cut_out else text
+    pieces = texts.select("item_id", F.posexplode(F.split(text, r"[^\p{L}\p{M}\p{N}'’\s-]+")).alias("piece", "s"))
+    pieces = pieces.select("item_id", "piece", F.filter(F.split("s", r"\s+"), lambda w: w != "").alias("words"))
+    begun = pieces.select("item_id", "piece", "words", F.posexplode("words").alias("at", "word")).join(names, "word")
+    met = begun.where(F.slice("words", F.col("at") + 1, F.size("of")) == F.col("of")).select("item_id", "piece", "place", "weight", "at", (F.col("at") + F.size("of")).alias("end"))
+    # A piece is a clause or so: its matches are a short list.
+    spans = F.collect_set(F.struct("at", "end")).over(Window.partitionBy("item_id", "piece"))
+    longer = F.exists(spans, lambda o: (o["at"] <= F.col("at")) & (o["end"] >= F.col("end")) & (o["end"] - o["at"] > F.col("end") - F.col("at")))
+    found = met.withColumn("covered", longer).where("not covered")
+    return found.groupBy("item_id", "place").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_mentions)

@@ -145,14 +145,22 @@ def html_text(spark, sf_dir):
     return pages.select("page_id", F.sha2(text.strip_html(F.col("html")), 256).alias("text_sha256"))
 
 
+_NAMES = [("This", "this", 1), ("Est", "est", 1), ("Und", "und", 1), ("Und", "und die", 0), ("Est", "est de", 2), ("The", "the of", 1)]
+
+
 @table_query("place_mentions", """
-WITH m AS (SELECT doc_id AS item_id, place, len(regexp_extract_all(text, pattern)) AS n FROM documents, (VALUES ('This', ' this '), ('Est', ' est '), ('Und', ' und ')) g(place, pattern))
-SELECT item_id, place, n FROM m WHERE n >= 3
+WITH g AS (SELECT place, weight, string_split(name, ' ') AS of FROM (VALUES """ + ", ".join(map(str, _NAMES)) + """) v(place, name, weight)),
+p AS (SELECT item_id, piece, row_number() OVER () AS pid FROM (SELECT doc_id AS item_id, unnest(regexp_split_to_array(regexp_replace(text, 'http[^ ]*', ' . ', 'g'), '[^\\p{L}\\p{M}\\p{N}''’\\s-]+')) AS piece FROM documents)),
+w AS (SELECT item_id, pid, list_filter(regexp_split_to_array(piece, '\\s+'), lambda x: x <> '') AS words FROM p),
+s AS (SELECT item_id, pid, words, unnest(range(1, len(words) + 1)) AS k FROM w),
+m AS (SELECT s.item_id, s.pid, g.place, g.weight, s.k AS a, s.k + len(g.of) AS b FROM s JOIN g ON g.of[1] = s.words[s.k] WHERE s.words[s.k : s.k + len(g.of) - 1] = g.of),
+u AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.pid = m.pid AND o.a <= m.a AND o.b >= m.b AND o.b - o.a > m.b - m.a))
+SELECT item_id, place, CAST(sum(weight) AS BIGINT) AS n FROM u GROUP BY 1, 2 HAVING sum(weight) >= 3
 """)
 def place_mentions(spark, sf_dir):
     from folioscope.operators import geo
 
-    return geo.mentions(_docs(spark, sf_dir), {"This": " this ", "Est": " est ", "Und": " und "})
+    return geo.mentions(_docs(spark, sf_dir), spark.createDataFrame(_NAMES, "place string, name string, weight int"), "http[^ ]*")
 
 
 @table_query("passages")

@@ -106,6 +106,51 @@ def test_point_in_polygon_takes_the_first_outline(spark):
     assert rows(geo.country_index(points, outlines)) == [(1, "all"), (2, "hole")]
 
 
+def test_points_by_the_grid_are_those_by_all_edges(spark):
+    """Ragged outlines with holes that overlap, points on edges and corners of cells among them; cells of several sizes."""
+    rng = random.Random(9)
+
+    def ring(x, y, r, k):
+        at = sorted(rng.uniform(0, 2 * np.pi) for _ in range(k))
+        points = [[float(x + r * rng.uniform(0.5, 1) * np.cos(t)), float(y + r * rng.uniform(0.5, 1) * np.sin(t))] for t in at]
+        return [*points, points[0]]
+
+    shapes = [(f"c{k}", [ring(x, y, 9, 30), ring(x, y, 2, 8)]) for k, (x, y) in enumerate((rng.uniform(-20, 20), rng.uniform(-20, 20)) for _ in range(12))]
+    shapes.append(("square", [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]]))
+    where = [(rng.uniform(-30, 30), rng.uniform(-30, 30)) for _ in range(1500)] + [(float(a), float(b)) for a in range(-2, 6) for b in range(-2, 6)]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(where)] + [(9999, None, 1.0)], "item_id long, lat double, lon double")
+    outlines = spark.createDataFrame(shapes, "name string, rings array<array<array<double>>>")
+
+    def inside(x, y, rings):
+        odd = False
+        for r in rings:
+            for (ax, ay), (bx, by) in zip(r, r[1:]):
+                if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                    odd = not odd
+        return odd
+
+    want = sorted(((k, next(n for n, r in shapes if inside(lon, lat, r))) for k, (lat, lon) in enumerate(where) if any(inside(lon, lat, r) for _, r in shapes)), key=repr)
+    assert len(want) > 300
+    for size in (1.0, 0.25, 5.0):
+        assert rows(geo.country_index(points, outlines, size), "item_id", "country") == want
+    assert rows(geo.country_index(points, outlines.limit(0))) == []
+
+
+def test_mentions(spark):
+    """Names of several words, the longest one only, names that take away, addresses cut out first."""
+    gazetteer = [("Sudan", "Sudan", 1), ("South Sudan", "South Sudan", None), ("Niger", "Niger", 1), ("Niger", "River Niger", 0), ("Niger", "Niger Delta", 0), ("Congo", "Congo", 1), ("Congo", "Republic of the Congo", 1)]
+    texts = [
+        (1, "Sudan, South Sudan; Sudan and\nSouth   Sudan. South Sudan Sudanese Sudan-based Sudan"),
+        (2, "Niger. River Niger and the Niger Delta, Niger: Niger"),
+        (3, "Republic of the Congo, Congo (Congo)"),
+        (4, "Box 1, Niger. Box 22, Niger. Niger Niger"), (5, None), (6, ""),
+    ]
+    df = spark.createDataFrame(texts, "item_id long, text string")
+    names = spark.createDataFrame(gazetteer, "place string, name string, weight int")
+    assert rows(geo.mentions(df, names, r"Box [0-9]+, \w+")) == sorted([(1, "Sudan", 3), (1, "South Sudan", 3), (2, "Niger", 3), (3, "Congo", 3)], key=repr)
+    assert rows(geo.mentions(df, names, min_mentions=4)) == [(4, "Niger", 4)]
+
+
 def test_outlines_are_read(spark, tmp_path):
     shape = {"type": "Feature", "properties": {"NAME": "N"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]]]}}
     (tmp_path / "o.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [shape]}))
