@@ -1,18 +1,22 @@
-"""Vector operators: exact neighbours by blocks, maps, clusters, carry-over.
+"""Vector operators: neighbours, exact by blocks or of the candidates that a coarse quantiser proposes, maps, clusters, carry-over.
 
 Vectors come as rows (item_id, vector array<float>).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.graphs import cut
 from folioscope.operators.ranking import ranked
 
 #: Rows of one block of the similarity join: two blocks and their product are what a task holds.
@@ -34,19 +38,20 @@ def _best(pdf: pd.DataFrame, other: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(pdf) or not len(other):
         return empty
     a, b = np.stack(pdf["vector"].to_numpy()), np.stack(other["vector"].to_numpy())
-    score = np.round(a @ b.T, 6)
-    score[pdf["hash"].to_numpy()[:, None] == other["hash"].to_numpy()[None, :]] = -np.inf
-    out = []
     ids, hashes = other["item_id"].to_numpy(), other["hash"].to_numpy()
-    for i, src in enumerate(pdf["item_id"]):
-        row = score[i]
-        # One per hash counts, so all rows tied with the k-th distinct score stay in.
-        cut = np.partition(row, -min(len(row), 4 * k))[-min(len(row), 4 * k)] if len(row) > 4 * k else -np.inf
-        near = np.flatnonzero((row >= cut) & (row > 0))
-        if len(set(hashes[near])) < k:
-            near = np.flatnonzero(row > 0)
-        out.append(pd.DataFrame({"src": src, "dst": ids[near], "score": row[near], "hash": hashes[near]}))
-    return pd.concat(out) if out else empty
+    _, mine = np.unique(np.concatenate([pdf["hash"].to_numpy(), hashes]).astype(str), return_inverse=True)
+    score = np.round(a @ b.T, 6)
+    score[mine[: len(a)][:, None] == mine[len(a) :][None, :]] = -np.inf
+    # One per hash counts, so all rows tied with the 4k-th score stay in; of a row with too few different ones all do.
+    most = min(len(b), 4 * k)
+    cut = np.partition(score, len(b) - most, axis=1)[:, len(b) - most] if len(b) > most else np.full(len(a), -np.inf)
+    near = (score >= cut[:, None]) & (score > 0)
+    if len(b) > most:
+        for i in range(len(a)):
+            if len(np.unique(mine[len(a) :][near[i]])) < k:
+                near[i] = score[i] > 0
+    row, col = np.nonzero(near)
+    return pd.DataFrame({"src": pdf["item_id"].to_numpy()[row], "dst": ids[col], "score": score[row, col], "hash": hashes[col]}) if len(row) else empty
 
 
 def blocked(left: DataFrame, right: DataFrame, block: int = BLOCK):
@@ -77,6 +82,55 @@ def similar_items(vectors: DataFrame, low_signal: DataFrame | None = None, top:
     return ranked(near.select("src", "dst", "score"), ["src"], [F.desc("score"), F.col("dst").asc()], top)
 
 
+def centroids(rows: DataFrame, lists: int, seed: int = 42, most: int = 100_000) -> np.ndarray:
+    """(lists x dimensions): directions that k-means finds in about ``most`` vectors of ``rows`` (item_id, vector, hash), chosen by their hash; the fit is all that is sampled."""
+    n = rows.count()
+    some = rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(seed), "hash"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    found = np.array(KMeans(k=lists, seed=seed, maxIter=8, distanceMeasure="cosine").fit(_as_ml(some)).clusterCenters())
+    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+
+
+def _nearest_lists(directions: np.ndarray, of: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = np.array(batch.column(1).to_pylist(), float).reshape(-1, directions.shape[1])
+            most = min(of, len(directions))
+            near = np.argpartition(-(vectors @ directions.T), most - 1, axis=1)[:, :most] if len(vectors) else np.empty((0, most), int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["item_id", "vector", "hash", "lists"])
+
+    return run
+
+
+def near_items(vectors: DataFrame, lists: int | None = None, homes: int = 3, probes: int = 16, top: int = 12, block: int = BLOCK) -> DataFrame:
+    """(src, dst, score, rank) as similar_items() gives them, of candidates that a coarse quantiser proposes.
+
+    Every vector is in the ``homes`` lists whose centroids are nearest, and
+    is compared, by exact cosine, with all vectors of its ``probes`` nearest lists. Lists are about
+    the square root of the vectors, so that work grows with the power 1.5, not with the square; a list is cut into
+    blocks by its size, so that no direction is one task's, and blocks without a shared list never meet. README has the recall.
+    """
+    rows = normalised(vectors)
+    n = rows.count()
+    if n == 0:
+        return similar_items(vectors, top=top)
+    directions = centroids(rows, lists or max(1, min(4096, round(n**0.5))))
+    names = "item_id long, vector array<double>, hash string, lists array<int>"
+    told = cut(rows.select("item_id", "vector", "hash").mapInArrow(_nearest_lists(directions, homes), names))
+    asked = cut(rows.select("item_id", "vector", "hash").mapInArrow(_nearest_lists(directions, probes), names))
+    size = lambda df, name: df.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    blocks = size(asked, "a").join(size(told, "b"), "list")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    at = lambda k: F.pmod(F.xxhash64("item_id"), F.col(k))
+    sides = [df.select("item_id", "vector", "hash", F.explode("lists").alias("list")).join(blocks, "list") for df in (asked, told)]
+    left = sides[0].select("list", at("a").alias("mine"), "b", "item_id", "vector", "hash").select("list", "mine", every("b").alias("theirs"), "item_id", "vector", "hash")
+    right = sides[1].select("list", at("b").alias("theirs"), "a", *[F.col(c).alias(c) for c in ("item_id", "vector", "hash")]).select("list", every("a").alias("mine"), "theirs", "item_id", "vector", "hash")
+    keys = ["list", "mine", "theirs"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda x, y: _best(x, y, top), "src long, dst long, score double, hash string")
+    one = Window.partitionBy("src", "hash").orderBy(F.desc("score"), F.col("dst"))
+    near = near.distinct().withColumn("_k", F.row_number().over(one)).where("_k = 1")
+    return ranked(near.select("src", "dst", "score"), ["src"], [F.desc("score"), F.col("dst").asc()], top)
+
+
 def mean_vectors(rows: DataFrame, group: str) -> DataFrame:
     """(group, vector): mean of the vectors of each group, of length 1 again."""
     at = rows.select(group, F.posexplode("vector").alias("k", "x"))

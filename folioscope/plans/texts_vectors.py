@@ -201,6 +201,12 @@ def knn_top12(spark, sf_dir):
     return _knn(spark, sf_dir)
 
 
+#: Candidates can't be said in SQL; tests/test_vectors.py holds their recall against the exact neighbours.
+@table_query("knn_near")
+def knn_near(spark, sf_dir):
+    return vectors.near_items(_vectors(spark, sf_dir))
+
+
 @table_query("knn_shown", _KNN + "SELECT src, dst, CAST(round(score * 100) AS BIGINT) AS percent FROM knn WHERE rank <= 6")
 def knn_shown(spark, sf_dir):
     return _knn(spark, sf_dir).where("rank <= 6").select("src", "dst", F.round(F.col("score") * 100).cast("long").alias("percent"))
