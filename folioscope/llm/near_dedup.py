@@ -18,8 +18,9 @@ missed: README gives the measured recall.
 No candidate links before its sets of shingles have been compared. To check
 all pairs of a group of n near copies would take n^2 sets, so it goes in two rounds:
 
-1. A task leaves of its candidates a forest of least differing bits, some n pairs; these are checked.
-2. Where that has parted what candidates connect, all candidates between the parts are checked as well.
+1. Of sets with one fingerprint the first stands for all. A task leaves of its candidates a forest of least
+   differing bits, some n pairs; these are checked, and so is each set against the one that stands for it.
+2. Where that has parted what candidates connect, all candidates between the parts are checked as well, set by set.
 
 Any link between two documents that were candidates is then either checked or
 within a group that checked links connect already: groups are those of all checked candidates.
@@ -336,10 +337,14 @@ def near_components(
     made = stored(made, "long-fingerprints")
     sets = made.groupBy(*key).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets-of-shingles")
-    fps = sets.where((F.col("s0") != 0) | (F.col("s1") != 0)).select("node", F.col("node").alias("part_of"), *key[:prints])
-    bits = most_bits(similarity, prints)
-
-    pairs = stored(candidates(fps, prints, bits, cell_limit), "candidates")
+    bits, prints_of = most_bits(similarity, prints), key[:prints]
+    fps = sets.where((F.col("s0") != 0) | (F.col("s1") != 0)).select("node", *prints_of)
+    # Of sets that share a fingerprint one goes to the anchors, and is compared to the others.
+    alike = stored(fps.groupBy(*prints_of).agg(F.min("node").alias("part_of"), F.count(F.lit(1)).alias("n")), "fingerprints-of-sets")
+    beside = looked_up(fps, alike, prints_of, "n").where("node != part_of").select(F.col("part_of").alias("u"), F.col("node").alias("v"))
+    first = alike.select(F.col("part_of").alias("node"), "part_of", *prints_of)
+
+    pairs = stored(candidates(first, prints, bits, cell_limit).unionByName(beside), "candidates")
     links = stored(checked(pairs, rows, sets, words, similarity), "checked")
     found = stored(components(links.where("linked").select("u", "v")), "groups")
     # What candidates connect and links don't: there all candidates between parts are checked.
@@ -350,7 +355,7 @@ def near_components(
     parted = both.groupBy("wide").agg(F.min("part_of").alias("low"), F.max("part_of").alias("high")).where("low != high").select("wide")
     again = stored(both.join(parted, "wide", "left_semi").select("node", "part_of"), "parted")
     if not again.isEmpty():
-        rest = candidates(fps.drop("part_of").join(again, "node"), prints, bits, cell_limit, every=True)
+        rest = candidates(fps.join(again, "node"), prints, bits, cell_limit, every=True)
         rest = stored(rest.join(links, ["u", "v"], "left_anti"), "more-candidates")
         more = checked(rest, rows, sets, words, similarity)
         found = components(links.unionByName(more).where("linked").select("u", "v"))
