@@ -34,6 +34,15 @@ CHARTS: dict[str, Callable[[Corpus, DataFrame, DataFrame], DataFrame]] = {
 }
 
 
+def register_chart(name: str, build: Callable[[Corpus, DataFrame, DataFrame], DataFrame], replace: bool = False) -> None:
+    """Adds a chart of one's own to every family: f(corpus, members, countries) gives rows with ``entity``."""
+    if not callable(build):
+        raise TypeError(f"{name}: a builder takes (corpus, members, countries) and returns a DataFrame")
+    if name in CHARTS and not replace:
+        raise ValueError(f"there is a chart {name} already")
+    CHARTS[name] = build
+
+
 @dataclass(frozen=True)
 class Family:
     """``members(corpus)`` gives (entity, item_id); ``without`` are charts that would only repeat the entity."""

@@ -37,3 +37,15 @@ def table_query(name: str, sql: str | None = None):
         return f
 
     return register
+
+
+def register(name: str, build: Query, sql: str | None = None, replace: bool = False) -> None:
+    """Adds a builder f(spark, sf_dir) of one's own to the queries, with its SQL for DuckDB if there is one."""
+    if not callable(build):
+        raise TypeError(f"{name}: a builder takes (spark, sf_dir) and returns a DataFrame")
+    if name in QUERIES and not replace:
+        raise ValueError(f"there is a query {name} already")
+    QUERIES[name] = build
+    SQL.pop(name, None)
+    if sql:
+        SQL[name] = sql

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import columns as C
+from folioscope.functions import tables
 from folioscope.operators import compare, dist, gallery, graphs, network, text, vectors
 from folioscope.plans.registry import corpus_query, table_query
 from folioscope.sources import eav
@@ -168,6 +169,14 @@ def passages(spark, sf_dir):
     return text.passages(_docs(spark, sf_dir))
 
 
+#: The table function gives the rows of ``passages``; tests/test_tables.py holds it against them.
+@table_query("passages_sql")
+def passages_sql(spark, sf_dir):
+    tables.register(spark)
+    query = "SELECT * FROM passages(TABLE(SELECT * FROM {pieces}) PARTITION BY item_id ORDER BY (pos, k), 300, 400, 100)"
+    return spark.sql(query, pieces=text.pieces(_docs(spark, sf_dir)))
+
+
 @table_query("keywords")
 def keywords(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("item_id"), "text", "lang")
