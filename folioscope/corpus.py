@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.columns import LITERAL_TERMS
+
 #: Columns of each table.
 SCHEMAS = {
     "items": "item_id long, title string, template_id int, class_term string, created date, year int",
@@ -38,6 +40,13 @@ class Corpus:
         """(dst, title) of items with a title."""
         return self.items.where("title is not null and title != ''").select(F.col("item_id").alias("dst"), "title")
 
+    def values(self, *terms: str) -> DataFrame:
+        """Literals of some terms. Only those of LITERAL_TERMS are ever read from a source: any other is a mistake of the caller's, not an empty answer."""
+        unknown = sorted(set(terms) - set(LITERAL_TERMS))
+        if unknown:
+            raise KeyError(f"literals of {', '.join(unknown)} aren't read")
+        return self.literals.where(F.col("term").isin(*terms))
+
     def of_class(self, *classes: str) -> DataFrame:
         return self.items.where(F.col("class_term").isin(*classes)).select("item_id")
 

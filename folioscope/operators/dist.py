@@ -103,7 +103,7 @@ def value_keys(corpus: Corpus, terms: list[str], members: DataFrame | None = Non
     """(item_id, key, value, target): linked and literal values of the terms, a literal joined to the linked record whose title it spells."""
     links, keys = corpus.scoped(members)
     linked = links.where(F.col("term").isin(*terms)).join(corpus.titles(), "dst").select(*keys, F.col("src").alias("item_id"), F.col("dst").alias("target"), F.col("title").alias("value"))
-    literals = corpus.literals.where(F.col("term").isin(*terms))
+    literals = corpus.values(*(t for t in terms if t in C.LITERAL_TERMS))
     scope = corpus.records if members is None else members
     literals = literals.join(scope, "item_id").select(*keys, "item_id", F.trim("value").alias("value")).where("value != ''")
     spelt = F.lower(F.trim("value"))
@@ -161,7 +161,7 @@ def top_authors(corpus: Corpus, members: DataFrame | None = None, top: int = TOP
     linked = links.where(C.is_credit(F.col("term"))).join(people, "dst", "left_semi").join(corpus.titles(), "dst")
     linked = linked.select(*keys, "src", F.trim("title").alias("name"), F.col("dst").alias("target"), "ord")
     scope = corpus.records if members is None else members
-    literal = corpus.literals.where(F.col("term") == C.AUTHORS).join(scope, "item_id")
+    literal = corpus.values(C.AUTHORS).join(scope, "item_id")
     literal = literal.select(*keys, F.col("item_id").alias("src"), F.trim("value").alias("name"), F.lit(None).cast("long").alias("target"), "ord")
     rows = linked.unionByName(literal).where("name != ''")
     counts = rows.groupBy(*keys, "name").agg(F.countDistinct("src").alias("n"), F.max(F.col("target").isNotNull()).alias("matched"), F.max("target").alias("item_id"))

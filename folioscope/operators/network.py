@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus
 from folioscope.functions import columns as C
+from folioscope.operators.graphs import cut
 from folioscope.operators.ranking import by_value, last_link, ranked
 
 
@@ -100,7 +101,7 @@ def institution_rows(corpus: Corpus) -> DataFrame:
 
 def institution_collaboration(corpus: Corpus, top: int = 80) -> DataFrame:
     """(a, b, n) among the institutions with the most records."""
-    rows = institution_rows(corpus)
+    rows = cut(institution_rows(corpus))
     counts = rows.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
     best = ranked(counts, [], [F.desc("n"), C.natural_key(F.col("dst").cast("string")).asc()], top).select("dst")
     return pairs(rows.join(best, "dst", "left_semi"), [])
@@ -210,10 +211,12 @@ def entity_edges(corpus: Corpus, min_count: int = 2) -> DataFrame:
     return pairs(entity_rows(corpus), [], min_count)
 
 
-def entity_hubs(corpus: Corpus, min_count: int = 2, cap: int = 4000) -> DataFrame:
-    """(item_id, type, items, degree, score, rank): degree x 3 + items."""
-    rows = entity_rows(corpus)
-    edges = pairs(rows, [], min_count)
+def entity_hubs(corpus: Corpus, min_count: int = 2, cap: int = 4000, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(item_id, type, items, degree, score, rank): degree x 3 + items; ``made`` are entity_rows() and their pairs() if they are at hand."""
+    rows, edges = made or (None, None)
+    if rows is None:
+        rows = cut(entity_rows(corpus))
+        edges = pairs(rows, [], min_count)
     ends = edges.select(F.col("a").alias("dst")).unionByName(edges.select(F.col("b").alias("dst")))
     degree = ends.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
     items = rows.groupBy("dst", "type").agg(F.count(F.lit(1)).alias("items"))

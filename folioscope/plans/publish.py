@@ -7,6 +7,7 @@ server reads. Tables of any size go through write_table().
 
 from __future__ import annotations
 
+import csv
 import fcntl
 import hashlib
 import json
@@ -30,6 +31,18 @@ def write_table(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> Non
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def export_csv(df: DataFrame, path: str | Path) -> int:
+    """One answer as a file for spreadsheets, which the driver writes: a byte order mark, all cells quoted, CRLF; null is empty. Rows of an answer are bounded."""
+    rows = df.limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} rows: write_csv() or write_table() take them")
+    with open(path, "w", encoding="utf-8-sig", newline="") as out:
+        lines = csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\r\n")
+        lines.writerow(df.columns)
+        lines.writerows(["" if v is None else v for v in r] for r in rows)
+    return len(rows)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """(series, category, value) and the like for spreadsheets: all cells quoted, CRLF."""
     df.write.options(header=True, quoteAll=True, lineSep="\r\n").csv(path)

@@ -138,7 +138,7 @@ def cards(spark, sf_dir):
 @table_query("html_text", """
 WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</(p|div|h[1-6]|li|tr|article)>', chr(10) || chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b)
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&amp;', chr(1)), '&amp', chr(1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), chr(1), '&') AS t FROM b)
 SELECT page_id, sha256(trim(regexp_replace(t, '[ \\t]+', ' ', 'g'))) AS text_sha256 FROM c
 """)
 def html_text(spark, sf_dir):

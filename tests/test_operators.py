@@ -587,3 +587,32 @@ def test_dominant_sections(spark):
     assert rows(shown.dominant_sections(made, section)) == [(7, 100), (8, 100), (9, -1)]
     half = spark.createDataFrame([(1, 100), (2, 200)], "item_id long, section long")
     assert rows(shown.dominant_sections(made, half)) == [(7, -2), (8, -2), (9, -1)]
+
+
+def test_all_entities_of_html(spark):
+    df = spark.createDataFrame([("<p>caf&eacute; &#8212; &#x4e2d;&nbsp;&lt;b&gt; &amp;amp; &copy</p><p>AT&T</p>",), (None,), ("plain",)], "h string")
+    assert [r[0] for r in df.select(text.strip_html(F.col("h"))).collect()] == ["café — 中 <b> &amp; ©\n\n AT&T\n\n", None, "plain"]
+
+
+def test_literals_of_unknown_terms_are_a_mistake(spark):
+    c = corpus(spark, [(1, "x", None, None)], [], literals=[(1, C.AUTHORS, "Ann")])
+    assert c.values(C.AUTHORS).count() == 1
+    with pytest.raises(KeyError, match="no:such"):
+        c.values(C.AUTHORS, "no:such")
+
+
+def test_answers_for_spreadsheets(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", 'say "hi", é', 1), ("b", None, 2)], "series string, category string, value long")
+    assert publish.export_csv(df, tmp_path / "x.csv") == 2
+    assert (tmp_path / "x.csv").read_bytes() == b'\xef\xbb\xbf"series","category","value"\r\n"a","say ""hi"", \xc3\xa9","1"\r\n"b","","2"\r\n'
+    monkeypatch.setattr(publish, "MAX_ROWS", 1)
+    with pytest.raises(ValueError, match="write_table"):
+        publish.export_csv(df, tmp_path / "y.csv")
+
+
+def test_places_of_all_nodes_are_numbered_by_ranges(spark):
+    from folioscope.operators.shown import _places
+
+    rng = random.Random(3)
+    ranks = spark.createDataFrame([(k, rng.choice([0.1, 0.2, 0.30000000001, 0.3])) for k in range(300)], "node long, rank double").repartition(5)
+    assert rows(_places(ranks), "node", "place") == rows(_places(ranks, 300), "node", "place")
