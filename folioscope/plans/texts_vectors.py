@@ -53,13 +53,18 @@ def detect_language(spark, sf_dir):
     return text.detect_language(_docs(spark, sf_dir))
 
 
+_GENERIC = {"en": ("anding", "other", "thing"), "de": ("einer",)}
+
+
 @table_query("language_clouds", _LANG + f"""
 , w AS (SELECT dl.lang, unnest(t.w) AS word FROM t JOIN dl ON dl.item_id = t.item_id WHERE dl.lang IS NOT NULL AND dl.lang <> 'es'), l AS (SELECT lang, {_LEMMA} AS word FROM w),
-c AS (SELECT lang, word, count(*) AS n FROM l WHERE length(word) >= 3 AND word NOT IN ({_list(text.STOP_WORDS)}) GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT lang, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 150
+c AS (SELECT lang, word, count(*) AS n FROM l WHERE length(word) >= 3 AND word NOT IN ({_list(text.STOP_WORDS)}) GROUP BY 1, 2 HAVING count(*) >= 2),
+b AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, list_position(['en', 'fr', 'de', 'pt'], lang)) AS bucket FROM dl WHERE lang IS NOT NULL AND lang <> 'es' GROUP BY 1)
+SELECT b.bucket, c.lang, c.word, c.n, (c.lang = 'en' AND c.word IN ('anding', 'other', 'thing')) OR (c.lang = 'de' AND c.word = 'einer') AS generic, c.rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM c) c JOIN b ON b.lang = c.lang WHERE c.rank <= 150 + CASE c.lang WHEN 'en' THEN 3 WHEN 'de' THEN 1 ELSE 0 END
 """)
 def language_clouds(spark, sf_dir):
-    return text.language_clouds(_docs(spark, sf_dir))
+    return text.language_clouds(_docs(spark, sf_dir), generic=_GENERIC)
 
 
 _YEARS = """

@@ -616,3 +616,14 @@ def test_places_of_all_nodes_are_numbered_by_ranges(spark):
     rng = random.Random(3)
     ranks = spark.createDataFrame([(k, rng.choice([0.1, 0.2, 0.30000000001, 0.3])) for k in range(300)], "node long, rank double").repartition(5)
     assert rows(_places(ranks), "node", "place") == rows(_places(ranks, 300), "node", "place")
+
+
+def test_clouds_by_language(spark):
+    """The language of most texts first, marked words on top of the number asked for, and one mixed cloud where no language can be told."""
+    en, fr, pt = "the and of that study study cloud cloud rain rain", "les des dans qui pluie pluie nuage nuage", "não uma dos nas chuva chuva"
+    df = spark.createDataFrame([(1, fr), (2, en), (3, fr), (4, pt), (5, "los las que con lluvia lluvia"), (6, "nothing told here here")], "item_id long, text string")
+    got = rows(text.language_clouds(df, top=2, generic={"en": ("study",)}), "bucket", "lang", "word", "n", "generic", "rank")
+    assert got == sorted([
+        (1, "fr", "nuage", 4, False, 1), (1, "fr", "pluie", 4, False, 2), (2, "en", "cloud", 2, False, 1), (2, "en", "rain", 2, False, 2), (2, "en", "study", 2, True, 3), (3, "pt", "chuva", 2, False, 1),
+    ], key=repr)
+    assert rows(text.language_clouds(df.where("item_id > 5")), "bucket", "lang", "word", "n", "generic", "rank") == [(1, None, "here", 2, False, 1)]
