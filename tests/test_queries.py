@@ -133,9 +133,20 @@ def check_centres(rows):
     assert all((c, k - 1) in sizes and sizes[c, k - 1] >= n for (c, k), n in sizes.items() if k)
 
 
+def check_neighbours(rows):
+    unique(rows, "src", "dst")
+    by = {}
+    for r in rows:
+        by.setdefault(r.src, []).append(r)
+    for near in by.values():
+        near.sort(key=lambda r: r.rank)
+        assert [r.rank for r in near] == list(range(1, len(near) + 1)) and len(near) <= 12
+        assert all((-a.score, a.dst) < (-b.score, b.dst) for a, b in zip(near, near[1:]))
+
+
 #: What holds for the rows of each query that SQL can't say.
 CHECKS = {
-    "passages": check_passages, "keywords": check_keywords, "pca_map": check_points("x", "y"), "corpus_layouts": check_points("x", "y"), "article_points": check_points("x", "y"),
+    "passages": check_passages, "passages_sql": check_passages, "knn_near": check_neighbours, "keywords": check_keywords, "pca_map": check_points("x", "y"), "corpus_layouts": check_points("x", "y"), "article_points": check_points("x", "y"),
     "kmeans": lambda rows: unique(rows, "item_id"), "louvain": check_communities, "louvain_multilevel": check_communities, "label_propagation": check_communities,
     "connected_top_n": check_places, "force_layout": check_layout, "kg_communities": check_centres, "collaboration_network": check_shown, "coauthor_network": check_shown,
     "coauthor_network_links": check_links, "entity_network": check_entities,
