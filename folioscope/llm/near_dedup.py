@@ -19,7 +19,8 @@ No candidate links before its sets of shingles have been compared. To check
 all pairs of a group of n near copies would take n^2 sets, so it goes in two rounds:
 
 1. Of sets with one fingerprint the first stands for all. A task leaves of its candidates a forest of least
-   differing bits, some n pairs; these are checked, and so is each set against the one that stands for it.
+   differing bits, some n pairs; these are checked, and so is each set against the one that stands for it. The anchors
+   of one block go first, and those of the others join only what it has left apart, so that a large group isn't found eight times.
 2. Where that has parted what candidates connect, all candidates between the parts are checked as well, set by set.
 
 Any link between two documents that were candidates is then either checked or
@@ -165,7 +166,7 @@ def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(found)
 
 
-def _to_anchors(prints: int):
+def _to_anchors(prints: int, blocks: range):
     names = ["cell", "node", "part_of", *(f"f{k}" for k in range(prints))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,7 @@ def _to_anchors(prints: int):
             for i in range(0, batch.num_rows, 20_000):
                 part = batch.slice(i, 20_000)
                 fps = np.stack([part.column(2 + k).to_numpy().view(np.uint64) for k in range(prints)], axis=1)
-                for block in range(64 * prints // BLOCK):
+                for block in blocks:
                     index, words = anchors(_bits_of(fps, block))
                     rows = part.take(pa.array(index))
                     yield pa.RecordBatch.from_arrays([pa.array(words | block << BLOCK), *rows.columns], names)
@@ -220,7 +221,8 @@ def _compare(prints: int, threshold: int, every: bool):
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
             bits = sum(np.bitwise_count(fps[a, k] ^ fps[b, k]).astype(np.int16) for k in range(prints))
             near = (bits <= threshold) & ((side[a] == _BOTH) | (side[a] != side[b])) & (part_of[a] != part_of[b])
-            yield node[a[near]], node[b[near]], bits[near]
+            a, b = a[near], b[near]
+            yield node[a], node[b], bits[near], part_of[a], part_of[b]
             done = end
 
     def linked(*rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,10 +238,10 @@ def _compare(prints: int, threshold: int, every: bool):
         if held:
             yield _thinned(held)[:2]
 
-    def _thinned(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, bits = (np.concatenate(x) for x in zip(*held))
-        stay = forest(a, b, bits)
-        return a[stay], b[stay], bits[stay]
+    def _thinned(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        found = [np.concatenate(x) for x in zip(*held)]
+        stay = forest(found[3], found[4], found[2])  # parts are what the forest connects
+        return tuple(x[stay] for x in found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -272,11 +274,11 @@ def _compare(prints: int, threshold: int, every: bool):
     return run
 
 
-def candidates(fps: DataFrame, prints: int, threshold: int, cell_limit: int = 4096, every: bool = False) -> DataFrame:
+def candidates(fps: DataFrame, prints: int, threshold: int, cell_limit: int = 4096, every: bool = False, blocks: range | None = None) -> DataFrame:
     """Pairs (u, v), u < v, each once, between nodes of ``fps`` (node, part_of, f0, f1, ...) of different parts: all that meet at an anchor and differ in few bits, or so many as connect what all connect."""
     columns = [f"f{k}" for k in range(prints)]
     schema = "cell long, node long, part_of long, " + ", ".join(f"{c} long" for c in columns)
-    dealt = fps.select("node", "part_of", *columns).mapInArrow(_to_anchors(prints), schema)
+    dealt = fps.select("node", "part_of", *columns).mapInArrow(_to_anchors(prints, blocks or range(64 * prints // BLOCK)), schema)
     heavy = dealt.groupBy("cell").count().where(F.col("count") > cell_limit)
     heavy = stored(heavy.select("cell", F.ceil(F.col("count") / cell_limit).alias("blocks")), "heavy-anchors")
     if heavy.isEmpty():
@@ -344,8 +346,15 @@ def near_components(
     beside = looked_up(fps, alike, prints_of, "n").where("node != part_of").select(F.col("part_of").alias("u"), F.col("node").alias("v"))
     first = alike.select(F.col("part_of").alias("node"), "part_of", *prints_of)
 
-    pairs = stored(candidates(first, prints, bits, cell_limit).unionByName(beside), "candidates")
+    # The anchors of one block first: what they link needs no more pairs at the others'.
+    pairs = stored(candidates(first, prints, bits, cell_limit, blocks=range(1)).unionByName(beside), "candidates")
     links = stored(checked(pairs, rows, sets, words, similarity), "checked")
+    found = components(links.where("linked").select("u", "v"))
+    left = stored(first.drop("part_of").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("part_of"), *prints_of), "nodes-of-parts")
+    others = candidates(left, prints, bits, cell_limit, blocks=range(1, 64 * prints // BLOCK))
+    others = stored(others.join(pairs, ["u", "v"], "left_anti"), "candidates")
+    links = stored(links.unionByName(checked(others, rows, sets, words, similarity)), "checked")
+    pairs = pairs.unionByName(others)
     found = stored(components(links.where("linked").select("u", "v")), "groups")
     # What candidates connect and links don't: there all candidates between parts are checked.
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
