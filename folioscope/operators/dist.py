@@ -29,12 +29,17 @@ DIMENSIONS = {
 CAPS = {"subjects": TOP_SUBJECTS, "contributors": TOP_ROWS}
 
 
-def dimension(corpus: Corpus, name: str, members: DataFrame | None = None) -> DataFrame:
-    """(item_id, title, n, rank): records per target, each record once; untitled targets are dropped."""
+def counted(corpus: Corpus, name: str, members: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(item_id, title, n) of all targets, and the keys: records per target, each record once; untitled targets are dropped."""
     links, keys = corpus.scoped(members)
     some = links.where(DIMENSIONS[name](F.col("term"))).select(*keys, "src", "dst").distinct()
     counts = some.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(corpus.titles(), "dst").withColumnRenamed("dst", "item_id")
+    return counts.join(corpus.titles(), "dst").withColumnRenamed("dst", "item_id"), keys
+
+
+def dimension(corpus: Corpus, name: str, members: DataFrame | None = None) -> DataFrame:
+    """(item_id, title, n, rank): the first of counted(), subjects and contributors up to their cap."""
+    rows, keys = counted(corpus, name, members)
     return ranked(rows, keys, by_value(), CAPS.get(name))
 
 

@@ -627,3 +627,12 @@ def test_clouds_by_language(spark):
         (1, "fr", "nuage", 4, False, 1), (1, "fr", "pluie", 4, False, 2), (2, "en", "cloud", 2, False, 1), (2, "en", "rain", 2, False, 2), (2, "en", "study", 2, True, 3), (3, "pt", "chuva", 2, False, 1),
     ], key=repr)
     assert rows(text.language_clouds(df.where("item_id > 5")), "bucket", "lang", "word", "n", "generic", "rank") == [(1, None, "here", 2, False, 1)]
+
+
+def test_whole_sets_are_compared(spark):
+    from folioscope.plans import texts_vectors
+
+    people = [(k, f"P{k}", C.PERSON, None) for k in range(1, 131)]  # more than a dashboard lists
+    links = [(900 + j, C.CREATOR, k) for j, most in ((0, 130), (1, 120)) for k in range(1, most + 1)] + [(900, C.IS_PART_OF, 800), (901, C.IS_PART_OF, 801)]
+    c = corpus(spark, people + [(k, "x", None, None) for k in (800, 801, 900, 901)], links, records=[900, 901])
+    assert rows(texts_vectors.overlap(c), "a", "b", "both", "either", "percent") == [(800, 801, 120, 130, 92)]
