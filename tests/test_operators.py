@@ -636,3 +636,13 @@ def test_whole_sets_are_compared(spark):
     links = [(900 + j, C.CREATOR, k) for j, most in ((0, 130), (1, 120)) for k in range(1, most + 1)] + [(900, C.IS_PART_OF, 800), (901, C.IS_PART_OF, 801)]
     c = corpus(spark, people + [(k, "x", None, None) for k in (800, 801, 900, 901)], links, records=[900, 901])
     assert rows(texts_vectors.overlap(c), "a", "b", "both", "either", "percent") == [(800, 801, 120, 130, 92)]
+
+
+def test_all_hubs_are_ranked(spark):
+    from folioscope.plans import networks
+
+    people = [(k, f"P{k}", C.PERSON, None) for k in range(4002)]  # more than the shown network has
+    links = [(10_000 + 2 * (k // 2) + j, C.CREATOR, k) for k in range(4002) for j in (0, 1)]
+    records = sorted({s for s, *_ in links})
+    found = networks.entity_hub_rank(corpus(spark, people + [(r, "r", None, None) for r in records], links, records=records)).collect()
+    assert sorted((r["rank"], r.item_id, r.score) for r in found) == [(k + 1, k, 5) for k in range(4002)]
