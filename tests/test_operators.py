@@ -646,3 +646,30 @@ def test_all_hubs_are_ranked(spark):
     records = sorted({s for s, *_ in links})
     found = networks.entity_hub_rank(corpus(spark, people + [(r, "r", None, None) for r in records], links, records=records)).collect()
     assert sorted((r["rank"], r.item_id, r.score) for r in found) == [(k + 1, k, 5) for k in range(4002)]
+
+
+def test_connected_top_of_more_edges_than_a_group_takes(spark, monkeypatch):
+    def whole(graph, score, top):  # by the definition, all edges at hand
+        taken, order = [], sorted(graph, key=lambda u: (-score[u], u))
+        while len(taken) < top:
+            near = [v for u in taken for v in graph[u] if v not in taken]
+            rest = [u for u in order if u not in taken]
+            if not near and (not rest or top - len(taken) < 2):
+                break
+            taken.append(min(near, key=lambda v: (-score[v], v)) if near else rest[0])
+        return taken
+
+    monkeypatch.setattr(graphs, "MAX_EDGES", 10)
+    rng = random.Random(5)
+    for top, sizes in ((5, (12, 9)), (9, (4, 3, 8)), (40, (3, 2))):
+        edges, first = set(), 0
+        for n in sizes:
+            edges |= {(first + rng.randrange(k), first + k) for k in range(1, n) for _ in range(2)}
+            first += n
+        nodes = sorted({u for e in edges for u in e})
+        score = {u: rng.randrange(6) / 8 for u in nodes}
+        graph = {u: [b if a == u else a for a, b in edges if u in (a, b)] for u in nodes}
+        df = spark.createDataFrame([(a, b, 1) for a, b in edges], "a long, b long, n long")
+        found = graphs.connected_top_n(df, spark.createDataFrame(list(score.items()), "node long, rank double"), top)
+        assert [r.node for r in found.orderBy("place").collect()] == whole(graph, score, top)
+    assert graphs.connected_top_n(df.limit(0), found.selectExpr("node", "0D AS rank"), 3).count() == 0
