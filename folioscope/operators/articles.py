@@ -128,9 +128,14 @@ def own_card_ranks(articles: DataFrame, cards: DataFrame) -> DataFrame:
     def better(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"item_id": left["item_id"], "n": 0})
-        score = np.round(np.stack(left["vector"].to_numpy()) @ np.stack(right["vector"].to_numpy()).T, 6)
-        other = left["item_id"].to_numpy()[:, None] != right["item_id"].to_numpy()[None, :]
-        return pd.DataFrame({"item_id": left["item_id"], "n": ((score > left["hash"].astype(float).to_numpy()[:, None]) & other).sum(1)})
+        cards, names = np.stack(right["vector"].to_numpy()), right["item_id"].to_numpy()
+        n = []
+        for rows in V.strips(len(left), len(right)):
+            part = left.iloc[rows]
+            score = np.round(np.stack(part["vector"].to_numpy()) @ cards.T, 6)
+            other = part["item_id"].to_numpy()[:, None] != names[None, :]
+            n.append(((score > part["hash"].astype(float).to_numpy()[:, None]) & other).sum(1))
+        return pd.DataFrame({"item_id": left["item_id"], "n": np.concatenate(n)})
 
     counts = V.blocked(carried, b).applyInPandas(better, "item_id long, n long").groupBy("item_id").agg((F.sum("n") + 1).alias("rank"))
     return own.join(counts, "item_id")
@@ -143,10 +148,12 @@ def bridges(articles: DataFrame, others: DataFrame, top: int = 3) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"src": [], "dst": [], "score": []})
         right = right.sort_values("item_id")
-        score = np.round(np.stack(left["vector"].to_numpy()) @ np.stack(right["vector"].to_numpy()).T, 4)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-        ids = right["item_id"].to_numpy()
-        return pd.DataFrame({"src": np.repeat(left["item_id"].to_numpy(), best.shape[1]), "dst": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+        ids, others, out = right["item_id"].to_numpy(), np.stack(right["vector"].to_numpy()), []
+        for rows in V.strips(len(left), len(right)):
+            score = np.round(np.stack(left["vector"].to_numpy()[rows]) @ others.T, 4)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+            out.append((np.repeat(left["item_id"].to_numpy()[rows], best.shape[1]), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
+        return pd.DataFrame(dict(zip(("src", "dst", "score"), map(np.concatenate, zip(*out)))))
 
     near = V.blocked(V.normalised(articles), V.normalised(others)).applyInPandas(nearest, "src long, dst long, score double")
     return ranked(near, ["src"], [F.desc("score"), F.col("dst").asc()], top)

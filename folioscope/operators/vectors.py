@@ -5,6 +5,7 @@ Vectors come as rows (item_id, vector array<float>).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from folioscope.operators.ranking import ranked
 
 #: Rows of one block of the similarity join: two blocks and their product are what a task holds.
 BLOCK = 4096
+#: Values of a block's vectors at most where blocks are larger than that, and cells of a product that a task holds at once.
+_LARGE, _CELLS = 1 << 23, 1 << 22
 
 
 def normalised(vectors: DataFrame) -> DataFrame:
@@ -34,52 +37,77 @@ def normalised(vectors: DataFrame) -> DataFrame:
 
 
 def _best(pdf: pd.DataFrame, other: pd.DataFrame, k: int) -> pd.DataFrame:
-    empty = pd.DataFrame({"src": [], "dst": [], "score": [], "hash": []}).astype({"src": "int64", "dst": "int64", "score": "float64", "hash": "str"})
-    if not len(pdf) or not len(other):
-        return empty
-    a, b = np.stack(pdf["vector"].to_numpy()), np.stack(other["vector"].to_numpy())
-    ids, hashes = other["item_id"].to_numpy(), other["hash"].to_numpy()
-    _, mine = np.unique(np.concatenate([pdf["hash"].to_numpy(), hashes]).astype(str), return_inverse=True)
-    score = np.round(a @ b.T, 6)
-    score[mine[: len(a)][:, None] == mine[len(a) :][None, :]] = -np.inf
-    # One per hash counts, so all rows tied with the 4k-th score stay in; of a row with too few different ones all do.
-    most = min(len(b), 4 * k)
-    cut = np.partition(score, len(b) - most, axis=1)[:, len(b) - most] if len(b) > most else np.full(len(a), -np.inf)
-    near = (score >= cut[:, None]) & (score > 0)
-    if len(b) > most:
-        for i in range(len(a)):
-            if len(np.unique(mine[len(a) :][near[i]])) < k:
-                near[i] = score[i] > 0
-    row, col = np.nonzero(near)
-    return pd.DataFrame({"src": pdf["item_id"].to_numpy()[row], "dst": ids[col], "score": score[row, col], "hash": hashes[col]}) if len(row) else empty
+    """The ``k`` best of ``other`` for each row, by score, then id; different ids are different vectors."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if len(pdf) and len(other):
+        other = other.sort_values("item_id")
+        mine, ids, b = pdf["item_id"].to_numpy(), other["item_id"].to_numpy(), np.stack(other["vector"].to_numpy())
+        for rows in strips(len(pdf), len(other)):
+            score = np.round(np.stack(pdf["vector"].to_numpy()[rows]) @ b.T, 6)
+            score[mine[rows][:, None] == ids[None, :]] = -np.inf
+            # All that tie with the k-th stay in until ids decide.
+            least = np.partition(score, len(b) - k, axis=1)[:, len(b) - k] if len(b) > k else np.full(len(score), -np.inf)
+            r, c = np.nonzero((score >= least[:, None]) & (score > 0))
+            order = np.lexsort((c, -score[r, c], r))
+            r, c = r[order], c[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c = r[keep], c[keep]
+            out.append((mine[rows][r], ids[c], score[r, c]))
+    return pd.DataFrame(dict(zip(("src", "dst", "score"), map(np.concatenate, zip(*out)))))
+
+
+def strips(rows: int, others: int) -> Iterator[slice]:
+    """Slices of rows whose products with ``others`` are some 32 MB."""
+    at_once = max(1, _CELLS // max(1, others))
+    return (slice(i, i + at_once) for i in range(0, rows, at_once))
+
+
+def block_count(n: int, width: int, block: int, tasks: int) -> int:
+    """Blocks of one side: of ``block`` rows while that keeps about ``tasks`` pairs of blocks busy; beyond that they grow up to _LARGE values, so that copies of a row don't grow with the table."""
+    return max(1, -(-n // max(block, _LARGE // max(1, width))), min(-(-n // block), math.ceil(math.sqrt(tasks))))
 
 
 def blocked(left: DataFrame, right: DataFrame, block: int = BLOCK):
     """Rows (item_id, vector, hash) of the two sides, cogrouped so that each pair of blocks is one task."""
-    a, b = (max(1, -(-side.count() // block)) for side in (left, right))
+    tasks = 3 * left.sparkSession.sparkContext.defaultParallelism
+    sizes = [side.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first() for side in (left, right)]
+    a, b = (block_count(n, width or 1, block, tasks) for n, width in sizes)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     at = lambda n: F.pmod(F.xxhash64("item_id"), F.lit(n))
     # Fresh columns: a cogroup of a table with itself can't tell the sides' columns apart otherwise.
-    fresh = [F.col(c).alias(c) for c in ("item_id", "vector", "hash")]
-    left = left.select("item_id", "vector", "hash", at(a).alias("mine"), every(b).alias("theirs"))
+    names = [c for c in ("item_id", "vector", "hash") if c in left.columns]
+    fresh = [F.col(c).alias(c) for c in ("item_id", "vector", "hash") if c in right.columns]
+    left = left.select(*names, at(a).alias("mine"), every(b).alias("theirs"))
     right = right.select(*fresh, every(a).alias("mine"), at(b).alias("theirs"))
     return left.groupBy("mine", "theirs").cogroup(right.groupBy("mine", "theirs"))
 
 
+def different(rows: DataFrame) -> DataFrame:
+    """One row (item_id, vector, hash) for each vector: that with the smallest id."""
+    return rows.groupBy("hash").agg(F.min_by(F.struct("item_id", "vector"), "item_id").alias("_r")).select("_r.item_id", "_r.vector", "hash")
+
+
+def of_equals(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """Neighbours of different() rows as those of all rows (item_id, hash)."""
+    first = rows.groupBy("hash").agg(F.min("item_id").alias("src"))
+    members = rows.select("hash", "item_id").join(first, "hash").select("src", "item_id")
+    return near.join(members, "src").select(F.col("item_id").alias("src"), "dst", "score", "rank")
+
+
 def similar_items(vectors: DataFrame, low_signal: DataFrame | None = None, top: int = 12, block: int = BLOCK) -> DataFrame:
     """(src, dst, score, rank): exact cosine neighbours above 0 by the rounded score, then id; no equal vectors, one per vector.
 
-    Both sides are cut into blocks, and each pair of blocks is one task's
-    matrix product; every row is copied once per block of the other side.
+    Equal vectors have the same neighbours and only the first of them is one, so one row stands
+    for each. Those are cut into blocks, and each pair of blocks is one task's
+    matrix product, of which the best ``top`` of each row leave it; every row is copied once per block of the other side.
     """
     rows = normalised(vectors)
     if low_signal is not None:
         rows = rows.join(low_signal.select("item_id"), "item_id", "left_anti")
-    pairs = blocked(rows, rows, block)
-    near = pairs.applyInPandas(lambda a, b: _best(a, b, top), "src long, dst long, score double, hash string")
-    one = Window.partitionBy("src", "hash").orderBy(F.desc("score"), F.col("dst"))
-    near = near.withColumn("_k", F.row_number().over(one)).where("_k = 1")
-    return ranked(near.select("src", "dst", "score"), ["src"], [F.desc("score"), F.col("dst").asc()], top)
+    rows = cut(rows)
+    one = cut(different(rows).drop("hash"))
+    near = blocked(one, one, block).applyInPandas(lambda a, b: _best(a, b, top), "src long, dst long, score double")
+    return of_equals(ranked(near, ["src"], [F.desc("score"), F.col("dst").asc()], top), rows)
 
 
 def centroids(rows: DataFrame, lists: int, seed: int = 42, most: int = 100_000) -> np.ndarray:
@@ -109,7 +137,8 @@ def near_items(vectors: DataFrame, lists: int | None = None, homes: int = 3, pro
     the square root of the vectors, so that work grows with the power 1.5, not with the square; a list is cut into
     blocks by its size, so that no direction is one task's, and blocks without a shared list never meet. README has the recall.
     """
-    rows = normalised(vectors)
+    every_row = cut(normalised(vectors))
+    rows = cut(different(every_row))
     n = rows.count()
     if n == 0:
         return similar_items(vectors, top=top)
@@ -125,10 +154,9 @@ def near_items(vectors: DataFrame, lists: int | None = None, homes: int = 3, pro
     left = sides[0].select("list", at("a").alias("mine"), "b", "item_id", "vector", "hash").select("list", "mine", every("b").alias("theirs"), "item_id", "vector", "hash")
     right = sides[1].select("list", at("b").alias("theirs"), "a", *[F.col(c).alias(c) for c in ("item_id", "vector", "hash")]).select("list", every("a").alias("mine"), "theirs", "item_id", "vector", "hash")
     keys = ["list", "mine", "theirs"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda x, y: _best(x, y, top), "src long, dst long, score double, hash string")
-    one = Window.partitionBy("src", "hash").orderBy(F.desc("score"), F.col("dst"))
-    near = near.distinct().withColumn("_k", F.row_number().over(one)).where("_k = 1")
-    return ranked(near.select("src", "dst", "score"), ["src"], [F.desc("score"), F.col("dst").asc()], top)
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda x, y: _best(x, y, top), "src long, dst long, score double")
+    near = near.groupBy("src", "dst").agg(F.max("score").alias("score"))
+    return of_equals(ranked(near, ["src"], [F.desc("score"), F.col("dst").asc()], top), every_row)
 
 
 def mean_vectors(rows: DataFrame, group: str) -> DataFrame:

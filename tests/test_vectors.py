@@ -52,3 +52,26 @@ def test_all_lists_give_the_exact_answer(spark):
     same = lambda f: sorted(map(tuple, f.collect()))
     assert same(vectors.near_items(df, lists=5, homes=1, probes=5, block=16)) == same(vectors.similar_items(df))
     assert vectors.near_items(df.limit(0)).collect() == []
+
+
+def test_copies_of_a_row_do_not_grow_with_the_table():
+    at = [vectors.block_count(n, 64, 4096, 36) for n in (2_000, 50_000, 300_000, 720_000)]
+    assert at == [1, 6, 6, 6]
+
+
+def test_neighbours_of_equal_vectors_and_ties(spark):
+    rng = np.random.default_rng(7)
+    v = rng.integers(1, 4, (60, 3)).astype(float)  # many equal ones, many ties
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "item_id long, vector array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [tuple(x) for x in vectors.normalised(df).orderBy("item_id").select("hash").collect()]
+    want = []
+    for a in range(60):
+        first = {}
+        for b in range(60):
+            if rows[a] != rows[b]:
+                first.setdefault(rows[b], (-round(float(unit[a] @ unit[b]), 6), b))
+        want += [(a, b, -s, k) for k, (s, b) in enumerate(sorted(first.values())[:5], 1)]
+    for block in (7, 4096):
+        got = [tuple(r) for r in vectors.similar_items(df, top=5, block=block).select("src", "dst", "score", "rank").collect()]
+        assert sorted(got) == [(a, b, pytest.approx(s, abs=1e-6), k) for a, b, s, k in sorted(want)]
