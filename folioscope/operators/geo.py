@@ -297,6 +297,10 @@ def color_breaks(counts: DataFrame) -> DataFrame:
     return top.select(F.posexplode(breaks).alias("step", "value"))
 
 
+#: Names of a gazetteer that are broadcast; a list of more meets the words in a shuffle.
+MOST_NAMES = 100_000
+
+
 def mentions(texts: DataFrame, gazetteer: DataFrame, cut_out: str | None = None, min_mentions: int = 3) -> DataFrame:
     """(item_id, place, n): how often each place is named in rows (item_id, text), ``min_mentions`` or more.
 
@@ -308,12 +312,16 @@ def mentions(texts: DataFrame, gazetteer: DataFrame, cut_out: str | None = None,
     """
     names = gazetteer.select("place", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), F.filter(F.split(F.trim("name"), r"\s+"), lambda w: w != "").alias("of"))
     names = names.where(F.size("of") > 0).select("place", "weight", "of", F.col("of")[0].alias("word"))
+    n, longest = names.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("of")), F.lit(1))).first()
+    names = F.broadcast(names) if n <= MOST_NAMES else names  # else words are shuffled, each with as many after it as the longest name has
     text = F.coalesce("text", F.lit(""))
     text = F.regexp_replace(text, cut_out, " . ") if cut_out else text
     pieces = texts.select("item_id", F.posexplode(F.split(text, r"[^\p{L}\p{M}\p{N}'’\s-]+")).alias("piece", "s"))
     pieces = pieces.select("item_id", "piece", F.filter(F.split("s", r"\s+"), lambda w: w != "").alias("words"))
-    begun = pieces.select("item_id", "piece", "words", F.posexplode("words").alias("at", "word")).join(names, "word")
-    met = begun.where(F.slice("words", F.col("at") + 1, F.size("of")) == F.col("of")).select("item_id", "piece", "place", "weight", "at", (F.col("at") + F.size("of")).alias("end"))
+    # A word goes on with the words of a name's length, not with its whole piece, which may be a whole text.
+    starts = F.transform("words", lambda w, k: F.struct(k.alias("at"), w.alias("word"), F.slice("words", k + 1, longest).alias("next")))
+    begun = pieces.select("item_id", "piece", F.inline(starts)).join(names, "word")
+    met = begun.where(F.slice("next", 1, F.size("of")) == F.col("of")).select("item_id", "piece", "place", "weight", "at", (F.col("at") + F.size("of")).alias("end"))
     # A piece is a clause or so: its matches are a short list.
     spans = F.collect_set(F.struct("at", "end")).over(Window.partitionBy("item_id", "piece"))
     longer = F.exists(spans, lambda o: (o["at"] <= F.col("at")) & (o["end"] >= F.col("end")) & (o["end"] - o["at"] > F.col("end") - F.col("at")))

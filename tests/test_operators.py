@@ -673,3 +673,12 @@ def test_connected_top_of_more_edges_than_a_group_takes(spark, monkeypatch):
         found = graphs.connected_top_n(df, spark.createDataFrame(list(score.items()), "node long, rank double"), top)
         assert [r.node for r in found.orderBy("place").collect()] == whole(graph, score, top)
     assert graphs.connected_top_n(df.limit(0), found.selectExpr("node", "0D AS rank"), 3).count() == 0
+
+
+def test_words_of_a_long_piece_are_not_copied_with_all_of_it(spark, monkeypatch):
+    text = "Goma " + "word " * 40_000 + "Lake Chad Goma Goma Chad"  # one piece: 40,000 copies of it were 8 GB
+    docs = spark.createDataFrame([(1, text)], "item_id long, text string")
+    names = spark.createDataFrame([("Goma", "Goma", 1), ("Chad", "Chad", 1), ("Chad", "Lake Chad", 0)], "place string, name string, weight int")
+    for most in (100_000, 0):
+        monkeypatch.setattr(geo, "MOST_NAMES", most)
+        assert rows(geo.mentions(docs, names, min_mentions=1), "place", "n") == [("Chad", 1), ("Goma", 3)]
