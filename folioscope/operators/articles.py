@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import vectors as V
+from folioscope.operators.graphs import cut
 from folioscope.operators.ranking import ranked
 
 #: From this cosine on, two articles count as one text.
@@ -90,6 +91,21 @@ def corpus_layouts(rows: DataFrame, corpus: str, least: int = 3) -> DataFrame:
     return out if out is not None else rows.select(corpus, "item_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).where("false")
 
 
+def _match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The best pair of two blocks of passages, the earliest of equal ones."""
+    names = ("src", "dst", "source_passage", "neighbour_passage", "s")
+    if not len(left) or not len(right):
+        return pd.DataFrame({n: [] for n in names})
+    left, right = left.sort_values("passage"), right.sort_values("passage")
+    a, b, best = left["vector"].to_numpy(), np.stack(right["vector"].to_numpy()), None
+    for rows in V.strips(len(left), len(right)):
+        score = np.round(np.stack(a[rows]) @ b.T, 4)
+        r, c = np.unravel_index(score.argmax(), score.shape)
+        if best is None or score[r, c] > best[2]:
+            best = (left["passage"].iloc[rows.start + r], right["passage"].iloc[c], score[r, c])
+    return pd.DataFrame([(left["src"].iloc[0], left["dst"].iloc[0], *best)], columns=names)
+
+
 def passage_reasons(near: DataFrame, passages: DataFrame, terms: int = 6) -> DataFrame:
     """(src, dst, passage_score, source_passage, neighbour_passage, shared_terms): for each pair of neighbours the passages that match best and the rarest terms that both hold.
 
@@ -98,12 +114,19 @@ def passage_reasons(near: DataFrame, passages: DataFrame, terms: int = 6) -> Dat
     earlier passage, and terms by rarity, then spelling.
     """
     unit = V.normalised(passages.select(F.struct("item_id", "passage").alias("item_id"), "vector"))
-    unit = unit.select("item_id.item_id", "item_id.passage", "vector")
-    side = lambda key, name, vector: unit.select(F.col("item_id").alias(key), F.col("passage").alias(name), F.col("vector").alias(vector))
-    both = near.select("src", "dst").join(side("src", "source_passage", "u"), "src").join(side("dst", "neighbour_passage", "v"), "dst")
-    scored = both.select("src", "dst", "source_passage", "neighbour_passage", F.round(_dot("u", "v"), 4).alias("s"))
+    unit = cut(unit.select("item_id.item_id", "item_id.passage", "vector"))
+    size = unit.groupBy("item_id").agg(F.ceil(F.count(F.lit(1)) / V.BLOCK).alias("blocks"))
+    sides = near.select("src", "dst").join(size.select(F.col("item_id").alias("src"), F.col("blocks").alias("a")), "src").join(size.select(F.col("item_id").alias("dst"), F.col("blocks").alias("b")), "dst")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    at = lambda k: F.pmod(F.xxhash64("passage"), F.col(k))
+    keys = ["src", "dst", "mine", "theirs"]
+    left = unit.join(sides, F.col("item_id") == F.col("src")).select("src", "dst", at("a").alias("mine"), every("b").alias("theirs"), "passage", "vector")
+    fresh = unit.select(*[F.col(c).alias(c) for c in ("item_id", "passage", "vector")])
+    right = fresh.join(sides, F.col("item_id") == F.col("dst")).select(F.col("src").alias("src"), F.col("dst").alias("dst"), every("a").alias("mine"), at("b").alias("theirs"), "passage", "vector")
+    columns = "src long, dst long, source_passage long, neighbour_passage long, s double"
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_match, columns)
     best = F.max_by(F.struct("source_passage", "neighbour_passage", "s"), F.struct("s", -F.col("source_passage"), -F.col("neighbour_passage")))
-    found = scored.groupBy("src", "dst").agg(best.alias("p")).select("src", "dst", F.col("p.s").alias("passage_score"), "p.source_passage", "p.neighbour_passage")
+    found = cut(scored.groupBy("src", "dst").agg(best.alias("p")).select("src", "dst", F.col("p.s").alias("passage_score"), "p.source_passage", "p.neighbour_passage"))
     words = passages.select("item_id", "passage", F.explode(F.array_distinct("terms")).alias("term"))
     df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     mine = words.select(F.col("item_id").alias("src"), F.col("passage").alias("source_passage"), "term")

@@ -75,3 +75,20 @@ def test_neighbours_of_equal_vectors_and_ties(spark):
     for block in (7, 4096):
         got = [tuple(r) for r in vectors.similar_items(df, top=5, block=block).select("src", "dst", "score", "rank").collect()]
         assert sorted(got) == [(a, b, pytest.approx(s, abs=1e-6), k) for a, b, s, k in sorted(want)]
+
+
+def test_passages_are_matched_by_blocks(spark, monkeypatch):
+    from folioscope.operators import articles
+
+    def no_rows(*_):
+        raise AssertionError("pairs of passages became rows")
+
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, (50, 3)) + 0.5
+    df = spark.createDataFrame([(k % 2, k, x.tolist(), ["w"]) for k, x in enumerate(v)], "item_id long, passage long, vector array<double>, terms array<string>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = min((-round(float(unit[a] @ unit[b]), 4), a, b) for a in range(0, 50, 2) for b in range(1, 50, 2))
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(articles, "_dot", no_rows)
+    [r] = articles.passage_reasons(spark.createDataFrame([(0, 1)], "src long, dst long"), df).collect()
+    assert (-r.passage_score, r.source_passage, r.neighbour_passage, r.shared_terms) == (pytest.approx(want[0]), *want[1:], ["w"])
