@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,56 @@ def test_shared_items_count_every_resource(spark):
     assert rows(places_graphs.kg_stats(c), "center", "max_strength") == sorted(((s, part[0][2]) for s, part in want.items()), key=repr)
 
 
+def test_shared_items_by_rare_and_common_resources(spark):
+    """Each set of common resources meets the others once, whatever records have it, and the answer stays that of brute force."""
+    rng = random.Random(2)
+    n = 400
+    links = set()
+    for s in range(1, n + 1):
+        links |= {(s, C.SPATIAL, 901 + s % 4)} | {(s, C.SUBJECT, 910 + rng.randrange(5)) for _ in range(rng.randrange(3))}
+        links |= {(s, C.CREATOR, 930 + rng.randrange(60))} if s % 3 else set()
+    links |= {(s, C.SERIES, 929) for s in range(1, n + 1)}  # all have it: no strength, but shared
+    c = corpus(spark, [(i, "x", None, None) for i in range(1, n + 1)], sorted(links), records=range(1, n + 1))
+    idf = {r.resource: r.idf for r in knowledge.resource_stats(c).collect()}
+    of = defaultdict(set)
+    for s, _, d in links:
+        of[s].add(d)
+    for least, top in ((0.0, 90), (1.5, 7)):
+        want = []
+        for s in range(1, n + 1):
+            found = [(-round(sum(idf[r] for r in of[s] & of[o]), 2), o, len(of[s] & of[o])) for o in range(1, n + 1) if o != s]
+            want += [(s, o, -w, k, i + 1) for i, (w, o, k) in enumerate(sorted(f for f in found if -f[0] >= least)[:top])]
+        for rare in (0, 30, 1000):
+            got = knowledge.shared_items(c, top=top, min_strength=least, blocks=(100, 80), rare=rare)
+            assert rows(got, "center", "item_id", "strength", "shared", "rank") == sorted(want, key=repr)
+    sets = {tuple(sorted(r for r in found if sum(r in x for x in of.values()) > 30)) for found in of.values()}
+    made = []
+    real = knowledge._of_sets
+    try:
+        knowledge._of_sets = lambda wide, *a: made.append(wide.count()) or real(wide, *a)
+        knowledge.shared_items(c, rare=30)
+    finally:
+        knowledge._of_sets = real
+    assert made == [len(sets)] and len(sets) < n / 4
+
+
+def test_strongest_leaves_segments_out(monkeypatch):
+    """Candidates in several segments, with dense and sparse resources and in either type of number, against brute force."""
+    rng = np.random.default_rng(3)
+    n, top = 700, 20
+    monkeypatch.setattr(knowledge, "_SEGMENT", 64)
+    weight = {r: 700 - r for r in range(400)}
+    for scale in (1, 5000):
+        own = [np.array(sorted({int(rng.integers(25)) + 300, *(int(x) + 330 for x in rng.integers(25, size=3)), int(rng.integers(300))})) for _ in range(n)]
+        rows_of = pd.DataFrame({"item_id": rng.permutation(n) * 3, "resources": own, "cents": [np.array([weight[r] * scale for r in x]) for x in own], "least": rng.integers(0, 900, n) * scale})
+        got = knowledge._strongest(rows_of, rows_of, top).sort_values(["center", "cents", "item_id"], ascending=[True, False, True])
+        want = []
+        for i, least, mine in zip(rows_of["item_id"], rows_of["least"], own):
+            found = [(-sum(weight[r] * scale for r in set(mine) & set(x)), j, len(set(mine) & set(x))) for j, x in zip(rows_of["item_id"], own) if j != i]
+            want += [(i, j, -w, k) for w, j, k in sorted(f for f in found if f[2] and -f[0] >= least)[:top]]
+        assert list(got.itertuples(index=False, name=None)) == sorted(want, key=lambda r: (r[0], -r[2], r[1]))
+
+
 def test_cross_edges(spark):
     """In the order of gathering, by the first statement in reading order, without what is drawn, and up to the caps."""
     items = [(k, f"x{k}", None, None) for k in range(1, 6)]
