@@ -238,6 +238,21 @@ def test_strongest_leaves_segments_out(monkeypatch):
         assert list(got.itertuples(index=False, name=None)) == sorted(want, key=lambda r: (r[0], -r[2], r[1]))
 
 
+def test_counts_of_pairs_are_dealt_by_the_rows_made(spark, monkeypatch):
+    """A pair that many records have is one row, and the count goes to as many tasks as the join, not to Spark's number of shuffle partitions."""
+    monkeypatch.setattr(network, "MET", 50)
+    said = [(s, d) for s in range(100) for d in (1, 2, 10 + s, 200 + s % 7)]
+    got = network.pairs(spark.createDataFrame(said, "src long, dst long"), [])
+    want = defaultdict(int)
+    for s in range(100):
+        mine = sorted(d for x, d in said if x == s)
+        for i, a in enumerate(mine):
+            for b in mine[i + 1 :]:
+                want[a, b] += 1
+    assert rows(got, "a", "b", "n") == sorted(((a, b, n) for (a, b), n in want.items()), key=repr)
+    assert got.rdd.getNumPartitions() == 100 * 16 // 50
+
+
 def test_cross_edges(spark):
     """In the order of gathering, by the first statement in reading order, without what is drawn, and up to the caps."""
     items = [(k, f"x{k}", None, None) for k in range(1, 6)]
