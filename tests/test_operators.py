@@ -221,6 +221,13 @@ def test_shared_items_by_rare_and_common_resources(spark):
     assert made == [len(sets)] and len(sets) < n / 4
 
 
+def test_best_of_a_set_is_one_row(spark):
+    """What a block gives a set is one row of arrays, of records and not of sets."""
+    sets = spark.createDataFrame([(1, [901], [5], 0, [1, 4]), (2, [901, 902], [5, 7], 0, [2])], "item_id long, resources array<long>, cents array<long>, least long, ids array<long>")
+    got = knowledge._of_sets(sets, 3, (1, 8)).orderBy("center").collect()
+    assert [tuple(r) for r in got] == [(1, [1, 2, 4], [5, 5, 5], [1, 1, 1]), (2, [2, 1, 4], [12, 5, 5], [2, 1, 1])]
+
+
 def test_strongest_leaves_segments_out(monkeypatch):
     """Candidates in several segments, with dense and sparse resources and in either type of number, against brute force."""
     rng = np.random.default_rng(3)
