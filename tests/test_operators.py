@@ -755,3 +755,14 @@ def test_words_of_a_long_piece_are_not_copied_with_all_of_it(spark, monkeypatch)
     for most in (100_000, 0):
         monkeypatch.setattr(geo, "MOST_NAMES", most)
         assert rows(geo.mentions(docs, names, min_mentions=1), "place", "n") == [("Chad", 1), ("Goma", 3)]
+
+
+def test_orders_are_dealt_by_their_lines(spark, sf, monkeypatch):
+    """Tasks that gather statements go by the lines, not by Spark's shuffle partitions, and the statements stay the same."""
+    from folioscope.sources import bridge
+
+    want = sorted(tuple(r) for r in bridge.load(spark, sf).links.collect())
+    monkeypatch.setattr(bridge, "DEALT", 1000)
+    links = bridge.load(spark, sf).links
+    assert links.rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000)
+    assert sorted(tuple(r) for r in links.collect()) == want
