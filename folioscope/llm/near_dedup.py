@@ -166,6 +166,20 @@ def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(found)
 
 
+def first_cells(x: np.ndarray, y: np.ndarray, blocks: range) -> np.ndarray:
+    """The smallest cell of ``blocks`` to which both of the fingerprints x and y (rows x prints) go; -1 where there is none."""
+    found = np.full(len(x), -1, np.int64)
+    for block in blocks:
+        left = np.flatnonzero(found < 0)
+        index, words = anchors(_bits_of(x[left], block))
+        both = np.bitwise_count(words ^ _bits_of(y[left], block)[index]) <= 2
+        low = np.full(len(left), np.iinfo(np.int64).max)
+        np.minimum.at(low, index[both], words[both] | block << BLOCK)
+        met = low < np.iinfo(np.int64).max
+        found[left[met]] = low[met]
+    return found
+
+
 def _to_anchors(prints: int, blocks: range):
     names = ["cell", "node", "part_of", *(f"f{k}" for k in range(prints))]
 
@@ -205,10 +219,13 @@ def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
         label = to[label]
 
 
-def _compare(prints: int, threshold: int, every: bool):
-    """Rows come sorted by (cell, part); a group that may go on in the next batch waits for it. All candidates between different parts leave, or a forest of them."""
+def _compare(prints: int, threshold: int, every: bool, blocks: range):
+    """Rows come sorted by (cell, part); a group that may go on in the next batch waits for it. All candidates between different parts leave, or a forest of them.
+
+    Two near copies meet in many cells; they are a candidate in the first of them only.
+    """
 
-    def candidates(side, node, part_of, fps, starts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def candidates(cell, side, node, part_of, fps, starts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ends = np.append(starts[1:], len(node))
         after = np.repeat(ends, ends - starts) - np.arange(len(node)) - 1  # rows of the group that follow each row
         upto = np.cumsum(after)
@@ -221,8 +238,10 @@ def _compare(prints: int, threshold: int, every: bool):
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
             bits = sum(np.bitwise_count(fps[a, k] ^ fps[b, k]).astype(np.int16) for k in range(prints))
             near = (bits <= threshold) & ((side[a] == _BOTH) | (side[a] != side[b])) & (part_of[a] != part_of[b])
-            a, b = a[near], b[near]
-            yield node[a], node[b], bits[near], part_of[a], part_of[b]
+            a, b, bits = a[near], b[near], bits[near]
+            once = first_cells(fps[a], fps[b], blocks) == cell[a]
+            a, b = a[once], b[once]
+            yield node[a], node[b], bits[once], part_of[a], part_of[b]
             done = end
 
     def linked(*rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,7 +273,7 @@ def _compare(prints: int, threshold: int, every: bool):
         def compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.concat_batches(parts)
             fps = np.stack([rows.column(5 + k).to_numpy().view(np.uint64) for k in range(prints)], axis=1)
-            for x, y in linked(*(rows.column(k).to_numpy() for k in (2, 3, 4)), fps, np.flatnonzero(new_groups(rows))):
+            for x, y in linked(*(rows.column(k).to_numpy() for k in (0, 2, 3, 4)), fps, np.flatnonzero(new_groups(rows))):
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
 
@@ -278,7 +297,8 @@ def candidates(fps: DataFrame, prints: int, threshold: int, cell_limit: int = 40
     """Pairs (u, v), u < v, each once, between nodes of ``fps`` (node, part_of, f0, f1, ...) of different parts: all that meet at an anchor and differ in few bits, or so many as connect what all connect."""
     columns = [f"f{k}" for k in range(prints)]
     schema = "cell long, node long, part_of long, " + ", ".join(f"{c} long" for c in columns)
-    dealt = fps.select("node", "part_of", *columns).mapInArrow(_to_anchors(prints, blocks or range(64 * prints // BLOCK)), schema)
+    cells_of = blocks or range(64 * prints // BLOCK)
+    dealt = fps.select("node", "part_of", *columns).mapInArrow(_to_anchors(prints, cells_of), schema)
     heavy = dealt.groupBy("cell").count().where(F.col("count") > cell_limit)
     heavy = stored(heavy.select("cell", F.ceil(F.col("count") / cell_limit).alias("blocks")), "heavy-anchors")
     if heavy.isEmpty():
@@ -290,7 +310,7 @@ def candidates(fps: DataFrame, prints: int, threshold: int, cell_limit: int = 40
         meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda i: F.struct((F.least(mine, i) * blocks + F.greatest(mine, i)).alias("part"), side(i).alias("side")))
         dealt = dealt.join(heavy, "cell", "left").select("cell", F.explode(meets).alias("meet"), "node", "part_of", *columns).select("cell", "meet.part", "meet.side", "node", "part_of", *columns)
     ordered = dealt.select("cell", "part", "side", "node", "part_of", *columns).repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return ordered.mapInArrow(_compare(prints, threshold, every), "u long, v long").distinct()
+    return ordered.mapInArrow(_compare(prints, threshold, every, cells_of), "u long, v long")
 
 
 def checked(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, similarity: float, at_once: int = 256) -> DataFrame:

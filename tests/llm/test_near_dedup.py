@@ -182,3 +182,27 @@ def test_ids_that_repeat_and_ids_of_other_types(spark):
     rows = [("b", " ".join(base)), ("a", near), ("b", "something else entirely in here"), ("c", "something else entirely in here")]
     got = rows_of(N.near_components(spark.createDataFrame(rows, "doc_id string, text string")))
     assert got == [("a", "a"), ("b", "a"), ("b", "b"), ("c", "b")]
+
+
+def test_a_pair_is_a_candidate_in_one_cell_only():
+    """What leaves the cells is all pairs that meet, each once, in however many cells they meet."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    fps = np.repeat(rng.integers(0, 1 << 63, (3, 3)).astype(np.uint64), 40, axis=0)
+    for row in fps:
+        for bit in rng.choice(192, 7, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    index, cells = map(np.concatenate, zip(*((i, w | b << N.BLOCK) for b in range(8) for i, w in [N.anchors(N._bits_of(fps, b))])))
+    order = np.argsort(cells, kind="stable")
+    index, cells = index[order], cells[order]
+    zero = np.zeros(len(index), np.int64)
+    columns = [cells, zero, zero, index, index, *fps[index].view(np.int64).T]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["cell", "part", "side", "node", "part_of", "f0", "f1", "f2"])
+    got = [(r["u"], r["v"]) for out in N._compare(3, 33, True, range(8))(iter([batch])) for r in out.to_pylist()]
+    members = defaultdict(set)
+    for i, c in zip(index.tolist(), cells.tolist()):
+        members[c].add(i)
+    met = [(a, b) for m in members.values() for a in m for b in m if a < b and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 33]
+    assert len(met) > 2 * len(set(met))
+    assert sorted(got) == sorted(set(met))
