@@ -274,6 +274,23 @@ def test_cross_edges(spark):
     assert of(spark.createDataFrame([(1, 2, 3)], "center long, a long, b long")) == [(*second[:4], 1)]
 
 
+def test_graph_makes_only_the_parts_asked_for(spark, monkeypatch):
+    """Nodes need no edges; edges of centres dealt to many tasks are ranked within each centre, once for both directions and not where they are drawn."""
+    made = []
+    for name in ("shared_edges", "cross_edges"):
+        monkeypatch.setattr(knowledge, name, lambda *_, name=name: made.append(name))
+    items = [(k, f"I{k}", None, None) for k in (1, 2, 3)]
+    c = corpus(spark, items, [(1, C.SUBJECT, 3), (2, C.SUBJECT, 3)], records=[1, 2])
+    assert rows(knowledge.assembled(c).nodes, "center", "item_id", "seq") == [(1, 2, 2), (1, 3, 1), (2, 1, 2), (2, 3, 1), (3, 1, 1), (3, 2, 2)] and not made
+    monkeypatch.undo()
+    monkeypatch.setattr(knowledge, "_HELD_NODES", 2)
+    c = corpus(spark, [(k, f"I{k}", None, None) for k in range(1, 6)], [(1, C.SUBJECT, 2), (2, C.SUBJECT, 1), (2, C.TYPE, 3), (3, C.SUBJECT, 4)], records=[])
+    nodes = spark.createDataFrame([(z, k, k) for z in range(10, 30) for k in (1, 2, 3, 4)], "center long, item_id long, seq long")
+    drawn = spark.createDataFrame([(z, 4, 3) for z in range(10, 20)], "center long, a long, b long")
+    got = rows(knowledge.cross_edges(c, nodes, drawn), "center", "source", "target", "term", "rank")
+    assert got == sorted([(z, 1, 2, C.SUBJECT, 1) for z in range(10, 30)] + [(z, 2, 3, C.TYPE, 2) for z in range(10, 30)] + [(z, 3, 4, C.SUBJECT, 3) for z in range(20, 30)])
+
+
 def test_nodes_are_gathered_once_in_order(spark):
     of = lambda x, more: spark.createDataFrame(x, f"center long, item_id long, rank long{more}")
     named = ", category string"
