@@ -798,3 +798,10 @@ def test_joins_with_large_dimensions_are_dealt_by_the_lines(spark, sf, monkeypat
     want = found()
     monkeypatch.setattr(bridge, "FEW", 5)
     assert found() == want
+
+
+def test_lines_are_read_once_for_all_statements(spark, sf):
+    from folioscope.sources import bridge
+
+    plan = bridge.load(spark, sf).links._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Relation" in x and "l_partkey" in x]) == 1
