@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.operators.ranking import ranked
 
 
-def overlap(sets: DataFrame, shown: int = 12) -> DataFrame:
+def overlap(sets: DataFrame) -> DataFrame:
     """(a, b, both, either, percent): rows (entity, name) compared for every pair of entities that share a name; percent is rounded |A and B| / |A or B|."""
     one = sets.select("entity", "name").distinct()
     size = one.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
